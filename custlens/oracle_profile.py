@@ -1,3 +1,378 @@
-"""Oracles for the profile-based families (filled in below)."""
+"""Oracles for the profile families (P, R, A, C), DuckDB dialect.
 
-PROFILE_FAMILY_SQL: dict[str, tuple[str, list[str]]] = {}
+``PROFILE_CTES`` rebuilds the profile the reference's way: the literal
+customers ⟕ transactions ⟕ engagement join grouped by customer (fan-out
+included), then ``fillna(0)``, day counts against the fixed ``as_of``,
+and the metric formulas.  Every question of the R/A/C families is then
+plain SQL over ``profile`` (or ``export``, its 15 exported columns, which
+is what the tutorial reads back from CSV).
+"""
+
+from __future__ import annotations
+
+from .oracle import B, DAYS
+
+PROFILE_CTES = f"""
+raw AS (
+  SELECT c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segment, c.acquisition_channel,
+         COUNT(DISTINCT t.transaction_id) AS total_transactions,
+         SUM(t.amount) AS total_spent,
+         AVG(t.amount) AS avg_transaction_value,
+         CAST(SUM(t.quantity) AS BIGINT) AS total_items,
+         MAX(t.transaction_date) AS last_purchase_date,
+         COUNT(DISTINCT e.engagement_date) AS engagement_days,
+         AVG(e.page_views) AS avg_page_views,
+         CAST(SUM(e.items_added_to_cart) AS BIGINT) AS total_cart_adds,
+         CAST(SUM(CASE WHEN e.items_purchased > 0 THEN 1 ELSE 0 END) AS BIGINT) AS days_with_purchase
+  FROM customers c
+  LEFT JOIN transactions t ON c.customer_id = t.customer_id
+  LEFT JOIN engagement e ON c.customer_id = e.customer_id
+  GROUP BY c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segment, c.acquisition_channel),
+m0 AS (
+  SELECT customer_id, coalesce(customer_name, 'Unknown') AS customer_name, signup_date,
+         coalesce(country, 'Unknown') AS country, coalesce(customer_segment, 'Unknown') AS customer_segment,
+         coalesce(acquisition_channel, 'Unknown') AS acquisition_channel,
+         total_transactions, coalesce(total_spent, 0) AS total_spent,
+         coalesce(avg_transaction_value, 0) AS avg_transaction_value, coalesce(total_items, 0) AS total_items,
+         last_purchase_date, engagement_days, coalesce(avg_page_views, 0) AS avg_page_views,
+         coalesce(total_cart_adds, 0) AS total_cart_adds, days_with_purchase,
+         {DAYS("signup_date")} AS days_since_signup,
+         coalesce({DAYS("last_purchase_date")}, 999) AS days_since_last_purchase
+  FROM raw),
+m1 AS (
+  SELECT *, days_since_signup / 30.0::DOUBLE AS tenure_months,
+         total_transactions / (CASE WHEN days_since_signup IS NULL THEN NULL
+                                    ELSE GREATEST(days_since_signup / 30.0::DOUBLE, 1) END) AS purchase_frequency,
+         total_spent / GREATEST(total_transactions, 1) AS avg_order_value,
+         coalesce(days_with_purchase / GREATEST(engagement_days, 1) * 100, 0) AS conversion_rate
+  FROM m0),
+m2 AS (
+  SELECT *,
+         LEAST(GREATEST(avg_page_views / 50 * (conversion_rate / 100) * 100, 0), 100) AS engagement_score,
+         avg_order_value * purchase_frequency * 12 * 3 AS clv_estimate,
+         CASE WHEN days_since_last_purchase < 30 AND purchase_frequency > 2 THEN 'Low'
+              WHEN days_since_last_purchase < 90 AND purchase_frequency > 1 THEN 'Medium'
+              WHEN days_since_last_purchase < 180 THEN 'High'
+              WHEN days_since_last_purchase >= 180 THEN 'Critical'
+              ELSE 'Unknown' END AS churn_risk
+  FROM m1),
+profile AS (
+  SELECT *,
+         CASE WHEN total_spent > (SELECT AVG(total_spent) FROM m2)
+                   AND purchase_frequency > (SELECT AVG(purchase_frequency) FROM m2) THEN 'Star Customer'
+              WHEN total_spent > (SELECT AVG(total_spent) FROM m2) THEN 'Big Spender'
+              WHEN purchase_frequency > (SELECT AVG(purchase_frequency) FROM m2) THEN 'Frequent Buyer'
+              ELSE 'Development' END AS value_segment
+  FROM m2),
+export AS (
+  SELECT customer_id, customer_name, country, customer_segment, acquisition_channel, total_transactions,
+         total_spent, purchase_frequency, days_since_last_purchase, engagement_score, clv_estimate,
+         churn_risk, value_segment, conversion_rate, tenure_months
+  FROM profile)"""
+
+PROFILE_DOUBLES = ["total_spent", "avg_transaction_value", "avg_page_views", "tenure_months",
+                   "purchase_frequency", "avg_order_value", "conversion_rate", "engagement_score",
+                   "clv_estimate"]
+
+F: dict[str, tuple[str, list[str]]] = {}
+
+# ------------------------------------------------------------------ profile
+F["p01_extract_profile"] = ("""
+SELECT customer_id, customer_name, signup_date, country, customer_segment, acquisition_channel,
+       total_transactions, total_spent, avg_transaction_value, total_items, last_purchase_date,
+       engagement_days, avg_page_views, total_cart_adds, days_with_purchase
+FROM raw""", ["total_spent", "avg_transaction_value", "avg_page_views"])
+
+F["p12_process_metrics"] = ("SELECT * FROM profile", PROFILE_DOUBLES)
+
+# ------------------------------------------------------------------ reports
+F["r01_segment_analysis"] = (f"""
+SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("AVG(purchase_frequency)")} AS purchase_frequency_mean,
+       {B("AVG(engagement_score)")} AS engagement_score_mean
+FROM profile GROUP BY customer_segment""",
+    ["total_spent_sum", "total_spent_mean", "purchase_frequency_mean", "engagement_score_mean"])
+
+F["r02_churn_risk_report"] = (f"""
+SELECT churn_risk, COUNT(customer_id) AS customer_id_count,
+       {B("AVG(total_spent)")} AS total_spent_mean, {B("AVG(engagement_score)")} AS engagement_score_mean
+FROM profile GROUP BY churn_risk""", ["total_spent_mean", "engagement_score_mean"])
+
+F["r03_value_segment_report"] = (f"""
+SELECT value_segment, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("AVG(purchase_frequency)")} AS purchase_frequency_mean
+FROM profile GROUP BY value_segment""", ["total_spent_sum", "total_spent_mean", "purchase_frequency_mean"])
+
+F["r04_channel_report"] = (f"""
+SELECT acquisition_channel, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("AVG(engagement_score)")} AS engagement_score_mean
+FROM profile GROUP BY acquisition_channel""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
+
+_MONEY = "'₹' || format('{{:,.0f}}', {x})"
+
+F["r05_executive_summary"] = (f"""
+SELECT Metric, Value FROM (
+  SELECT 1 AS k, 'Total Customers' AS Metric, CAST(COUNT(*) AS VARCHAR) AS Value FROM profile
+  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="SUM(total_spent)")} FROM profile
+  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="AVG(total_spent)")} FROM profile
+  UNION ALL SELECT 4, 'Avg Engagement Score', format('{{:,.1f}}', AVG(engagement_score)) FROM profile
+  UNION ALL SELECT 5, 'Critical Risk Count', CAST(COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS VARCHAR)
+            FROM profile) ORDER BY k""", [])
+
+F["r06_custom_summary"] = (f"""
+SELECT Metric, Value FROM (
+  SELECT 1 AS k, 'Total Customers' AS Metric, CAST(COUNT(*) AS VARCHAR) AS Value FROM profile
+  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="SUM(total_spent)")} FROM profile
+  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="AVG(total_spent)")} FROM profile
+  UNION ALL SELECT 4, 'Critical Risk', CAST(COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS VARCHAR)
+            FROM profile) ORDER BY k""", [])
+
+F["r07_top_by_spend"] = ("""
+SELECT customer_name, customer_segment, total_spent, clv_estimate, churn_risk
+FROM profile ORDER BY total_spent DESC, customer_id LIMIT 20""", ["total_spent", "clv_estimate"])
+
+F["r08_at_risk"] = ("""
+SELECT customer_name, total_spent, days_since_last_purchase, engagement_score
+FROM profile WHERE churn_risk IN ('High', 'Critical') ORDER BY customer_id""",
+    ["total_spent", "engagement_score"])
+
+F["r09_segment_engagement"] = (f"""
+SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("AVG(engagement_score)")} AS engagement_score_mean
+FROM export GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
+
+F["r10_key_statistics"] = (f"""
+SELECT COUNT(*) AS total_customers, SUM(total_spent) AS total_revenue, AVG(total_spent) AS avg_customer_value,
+       {B("AVG(purchase_frequency)")} AS avg_purchase_frequency,
+       {B("AVG(engagement_score)", 1)} AS avg_engagement_score,
+       COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS critical_risk_customers,
+       COUNT(*) FILTER (WHERE value_segment = 'Star Customer') AS star_customers
+FROM profile""", ["total_revenue", "avg_customer_value", "avg_purchase_frequency", "avg_engagement_score"])
+
+# --------------------------------------------------------- tutorial analytics
+F["a01_shape_and_columns"] = ("SELECT COUNT(*) AS rows, CAST(15 AS BIGINT) AS columns FROM export", [])
+
+_DESC_COLS = ["total_spent", "purchase_frequency", "engagement_score"]
+
+
+def _describe_sql() -> str:
+    stats = [("count", "CAST(COUNT({c}) AS DOUBLE)"), ("mean", "AVG({c})"), ("std", "STDDEV_SAMP({c})"),
+             ("min", "CAST(MIN({c}) AS DOUBLE)"), ("25%", "quantile_cont({c}, 0.25)"),
+             ("50%", "quantile_cont({c}, 0.5)"), ("75%", "quantile_cont({c}, 0.75)"),
+             ("max", "CAST(MAX({c}) AS DOUBLE)")]
+    parts = []
+    for name, tmpl in stats:
+        cols = ", ".join(f"{tmpl.format(c=c)} AS {c}" for c in _DESC_COLS)
+        parts.append(f"SELECT '{name}' AS statistic, {cols} FROM export")
+    return "\nUNION ALL ".join(parts)
+
+
+F["a02_describe"] = (_describe_sql(), _DESC_COLS)
+
+F["a03_value_counts"] = ("""
+SELECT customer_segment, COUNT(*) AS count FROM export WHERE customer_segment IS NOT NULL
+GROUP BY customer_segment ORDER BY count DESC""", [])
+
+F["a04_high_value"] = ("""
+SELECT customer_id, customer_name, total_spent, churn_risk FROM export
+WHERE total_spent > 100000 ORDER BY customer_id""", ["total_spent"])
+
+F["a05_segment_summary"] = (f"""
+SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("quantile_cont(total_spent, 0.5)")} AS total_spent_median
+FROM export GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "total_spent_median"])
+
+F["a06_segment_by_churn_pivot"] = ("""
+SELECT customer_segment,
+       SUM(CASE WHEN churn_risk = 'Critical' THEN total_spent END) AS "Critical",
+       SUM(CASE WHEN churn_risk = 'High' THEN total_spent END) AS "High",
+       SUM(CASE WHEN churn_risk = 'Low' THEN total_spent END) AS "Low",
+       SUM(CASE WHEN churn_risk = 'Medium' THEN total_spent END) AS "Medium"
+FROM export GROUP BY customer_segment""", ["Critical", "High", "Low", "Medium"])
+
+F["a07_top_by_clv"] = ("""
+SELECT customer_name, total_spent, clv_estimate FROM export WHERE clv_estimate IS NOT NULL
+ORDER BY clv_estimate DESC, customer_id LIMIT 10""", ["total_spent", "clv_estimate"])
+
+F["a08_spend_percentiles"] = ("""
+SELECT quantile_cont(total_spent, 0.25) AS p25, quantile_cont(total_spent, 0.5) AS p50,
+       quantile_cont(total_spent, 0.75) AS p75 FROM export""", ["p25", "p50", "p75"])
+
+F["a09_spending_categories"] = ("""
+SELECT spending_category, COUNT(*) AS count FROM (
+  SELECT CASE WHEN total_spent > 200000 THEN 'Premium' WHEN total_spent > 100000 THEN 'Gold'
+              WHEN total_spent > 50000 THEN 'Silver' ELSE 'Bronze' END AS spending_category FROM export)
+GROUP BY spending_category ORDER BY count DESC""", [])
+
+F["a10_segment_gap"] = ("""
+SELECT 'BUILDING' AS segment_a, 'AUTOMOBILE' AS segment_b,
+       AVG(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END) AS mean_a,
+       AVG(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS mean_b,
+       AVG(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END)
+         - AVG(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS difference
+FROM export""", ["mean_a", "mean_b", "difference"])
+
+F["a11_rfm_quintiles"] = ("""
+SELECT e.customer_id, e.customer_name,
+       CAST(6 - (1 + CAST(r[1] < days_since_last_purchase AS INT) + CAST(r[2] < days_since_last_purchase AS INT)
+                   + CAST(r[3] < days_since_last_purchase AS INT) + CAST(r[4] < days_since_last_purchase AS INT))
+            AS INT) AS R_score,
+       CAST(CASE WHEN fr.f_rank IS NULL THEN NULL WHEN n <= 1 THEN 1
+                 ELSE GREATEST(1, ceil((fr.f_rank - 1) * 5 / (n - 1))) END AS INT) AS F_score,
+       CAST(1 + CAST(m[1] < total_spent AS INT) + CAST(m[2] < total_spent AS INT)
+              + CAST(m[3] < total_spent AS INT) + CAST(m[4] < total_spent AS INT) AS INT) AS M_score,
+       CAST(6 - (1 + CAST(r[1] < days_since_last_purchase AS INT) + CAST(r[2] < days_since_last_purchase AS INT)
+                   + CAST(r[3] < days_since_last_purchase AS INT) + CAST(r[4] < days_since_last_purchase AS INT))
+            AS VARCHAR)
+       || CAST(CAST(CASE WHEN fr.f_rank IS NULL THEN NULL WHEN n <= 1 THEN 1
+                 ELSE GREATEST(1, ceil((fr.f_rank - 1) * 5 / (n - 1))) END AS INT) AS VARCHAR)
+       || CAST(1 + CAST(m[1] < total_spent AS INT) + CAST(m[2] < total_spent AS INT)
+              + CAST(m[3] < total_spent AS INT) + CAST(m[4] < total_spent AS INT) AS VARCHAR) AS RFM_Score
+FROM export e
+CROSS JOIN (SELECT quantile_cont(days_since_last_purchase, [0.2, 0.4, 0.6, 0.8]) AS r,
+                   quantile_cont(total_spent, [0.2, 0.4, 0.6, 0.8]) AS m,
+                   COUNT(purchase_frequency) AS n FROM export) q
+LEFT JOIN (SELECT customer_id, row_number() OVER (ORDER BY purchase_frequency, customer_id) AS f_rank
+           FROM export WHERE purchase_frequency IS NOT NULL) fr ON fr.customer_id = e.customer_id""", [])
+
+_HEALTH = ("((engagement_score / 100 * 0.3) + (1 - (days_since_last_purchase / "
+           "NULLIF((SELECT MAX(days_since_last_purchase) FROM export), 0)) * 0.4) + "
+           "((purchase_frequency / NULLIF((SELECT MAX(purchase_frequency) FROM export), 0)) * 0.3)) * 100")
+
+F["a12_health_scores"] = (f"""
+SELECT customer_id, customer_name, {B(_HEALTH)} AS health_score FROM export""", ["health_score"])
+
+F["a12_top_health"] = (f"""
+SELECT customer_name, health_score FROM (
+  SELECT customer_id, customer_name, {B(_HEALTH)} AS health_score FROM export)
+WHERE health_score IS NOT NULL ORDER BY health_score DESC, customer_id LIMIT 10""", ["health_score"])
+
+F["a13_churn_signals"] = ("""
+SELECT customer_id, customer_name, total_spent, days_since_last_purchase, engagement_score FROM export
+WHERE days_since_last_purchase > 60 AND engagement_score < 50 AND purchase_frequency < 1
+ORDER BY customer_id""", ["total_spent", "engagement_score"])
+
+F["a14_pareto"] = ("""
+SELECT customer_id, customer_name, customer_segment, total_spent, spend_rank, cumulative_revenue,
+       100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT SUM(total_spent) FROM export), 0)) AS cumulative_pct
+FROM (SELECT customer_id, customer_name, customer_segment, total_spent,
+             CAST(row_number() OVER w AS INTEGER) AS spend_rank,
+             SUM(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
+      FROM export WINDOW w AS (ORDER BY total_spent DESC NULLS LAST, customer_id))
+ORDER BY spend_rank""", ["total_spent", "cumulative_revenue", "cumulative_pct"])
+
+F["a15_top_share"] = ("""
+SELECT CAST(floor((SELECT COUNT(*) FROM export) * 0.2) AS BIGINT) AS top_customers,
+       SUM(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END) AS top_revenue,
+       100.0::DOUBLE * (SUM(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END)
+                        / NULLIF((SELECT SUM(total_spent) FROM export), 0)) AS top_revenue_pct
+FROM (SELECT total_spent, row_number() OVER (ORDER BY total_spent DESC NULLS LAST, customer_id) AS rk
+      FROM export)""", ["top_revenue", "top_revenue_pct"])
+
+F["a16_channel_roi"] = (f"""
+SELECT acquisition_channel, COUNT(customer_id) AS customer_id_count,
+       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
+       {B("AVG(engagement_score)")} AS engagement_score_mean,
+       COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS churn_risk_critical
+FROM export GROUP BY acquisition_channel""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
+
+F["a17_retention_by_tenure"] = (f"""
+SELECT tenure_band, customers, avg_spent, critical_risk_pct FROM (
+  SELECT band_index, tenure_band, COUNT(customer_id) AS customers, {B("AVG(total_spent)")} AS avg_spent,
+         {B("COUNT(*) FILTER (WHERE churn_risk = 'Critical') / COUNT(*) * 100")} AS critical_risk_pct
+  FROM (SELECT *, CASE WHEN tenure_months > 0 AND tenure_months <= 3 THEN 0
+                       WHEN tenure_months > 3 AND tenure_months <= 6 THEN 1
+                       WHEN tenure_months > 6 AND tenure_months <= 12 THEN 2
+                       WHEN tenure_months > 12 AND tenure_months <= 24 THEN 3
+                       WHEN tenure_months > 24 AND tenure_months <= 100 THEN 4 END AS band_index,
+                  CASE WHEN tenure_months > 0 AND tenure_months <= 3 THEN '(0, 3]'
+                       WHEN tenure_months > 3 AND tenure_months <= 6 THEN '(3, 6]'
+                       WHEN tenure_months > 6 AND tenure_months <= 12 THEN '(6, 12]'
+                       WHEN tenure_months > 12 AND tenure_months <= 24 THEN '(12, 24]'
+                       WHEN tenure_months > 24 AND tenure_months <= 100 THEN '(24, 100]' END AS tenure_band
+        FROM export) WHERE tenure_band IS NOT NULL
+  GROUP BY band_index, tenure_band) ORDER BY band_index""", ["avg_spent", "critical_risk_pct"])
+
+# ------------------------------------------------------------- chart datasets
+
+
+def _counts(col: str, src: str = "profile") -> str:
+    return (f"SELECT {col}, COUNT(*) AS count FROM {src} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col} ORDER BY count DESC")
+
+
+def _hist(col: str, bins: int, where: str = "TRUE") -> str:
+    return f"""
+SELECT CAST(g.bin AS INTEGER) AS bin, lo + g.bin * ((hi - lo) / {bins}) AS bin_start,
+       lo + (g.bin + 1) * ((hi - lo) / {bins}) AS bin_end, coalesce(cnt.c, 0) AS count
+FROM (SELECT range AS bin FROM range(0, {bins})) g
+CROSS JOIN (SELECT CASE WHEN MIN(x) = MAX(x) THEN MIN(x) - 0.5 ELSE MIN(x) END AS lo,
+                   CASE WHEN MIN(x) = MAX(x) THEN MAX(x) + 0.5 ELSE MAX(x) END AS hi
+            FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile WHERE {col} IS NOT NULL AND {where})) b
+LEFT JOIN (SELECT CAST(LEAST(floor((x - lo) * {bins} / (hi - lo)), {bins - 1}) AS BIGINT) AS bin, COUNT(*) AS c
+           FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile WHERE {col} IS NOT NULL AND {where})
+           CROSS JOIN (SELECT CASE WHEN MIN(x) = MAX(x) THEN MIN(x) - 0.5 ELSE MIN(x) END AS lo,
+                              CASE WHEN MIN(x) = MAX(x) THEN MAX(x) + 0.5 ELSE MAX(x) END AS hi
+                       FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile
+                             WHERE {col} IS NOT NULL AND {where})) b2
+           GROUP BY 1) cnt ON cnt.bin = g.bin
+WHERE b.lo IS NOT NULL
+ORDER BY bin"""
+
+
+F["c01_customers_by_segment"] = (_counts("customer_segment"), [])
+F["c02_churn_distribution"] = ("""
+SELECT churn_risk, COUNT(*) AS count,
+       100.0::DOUBLE * (COUNT(*) / (SELECT COUNT(*) FROM profile WHERE churn_risk IS NOT NULL)) AS share_pct
+FROM profile WHERE churn_risk IS NOT NULL GROUP BY churn_risk ORDER BY count DESC""", ["share_pct"])
+F["c03_value_segment_counts"] = (_counts("value_segment"), [])
+F["c04_spend_frequency_points"] = ("""
+SELECT customer_id, purchase_frequency, total_spent, engagement_score FROM profile""",
+    ["purchase_frequency", "total_spent", "engagement_score"])
+F["c05_recency_histogram"] = (_hist("days_since_last_purchase", 30, "days_since_last_purchase < 365"),
+                              ["bin_start", "bin_end"])
+F["c06_engagement_by_segment"] = ("""
+SELECT customer_segment, AVG(engagement_score) AS engagement_score_mean FROM profile
+WHERE customer_segment IS NOT NULL GROUP BY customer_segment ORDER BY engagement_score_mean DESC""",
+    ["engagement_score_mean"])
+
+_BOX = """
+SELECT s.customer_segment, COUNT(*) AS n, q1, median, q3,
+       coalesce(MIN(CASE WHEN clv_estimate >= q1 - 1.5 * (q3 - q1) THEN clv_estimate END), q1) AS whisker_low,
+       coalesce(MAX(CASE WHEN clv_estimate <= q3 + 1.5 * (q3 - q1) THEN clv_estimate END), q3) AS whisker_high,
+       COUNT(*) FILTER (WHERE clv_estimate < q1 - 1.5 * (q3 - q1) OR clv_estimate > q3 + 1.5 * (q3 - q1))
+         AS outliers
+FROM profile s JOIN (
+  SELECT customer_segment, quantile_cont(clv_estimate, 0.25) AS q1, quantile_cont(clv_estimate, 0.5) AS median,
+         quantile_cont(clv_estimate, 0.75) AS q3
+  FROM profile WHERE clv_estimate IS NOT NULL AND customer_segment IS NOT NULL GROUP BY customer_segment) q
+  ON q.customer_segment = s.customer_segment
+WHERE s.clv_estimate IS NOT NULL
+GROUP BY s.customer_segment, q1, median, q3"""
+
+F["c07_clv_box_stats"] = (_BOX, ["q1", "median", "q3", "whisker_low", "whisker_high"])
+F["c07_clv_outliers"] = (f"""
+SELECT p.customer_segment, p.customer_id, p.clv_estimate
+FROM profile p JOIN ({_BOX}) b ON b.customer_segment = p.customer_segment
+WHERE p.clv_estimate IS NOT NULL AND (p.clv_estimate < b.whisker_low OR p.clv_estimate > b.whisker_high)""",
+    ["clv_estimate"])
+F["c08_conversion_by_channel"] = ("""
+SELECT acquisition_channel, AVG(conversion_rate) AS conversion_rate_mean FROM profile
+WHERE acquisition_channel IS NOT NULL GROUP BY acquisition_channel ORDER BY conversion_rate_mean DESC""",
+    ["conversion_rate_mean"])
+F["c09_transaction_histogram"] = (_hist("total_transactions", 20), ["bin_start", "bin_end"])
+F["c10_revenue_by_segment"] = ("""
+SELECT customer_segment, SUM(total_spent) AS total_spent_sum FROM profile
+WHERE customer_segment IS NOT NULL GROUP BY customer_segment""", ["total_spent_sum"])
+
+
+# name -> (SQL whose WITH clause carries the profile CTEs, DOUBLE columns)
+PROFILE_FAMILY_SQL: dict[str, tuple[str, list[str]]] = {
+    name: (body, dcols) for name, (body, dcols) in F.items()
+}
+PROFILE_CTE_NAMES = set(F)
