@@ -135,7 +135,7 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
              .rowsBetween(Window.unboundedPreceding, -1))
     offs = [F.coalesce(F.sum("__bn").over(prior), F.lit(0)).alias("__off_n")]
     if running_sum:
-        offs.append(F.coalesce(F.sum("__bs").over(prior), F.lit(0)).alias("__off_s"))
+        offs.append(F.sum("__bs").over(prior).alias("__off_s"))  # null: nothing non-null before
     offsets = bstats.select(*group, "__major", "__minor", *offs)
     if not group:
         # at most (2K+1) + K*(K-1) + K rows: a proven bound, safe to broadcast.
@@ -145,8 +145,11 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
     w = Window.partitionBy(*group, "__major", "__minor").orderBy(v_order, i.asc())
     out = ranked.withColumn(rank_col, F.row_number().over(w) + F.col("__off_n"))
     if running_sum:
-        out = out.withColumn(sum_col, F.sum(running_sum).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__off_s"))
+        local = F.sum(running_sum).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        off = F.col("__off_s")
+        # null only while no non-null value has been seen, like the global window
+        out = out.withColumn(sum_col, F.when(local.isNull() & off.isNull(), F.lit(None))
+                             .otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0))))
     return out.drop("__major", "__minor", "__off_n", "__off_s")
 
 
