@@ -110,3 +110,14 @@ def first_match(cases: list[tuple[Column, str]], default: str | None) -> Column:
     for cond, val in cases:
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr.otherwise(F.lit(default)) if default is not None else expr
+
+
+def scalar_fields(row_df, cols: list[str]) -> dict[str, Column]:
+    """Columns of a one-row frame as scalar values for use in other plans.
+
+    One struct-valued scalar subquery carries all fields, so the row is
+    computed by a single job and its value is inlined as a literal in every
+    task (no join, no broadcast of a frame).
+    """
+    s = row_df.select(F.struct(*cols).alias("s")).scalar()
+    return {c: s.getField(c) for c in cols}

@@ -35,6 +35,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exprs import scalar_fields
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1000
 _NULL_MAJOR_PAD = 10
@@ -57,7 +59,8 @@ def _attach(df: DataFrame, small: DataFrame, group: list[str], cols: list[str])
     when its materialised size is below the threshold, else sort-merges.
     """
     if not group:
-        return df.select("*", *[small.select(c).scalar().alias(c) for c in cols])
+        vals = scalar_fields(small, cols)
+        return df.select("*", *[vals[c].alias(c) for c in cols])
     return df.join(small.select(*group, *cols), group, "left")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div
+from ..functions.exprs import safe_div, scalar_fields
 from ..functions.ranking import ROWS_PER_BUCKET, exact_percentiles
 from .segments import value_counts
 
@@ -51,8 +51,10 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     x = F.col(col).cast("double")
     data = df.where(F.col(col).isNotNull()).select(x.alias("x"))
     bounds = data.agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    lo_s = bounds.select(F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))).scalar()
-    hi_s = bounds.select(F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))).scalar()
+    lim = scalar_fields(bounds.select(
+        F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
+        F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi")), ["lo", "hi"])
+    lo_s, hi_s = lim["lo"], lim["hi"]
     idx = F.least(F.floor((F.col("x") - lo_s) * bins / (hi_s - lo_s)), F.lit(bins - 1)).cast("int")
     counts = data.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = (bounds.where(F.col("mn").isNotNull())

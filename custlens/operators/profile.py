@@ -26,7 +26,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import at_least_one, clip, first_match, safe_div, whole_days_since
+from ..functions.exprs import at_least_one, clip, first_match, safe_div, scalar_fields, whole_days_since
 from .summaries import eng_by_customer, tx_by_customer
 
 _CID = "customer_id"
@@ -112,8 +112,9 @@ def process_metrics(profile: DataFrame, as_of: datetime) -> DataFrame:
         churn_risk("days_since_last_purchase", "purchase_frequency").alias("churn_risk"),
     )
     # Global means as scalar subqueries (run once, inlined as literals).
-    avg_spent = m.select(F.avg("total_spent")).scalar()
-    avg_freq = m.select(F.avg("purchase_frequency")).scalar()
+    means = scalar_fields(m.agg(F.avg("total_spent").alias("s"), F.avg("purchase_frequency").alias("f")),
+                          ["s", "f"])
+    avg_spent, avg_freq = means["s"], means["f"]
     spent_hi = F.col("total_spent") > avg_spent
     freq_hi = F.col("purchase_frequency") > avg_freq
     value = first_match([
@@ -125,7 +126,18 @@ def process_metrics(profile: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
-                  fanout: bool = True) -> DataFrame:
-    """P12 over P01: the full profile (lazy).  Materialise it once with
-    ``plans.materialize.persist_profile`` when several reports read it."""
-    return process_metrics(extract_profile(C, T, E, fanout=fanout), as_of)
+                  fanout: bool = True, materialize: bool = True) -> DataFrame:
+    """P12 over P01: the full profile.
+
+    With ``materialize`` (default) the extracted profile — one row per
+    customer, the output of the only heavy work (scanning and aggregating
+    the fact tables) — is checkpointed into ``spark.checkpoint.dir`` first.
+    The metric pass and the scalar subquery of the global means then both
+    read that checkpoint instead of aggregating the fact tables twice, and
+    the lineage is cut, so a lost executor never re-runs the aggregation.
+    """
+    extracted = extract_profile(C, T, E, fanout=fanout)
+    if materialize:
+        from ..plans.materialize import checkpoint
+        extracted = checkpoint(extracted)
+    return process_metrics(extracted, as_of)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import first_match, pd_round, safe_div
+from ..functions.exprs import first_match, pd_round, safe_div, scalar_fields
 from ..functions.ranking import ROWS_PER_BUCKET, exact_percentiles, ordered_rank, quantile_bin
 
 _CID = "customer_id"
@@ -43,8 +43,13 @@ def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS,
         F.max(c).cast("double").alias(f"{c}__max"))])
     quarts = [exact_percentiles(P, c, _CID, [0.25, 0.5, 0.75], names=[f"{c}__25%", f"{c}__50%", f"{c}__75%"],
                                 rows_per_bucket=rows_per_bucket) for c in cols]
-    row = moments.select("*", *[q.select(f"`{n}`").scalar().alias(n) for q, c in zip(quarts, cols)
-                                for n in (f"{c}__25%", f"{c}__50%", f"{c}__75%")])
+    qvals = {}
+    for q, c in zip(quarts, cols):
+        names = [f"{c}__25%", f"{c}__50%", f"{c}__75%"]
+        fields = scalar_fields(q.select(*[F.col(f"`{n}`").alias(f"q{i}") for i, n in enumerate(names)]),
+                               ["q0", "q1", "q2"])
+        qvals.update({n: fields[f"q{i}"] for i, n in enumerate(names)})
+    row = moments.select("*", *[v.alias(n) for n, v in qvals.items()])
     body = ", ".join(f"'{s}', " + ", ".join(f"`{c}__{s}`" for c in cols) for s in stats)
     names = ", ".join(["statistic", *cols])
     return row.selectExpr(f"stack({len(stats)}, {body}) AS ({names})")
@@ -130,8 +135,10 @@ def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
                                 rows_per_bucket=rows_per_bucket)
     m_edges = exact_percentiles(P, "total_spent", _CID, probs, names=["m1", "m2", "m3", "m4"],
                                 rows_per_bucket=rows_per_bucket)
-    r_edges_c = [r_edges.select(c).scalar() for c in ["r1", "r2", "r3", "r4"]]
-    m_edges_c = [m_edges.select(c).scalar() for c in ["m1", "m2", "m3", "m4"]]
+    r_vals = scalar_fields(r_edges, ["r1", "r2", "r3", "r4"])
+    m_vals = scalar_fields(m_edges, ["m1", "m2", "m3", "m4"])
+    r_edges_c = [r_vals[c] for c in ["r1", "r2", "r3", "r4"]]
+    m_edges_c = [m_vals[c] for c in ["m1", "m2", "m3", "m4"]]
     r_bin = quantile_bin(F.col("days_since_last_purchase"), r_edges_c)
     m_bin = quantile_bin(F.col("total_spent"), m_edges_c)
     freq = P.where(F.col("purchase_frequency").isNotNull())
@@ -152,8 +159,9 @@ def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
 def health_scores(P: DataFrame) -> DataFrame:
     """Health score, with the reference's precedence:
     (eng/100*0.3 + (1 - d/max_d*0.4) + f/max_f*0.3) * 100, rounded half-even."""
-    max_d = P.select(F.max("days_since_last_purchase")).scalar()
-    max_f = P.select(F.max("purchase_frequency")).scalar()
+    maxima = scalar_fields(P.agg(F.max("days_since_last_purchase").alias("d"),
+                                 F.max("purchase_frequency").alias("f")), ["d", "f"])
+    max_d, max_f = maxima["d"], maxima["f"]
     score = (F.col("engagement_score") / 100 * 0.3
              + (1 - safe_div(F.col("days_since_last_purchase"), max_d) * 0.4)
              + safe_div(F.col("purchase_frequency"), max_f) * 0.3) * 100
@@ -190,9 +198,9 @@ def pareto(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
 
 def top_share(P: DataFrame, share: float = 0.2, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Percentage of revenue from the top int(share * n) customers."""
-    n = P.select(F.count(F.lit(1))).scalar()
+    stats = scalar_fields(P.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spent").alias("t")), ["n", "t"])
+    n, total = stats["n"], stats["t"]
     k = F.floor(n * F.lit(float(share)))
-    total = P.select(F.sum("total_spent")).scalar()
     ranked = ordered_rank(P.select(_CID, "total_spent"), "total_spent", _CID, descending=True,
                           rank_col="spend_rank", rows_per_bucket=rows_per_bucket)
     top = F.sum(F.when(F.col("spend_rank") <= k, F.col("total_spent")).otherwise(F.lit(0.0)))

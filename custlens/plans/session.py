@@ -28,6 +28,12 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings applied only when this module builds the session (static confs).
+BUILD_ONLY = {
+    # remove checkpoint files once their DataFrame is garbage-collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def build_session(app: str = "custlens", cpus: int | str = "*", shuffle_partitions: int | None = None,
                   driver_memory: str = "16g", extra: dict | None = None) -> SparkSession:
@@ -37,7 +43,7 @@ def build_session(app: str = "custlens", cpus: int | str = "*", shuffle_partitio
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", driver_memory)
          .config("spark.sql.shuffle.partitions", str(parts)))
-    for k, v in {**DEFAULTS, **(extra or {})}.items():
+    for k, v in {**DEFAULTS, **BUILD_ONLY, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

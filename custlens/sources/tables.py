@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,17 +63,23 @@ def insert_or_ignore(existing: DataFrame | None, incoming: DataFrame, key: str |
                      order_by: list[Column] | list[str] | None = None, table: str | None = None) -> DataFrame:
     """L4: ``INSERT OR IGNORE`` semantics for a batch.
 
-    Within the batch the first row per key wins (``order_by`` decides which
-    is first; default: the key itself, i.e. any one row deterministically
-    by the remaining columns); rows whose key already exists are dropped.
-    Returns the rows to append.  A left-anti join does the existence test,
-    so neither side is collected; re-running the same batch yields nothing.
+    Within the batch the first row per key wins (smallest ``order_by``;
+    default: the remaining columns, so the choice is deterministic); rows
+    whose key already exists are dropped.  Returns the rows to append.
+
+    The winner per key is a ``min_by`` aggregate, which combines map-side:
+    even a key duplicated across a third of the batch leaves each task with
+    one candidate row, never a whole group.  A left-anti join does the
+    existence test; re-running the same batch yields nothing.
     """
     key = key or PRIMARY_KEYS[table]
-    order = order_by or [F.col(c) for c in incoming.columns if c != key]
-    w = Window.partitionBy(key).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
-    first = incoming.where(F.col(key).isNotNull()) \
-        .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    others = [c for c in incoming.columns if c != key]
+    order = [F.col(c) if isinstance(c, str) else c for c in (order_by or others)]
+    rank = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    first = (incoming.where(F.col(key).isNotNull())
+             .groupBy(key).agg(F.min_by(F.struct(*others), rank).alias("__row"))
+             .select(key, *[F.col(f"__row.{c}").alias(c) for c in others])
+             .select(*incoming.columns))
     if existing is None:
         return first
     return first.join(existing.select(key), key, "left_anti")
