@@ -60,10 +60,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint directory from ``spark.checkpoint.dir``; a private temp dir only
-    when the session names none (local tests)."""
-    sc = spark.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Checkpoint directory from ``spark.checkpoint.dir``; a private temp dir
+    only when the session names none (local tests).  Under Spark Connect
+    there is no client-side context; the server's setting applies."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect session)
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
