@@ -10,6 +10,11 @@ operators are designed around:
   known to be below ``spark.sql.adaptive.autoBroadcastJoinThreshold``).
 * ``spark.sql.shuffle.partitions`` sized from the cores; AQE coalesces
   small partitions, so a generous number is cheap.
+* Post-shuffle partitions target ~128 MB (``advisoryPartitionSizeInBytes``)
+  and scans split files at 256 MB, so at 100 TB a stage has ~400k input
+  tasks of bounded size and AQE sizes the shuffles from runtime statistics;
+  ``coalescePartitions.initialPartitionNum`` is set from the cluster's cores
+  by the deployment, the shuffle-partition count here is only the start.
 * Session time zone UTC: every ``as_of`` is a UTC wall-clock time.
 * Spark UI off (no server in batch jobs).
 """
@@ -24,6 +29,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
