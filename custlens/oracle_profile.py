@@ -83,8 +83,31 @@ SELECT customer_id, customer_name, signup_date, country, customer_segment, acqui
        engagement_days, avg_page_views, total_cart_adds, days_with_purchase
 FROM raw""", ["total_spent", "avg_transaction_value", "avg_page_views"])
 
+F["p01_extract_profile_dedup"] = ("""
+SELECT c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segment, c.acquisition_channel,
+       coalesce(t.n, 0) AS total_transactions, t.s AS total_spent, t.a AS avg_transaction_value,
+       t.q AS total_items, t.last AS last_purchase_date, coalesce(e.days, 0) AS engagement_days,
+       e.apv AS avg_page_views, e.cart AS total_cart_adds, coalesce(e.pr, 0) AS days_with_purchase
+FROM customers c
+LEFT JOIN (SELECT customer_id, COUNT(DISTINCT transaction_id) AS n, SUM(amount) AS s, AVG(amount) AS a,
+                  CAST(SUM(quantity) AS BIGINT) AS q, MAX(transaction_date) AS last
+           FROM transactions GROUP BY customer_id) t ON t.customer_id = c.customer_id
+LEFT JOIN (SELECT customer_id, COUNT(DISTINCT engagement_date) AS days, AVG(page_views) AS apv,
+                  CAST(SUM(items_added_to_cart) AS BIGINT) AS cart,
+                  CAST(SUM(CASE WHEN items_purchased > 0 THEN 1 ELSE 0 END) AS BIGINT) AS pr
+           FROM engagement GROUP BY customer_id) e ON e.customer_id = c.customer_id""",
+    ["total_spent", "avg_transaction_value", "avg_page_views"])
+
 F["p12_process_metrics"] = ("SELECT * FROM profile", PROFILE_DOUBLES)
 
+F["p13_churn_risk"] = ("""
+SELECT customer_id, days_since_last_purchase, purchase_frequency, churn_risk FROM profile""",
+    ["purchase_frequency"])
+
+F["p14_value_segment"] = ("""
+SELECT customer_id, total_spent, purchase_frequency, value_segment FROM profile""",
+    ["total_spent", "purchase_frequency"])
+
 # ------------------------------------------------------------------ reports
 F["r01_segment_analysis"] = (f"""
 SELECT customer_segment, COUNT(customer_id) AS customer_id_count,

@@ -32,7 +32,12 @@ def _on_export(name, fn):
 
 
 _reg("p01_extract_profile", lambda C, T, E: Pr.extract_profile(C, T, E))
+_reg("p01_extract_profile_dedup", lambda C, T, E: Pr.extract_profile(C, T, E, fanout=False))
 _reg("p12_process_metrics", _profile)
+_on_profile("p13_churn_risk", lambda P: P.select("customer_id", "days_since_last_purchase",
+                                                 "purchase_frequency", "churn_risk"))
+_on_profile("p14_value_segment", lambda P: P.select("customer_id", "total_spent", "purchase_frequency",
+                                                    "value_segment"))
 
 _on_profile("r01_segment_analysis", Rp.segment_analysis)
 _on_profile("r02_churn_risk_report", Rp.churn_risk_report)

@@ -41,3 +41,40 @@ def test_scalar_subquery_not_cross_join(spark):
     for df in (Q.customers_by_channel(C), Q.business_kpis(C, T, AS_OF), Pr.build_profile(C, T, E, AS_OF)):
         text = explain_text(df, "simple")
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def _agg_lines(df):
+    return [ln for ln in explain_text(df, "simple").splitlines() if "Aggregate" in ln]
+
+
+def test_fact_aggregation_combines_map_side(spark):
+    """A hot customer sends one partial row per map task: every aggregate over the
+    fact tables has a partial stage below its exchange."""
+    from custlens.operators.summaries import eng_by_customer, tx_by_customer
+    C, T, E = testmap.load(spark, SF_SMALL)
+    for df in (tx_by_customer(T), eng_by_customer(E)):
+        lines = _agg_lines(df)
+        assert any("partial_" in ln for ln in lines)
+        assert lines[-1].count("partial_") > 0  # the bottom (map-side) aggregate is partial
+
+
+def test_insert_or_ignore_is_combinable(spark):
+    from custlens.sources.tables import insert_or_ignore
+    C, T, E = testmap.load(spark, SF_SMALL)
+    text = explain_text(insert_or_ignore(None, T, table="transactions"), "simple")
+    assert "partial_min_by" in text and "Window" not in text
+
+
+def test_exact_distinct_and_dedup_options(spark):
+    from custlens.operators.summaries import tx_by_customer
+    C, T, E = testmap.load(spark, SF_SMALL)
+    a = {r.customer_id: r.distinct_ids for r in tx_by_customer(T).collect()}
+    b = {r.customer_id: r.distinct_ids for r in tx_by_customer(T, exact_distinct=True).collect()}
+    assert a == b
+    fan = {r.customer_id: r for r in Pr.extract_profile(C, T, E).collect()}
+    flat = {r.customer_id: r for r in Pr.extract_profile(C, T, E, fanout=False).collect()}
+    assert fan.keys() == flat.keys()
+    assert any(fan[k].total_spent != flat[k].total_spent for k in fan)  # some customers fan out
+    for k in fan:
+        assert fan[k].avg_transaction_value == flat[k].avg_transaction_value
+        assert fan[k].engagement_days == flat[k].engagement_days
