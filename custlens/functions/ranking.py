@@ -189,6 +189,21 @@ def exact_percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[fl
     return picked.select(*group, *outs)
 
 
+def percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
+                group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
+                approx: bool = False, accuracy: int = 10000,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact percentiles (default) or, with ``approx=True``, ``percentile_approx``
+    (one pass with mergeable sketches; rank error about n/accuracy)."""
+    group = _group_cols(group_cols)
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    if not approx:
+        return exact_percentiles(df, value, id_col, probs, group, names, rows_per_bucket)
+    arr = F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy)
+    agg = df.groupBy(*group).agg(arr.alias("__q"))
+    return agg.select(*group, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def quantile_bin(x: Column, interior_edges: Sequence[Column]) -> Column:
     """Right-closed bin of ``x`` given the interior quantile edges (the
     quantiles at 1/b .. (b-1)/b): 1 + number of edges below ``x``.  Repeated

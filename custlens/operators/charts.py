@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div, scalar_fields
-from ..functions.ranking import ROWS_PER_BUCKET, exact_percentiles
+from ..functions.ranking import ROWS_PER_BUCKET, percentiles
 from .segments import value_counts
 
 _CID = "customer_id"
@@ -79,7 +79,7 @@ def engagement_by_segment(P: DataFrame) -> DataFrame:
             .orderBy(F.desc("engagement_score_mean"), "customer_segment"))
 
 
-def clv_box_stats(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def clv_box_stats(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """Box-plot statistics of CLV per segment.
 
     Quartiles are exact (linear); whiskers reach the most extreme data
@@ -87,8 +87,8 @@ def clv_box_stats(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
     counts the points beyond them (``clv_outliers`` lists them).
     """
     base = P.where(F.col("clv_estimate").isNotNull() & F.col("customer_segment").isNotNull())
-    q = exact_percentiles(base, "clv_estimate", _CID, [0.25, 0.5, 0.75], group_cols="customer_segment",
-                          names=["q1", "median", "q3"], rows_per_bucket=rows_per_bucket)
+    q = percentiles(base, "clv_estimate", _CID, [0.25, 0.5, 0.75], group_cols="customer_segment",
+                    names=["q1", "median", "q3"], approx=approx, rows_per_bucket=rows_per_bucket)
     j = base.select("customer_segment", "clv_estimate").join(q, "customer_segment")
     iqr = F.col("q3") - F.col("q1")
     lo_fence, hi_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
@@ -104,10 +104,10 @@ def clv_box_stats(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
             .orderBy("customer_segment"))
 
 
-def clv_outliers(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def clv_outliers(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """C7 (points): customers whose CLV lies beyond the whiskers of their segment."""
     base = P.where(F.col("clv_estimate").isNotNull() & F.col("customer_segment").isNotNull())
-    box = clv_box_stats(P, rows_per_bucket).select("customer_segment", "whisker_low", "whisker_high")
+    box = clv_box_stats(P, rows_per_bucket, approx).select("customer_segment", "whisker_low", "whisker_high")
     v = F.col("clv_estimate")
     return (base.select(_CID, "customer_segment", "clv_estimate").join(box, "customer_segment")
             .where((v < F.col("whisker_low")) | (v > F.col("whisker_high")))

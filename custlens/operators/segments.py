@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_match, pd_round, safe_div, scalar_fields
-from ..functions.ranking import ROWS_PER_BUCKET, exact_percentiles, ordered_rank, quantile_bin
+from ..functions.ranking import ROWS_PER_BUCKET, ordered_rank, percentiles, quantile_bin
 
 _CID = "customer_id"
 
@@ -33,7 +33,7 @@ def shape_and_columns(P: DataFrame) -> DataFrame:
 
 
 def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS,
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+             rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, 25%, 50%, 75%, max per column
     (pandas ``describe``); quartiles are exact (linear interpolation)."""
     stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -41,8 +41,8 @@ def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS,
         F.count(c).cast("double").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
         F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
         F.max(c).cast("double").alias(f"{c}__max"))])
-    quarts = [exact_percentiles(P, c, _CID, [0.25, 0.5, 0.75], names=[f"{c}__25%", f"{c}__50%", f"{c}__75%"],
-                                rows_per_bucket=rows_per_bucket) for c in cols]
+    quarts = [percentiles(P, c, _CID, [0.25, 0.5, 0.75], names=[f"{c}__25%", f"{c}__50%", f"{c}__75%"],
+                          approx=approx, rows_per_bucket=rows_per_bucket) for c in cols]
     qvals = {}
     for q, c in zip(quarts, cols):
         names = [f"{c}__25%", f"{c}__50%", f"{c}__75%"]
@@ -69,15 +69,15 @@ def high_value(P: DataFrame, min_spent: float = 100000, n: int | None = None) ->
     return out.limit(n) if n else out
 
 
-def segment_summary(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def segment_summary(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """Count, sum, mean and exact median of spend per segment."""
     agg = P.groupBy("customer_segment").agg(
         F.count(_CID).alias("customer_id_count"),
         pd_round(F.sum("total_spent"), 2).alias("total_spent_sum"),
         pd_round(F.avg("total_spent"), 2).alias("total_spent_mean"))
-    med = exact_percentiles(P.where(F.col("customer_segment").isNotNull()), "total_spent", _CID, [0.5],
-                            group_cols="customer_segment", names=["total_spent_median"],
-                            rows_per_bucket=rows_per_bucket)
+    med = percentiles(P.where(F.col("customer_segment").isNotNull()), "total_spent", _CID, [0.5],
+                      group_cols="customer_segment", names=["total_spent_median"], approx=approx,
+                      rows_per_bucket=rows_per_bucket)
     med = med.select("customer_segment", pd_round("total_spent_median", 2).alias("total_spent_median"))
     return agg.join(med, "customer_segment", "left").orderBy("customer_segment")
 
@@ -96,10 +96,10 @@ def top_by_clv(P: DataFrame, k: int = 10) -> DataFrame:
             .select("customer_name", "total_spent", "clv_estimate"))
 
 
-def spend_percentiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def spend_percentiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """25th, 50th and 75th percentile of spend (NumPy linear rule)."""
-    return exact_percentiles(P, "total_spent", _CID, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"],
-                             rows_per_bucket=rows_per_bucket)
+    return percentiles(P, "total_spent", _CID, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"],
+                       approx=approx, rows_per_bucket=rows_per_bucket)
 
 
 def spending_category_col():
@@ -121,7 +121,7 @@ def segment_gap(P: DataFrame, a: str = "Loyal", b: str = "At-Risk") -> DataFrame
                 (F.col("mean_a") - F.col("mean_b")).alias("difference"))
 
 
-def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
     """R, F, M quintile scores and the concatenated RFM score.
 
     R and M: bins between the exact quantiles at 0, .2, ..., 1 (right-closed,
@@ -129,12 +129,13 @@ def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
     frequency *rank* (ties by customer id), whose edges have the closed
     form 1 + (n-1)k/5, so the bin is an integer formula.  Repeated edges
     merge bins and keep the lowest label; null input gives a null score.
+    ``approx=True`` takes the R and M edges from ``percentile_approx``.
     """
     probs = [0.2, 0.4, 0.6, 0.8]
-    r_edges = exact_percentiles(P, "days_since_last_purchase", _CID, probs, names=["r1", "r2", "r3", "r4"],
-                                rows_per_bucket=rows_per_bucket)
-    m_edges = exact_percentiles(P, "total_spent", _CID, probs, names=["m1", "m2", "m3", "m4"],
-                                rows_per_bucket=rows_per_bucket)
+    r_edges = percentiles(P, "days_since_last_purchase", _CID, probs, names=["r1", "r2", "r3", "r4"],
+                          approx=approx, rows_per_bucket=rows_per_bucket)
+    m_edges = percentiles(P, "total_spent", _CID, probs, names=["m1", "m2", "m3", "m4"],
+                          approx=approx, rows_per_bucket=rows_per_bucket)
     r_vals = scalar_fields(r_edges, ["r1", "r2", "r3", "r4"])
     m_vals = scalar_fields(m_edges, ["m1", "m2", "m3", "m4"])
     r_edges_c = [r_vals[c] for c in ["r1", "r2", "r3", "r4"]]

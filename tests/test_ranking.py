@@ -64,3 +64,13 @@ def test_small_input_uses_plain_window(spark):
     got = ordered_rank(df, "v", "id", descending=True, running_sum="v")
     assert [(r.id, r.row_number, r.running_sum) for r in got.orderBy("row_number").collect()] == \
         [(1, 1, 3.0), (3, 2, 5.0), (2, 3, 6.0)]
+
+
+def test_approx_percentiles_close(skewed):
+    from custlens.functions.ranking import percentiles
+    exact = percentiles(skewed, "v", "id", [0.25, 0.5, 0.75], group_cols="g").orderBy("g").collect()
+    approx = percentiles(skewed, "v", "id", [0.25, 0.5, 0.75], group_cols="g", approx=True).orderBy("g").collect()
+    for e, a in zip(exact, approx):
+        assert e.g == a.g
+        for name in ("p25", "p50", "p75"):
+            assert abs(e[name] - a[name]) <= 5.0  # values 0..500; rank error ~ n/10000
