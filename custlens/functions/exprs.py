@@ -89,6 +89,15 @@ def clip(col, lo: float, hi: float) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
+def exact_mean_rounded(exact_sum, count, scale: int = 2) -> Column:
+    """ROUND(sum / count, scale) evaluated in decimal (half away from zero),
+    returned as double; null when count is 0.  ``exact_sum`` is a DECIMAL
+    sum, so a mean that is exactly a tie (e.g. x.xx5) rounds up as exact
+    arithmetic says, whatever the float summation order."""
+    q = _c(exact_sum) / F.nullif(_c(count), F.lit(0)).cast("decimal(20,0)")
+    return F.round(q, scale).cast("double")
+
+
 def month(col) -> Column:
     """strftime('%Y-%m', d)."""
     return F.date_format(_c(col), "yyyy-MM")

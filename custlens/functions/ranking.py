@@ -158,13 +158,16 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
 
 def exact_percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
                       group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                      rows_per_bucket: int = ROWS_PER_BUCKET, decimal: bool = False) -> DataFrame:
     """Exact percentiles with linear interpolation between ranks (NumPy's
     default rule, DuckDB ``quantile_cont``), one row per group.
 
     Nulls are ignored.  Built on ``ordered_rank``: only the rows at the
     needed ranks contribute, via a conditional aggregate, so no task ever
-    holds a whole group.
+    holds a whole group.  ``decimal=True`` interpolates in DECIMAL(38,10)
+    and returns decimals, for results that are rounded afterwards (a
+    median of two cent amounts is an exact x.xx5 tie; float interpolation
+    may land an ulp on either side of it).
     """
     group = _group_cols(group_cols)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
@@ -185,20 +188,24 @@ def exact_percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[fl
     outs = []
     for name in names:
         lo, hi, t = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__t_{name}")
-        outs.append((lo + (hi - lo) * t).cast("double").alias(name))
+        if decimal:
+            lo, hi, t = (c.cast("decimal(38,10)") for c in (lo, hi, t))
+            outs.append((lo + (hi - lo) * t).cast("decimal(38,10)").alias(name))
+        else:
+            outs.append((lo + (hi - lo) * t).cast("double").alias(name))
     return picked.select(*group, *outs)
 
 
 def percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
                 group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
                 approx: bool = False, accuracy: int = 10000,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET, decimal: bool = False) -> DataFrame:
     """Exact percentiles (default) or, with ``approx=True``, ``percentile_approx``
     (one pass with mergeable sketches; rank error about n/accuracy)."""
     group = _group_cols(group_cols)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     if not approx:
-        return exact_percentiles(df, value, id_col, probs, group, names, rows_per_bucket)
+        return exact_percentiles(df, value, id_col, probs, group, names, rows_per_bucket, decimal)
     arr = F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy)
     agg = df.groupBy(*group).agg(arr.alias("__q"))
     return agg.select(*group, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

@@ -14,6 +14,9 @@ E engagement rows the join holds max(T,1)·max(E,1) rows, so
 Both fact tables are aggregated by customer first and joined 1:1, which
 gives the same numbers with shuffles proportional to the inputs instead
 of Σ T·E.  ``fanout=False`` yields the deduplicated (per-table) values.
+``total_spent`` is summed in DECIMAL and converted once, so it is the
+double nearest to the exact money total (reports round its means and
+medians to cents, where an ulp decides exact ties).
 
 ``process_metrics`` (P02-P14) is one projection over that frame plus
 two scalar subqueries (the global means used by ``value_segment``).
@@ -57,7 +60,7 @@ def extract_profile(C: DataFrame, T: DataFrame, E: DataFrame, fanout: bool = Tru
     return j.select(
         *PROFILE_DIMENSIONS,
         F.coalesce("distinct_ids", F.lit(0)).alias("total_transactions"),
-        (F.col("amount_sum") * w_e).alias("total_spent"),
+        (F.col("amount_sum_exact") * w_e).cast("double").alias("total_spent"),
         safe_div("amount_sum", "amount_count").alias("avg_transaction_value"),
         (F.col("quantity_sum") * w_e).alias("total_items"),
         F.col("last_date").alias("last_purchase_date"),

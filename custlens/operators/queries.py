@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (
-    first_match, fractional_days_since, month, safe_div, sql_days_since, sql_round, within_last_days,
+    exact_mean_rounded, first_match, fractional_days_since, month, safe_div, sql_days_since, sql_round,
+    within_last_days,
 )
 from .summaries import eng_by_customer, tx_by_customer
 
@@ -183,7 +184,7 @@ def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
         _CID, "customer_name", "customer_segment",
         n.alias("total_transactions"),
         F.col("amount_sum").alias("total_spent"),
-        sql_round(avg, 2).alias("avg_transaction_value"),
+        exact_mean_rounded("amount_sum_exact", "amount_count", 2).alias("avg_transaction_value"),
         sql_round(clv, 2).alias("clv_estimate_3year"))
         .orderBy(F.desc("clv_estimate_3year"), _CID))
 

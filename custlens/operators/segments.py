@@ -77,8 +77,9 @@ def segment_summary(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx
         pd_round(F.avg("total_spent"), 2).alias("total_spent_mean"))
     med = percentiles(P.where(F.col("customer_segment").isNotNull()), "total_spent", _CID, [0.5],
                       group_cols="customer_segment", names=["total_spent_median"], approx=approx,
-                      rows_per_bucket=rows_per_bucket)
-    med = med.select("customer_segment", pd_round("total_spent_median", 2).alias("total_spent_median"))
+                      rows_per_bucket=rows_per_bucket, decimal=not approx)
+    med = med.select("customer_segment",
+                     pd_round("total_spent_median", 2).cast("double").alias("total_spent_median"))
     return agg.join(med, "customer_segment", "left").orderBy("customer_segment")
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+EXACT_MONEY = "decimal(38,10)"
+
+
 def tx_by_customer(transactions: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per customer_id (including a null-key group, as SQL GROUP BY does).
 
@@ -29,6 +32,9 @@ def tx_by_customer(transactions: DataFrame, exact_distinct: bool = False) -> Dat
     distinct_ids    COUNT(DISTINCT t.transaction_id)
     amount_count    non-null amounts (AVG weight)
     amount_sum/min/max, quantity_sum
+    amount_sum_exact  the amount sum in DECIMAL(38,10): exact for money
+                      values; used where the reference rounds a mean to
+                      cents, so exact ties (x.xx5) round as they should
     dated_rows      non-null transaction dates
     first_date, last_date
     """
@@ -40,6 +46,7 @@ def tx_by_customer(transactions: DataFrame, exact_distinct: bool = False) -> Dat
         distinct.alias("distinct_ids"),
         F.count("amount").alias("amount_count"),
         F.sum("amount").alias("amount_sum"),
+        F.sum(F.col("amount").cast(EXACT_MONEY)).alias("amount_sum_exact"),
         F.min("amount").alias("amount_min"),
         F.max("amount").alias("amount_max"),
         F.sum("quantity").alias("quantity_sum"),

@@ -16,8 +16,9 @@ PROFILE_CTES = f"""
 raw AS (
   SELECT c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segment, c.acquisition_channel,
          COUNT(DISTINCT t.transaction_id) AS total_transactions,
-         SUM(t.amount) AS total_spent,
-         AVG(t.amount) AS avg_transaction_value,
+         fsum(t.amount) AS total_spent,
+         SUM(CAST(t.amount AS DECIMAL(38,10))) AS total_spent_dec,
+         favg(t.amount) AS avg_transaction_value,
          CAST(SUM(t.quantity) AS BIGINT) AS total_items,
          MAX(t.transaction_date) AS last_purchase_date,
          COUNT(DISTINCT e.engagement_date) AS engagement_days,
@@ -33,6 +34,7 @@ m0 AS (
          coalesce(country, 'Unknown') AS country, coalesce(customer_segment, 'Unknown') AS customer_segment,
          coalesce(acquisition_channel, 'Unknown') AS acquisition_channel,
          total_transactions, coalesce(total_spent, 0) AS total_spent,
+         coalesce(total_spent_dec, 0) AS total_spent_dec,
          coalesce(avg_transaction_value, 0) AS avg_transaction_value, coalesce(total_items, 0) AS total_items,
          last_purchase_date, engagement_days, coalesce(avg_page_views, 0) AS avg_page_views,
          coalesce(total_cart_adds, 0) AS total_cart_adds, days_with_purchase,
@@ -58,10 +60,10 @@ m2 AS (
   FROM m1),
 profile AS (
   SELECT *,
-         CASE WHEN total_spent > (SELECT AVG(total_spent) FROM m2)
-                   AND purchase_frequency > (SELECT AVG(purchase_frequency) FROM m2) THEN 'Star Customer'
-              WHEN total_spent > (SELECT AVG(total_spent) FROM m2) THEN 'Big Spender'
-              WHEN purchase_frequency > (SELECT AVG(purchase_frequency) FROM m2) THEN 'Frequent Buyer'
+         CASE WHEN total_spent > (SELECT favg(total_spent) FROM m2)
+                   AND purchase_frequency > (SELECT favg(purchase_frequency) FROM m2) THEN 'Star Customer'
+              WHEN total_spent > (SELECT favg(total_spent) FROM m2) THEN 'Big Spender'
+              WHEN purchase_frequency > (SELECT favg(purchase_frequency) FROM m2) THEN 'Frequent Buyer'
               ELSE 'Development' END AS value_segment
   FROM m2),
 export AS (
@@ -89,7 +91,7 @@ SELECT c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segm
        t.q AS total_items, t.last AS last_purchase_date, coalesce(e.days, 0) AS engagement_days,
        e.apv AS avg_page_views, e.cart AS total_cart_adds, coalesce(e.pr, 0) AS days_with_purchase
 FROM customers c
-LEFT JOIN (SELECT customer_id, COUNT(DISTINCT transaction_id) AS n, SUM(amount) AS s, AVG(amount) AS a,
+LEFT JOIN (SELECT customer_id, COUNT(DISTINCT transaction_id) AS n, fsum(amount) AS s, favg(amount) AS a,
                   CAST(SUM(quantity) AS BIGINT) AS q, MAX(transaction_date) AS last
            FROM transactions GROUP BY customer_id) t ON t.customer_id = c.customer_id
 LEFT JOIN (SELECT customer_id, COUNT(DISTINCT engagement_date) AS days, AVG(page_views) AS apv,
@@ -98,7 +100,7 @@ LEFT JOIN (SELECT customer_id, COUNT(DISTINCT engagement_date) AS days, AVG(page
            FROM engagement GROUP BY customer_id) e ON e.customer_id = c.customer_id""",
     ["total_spent", "avg_transaction_value", "avg_page_views"])
 
-F["p12_process_metrics"] = ("SELECT * FROM profile", PROFILE_DOUBLES)
+F["p12_process_metrics"] = ("SELECT * EXCLUDE (total_spent_dec) FROM profile", PROFILE_DOUBLES)
 
 F["p13_churn_risk"] = ("""
 SELECT customer_id, days_since_last_purchase, purchase_frequency, churn_risk FROM profile""",
@@ -111,27 +113,27 @@ SELECT customer_id, total_spent, purchase_frequency, value_segment FROM profile"
 # ------------------------------------------------------------------ reports
 F["r01_segment_analysis"] = (f"""
 SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("AVG(purchase_frequency)")} AS purchase_frequency_mean,
-       {B("AVG(engagement_score)")} AS engagement_score_mean
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("favg(purchase_frequency)")} AS purchase_frequency_mean,
+       {B("favg(engagement_score)")} AS engagement_score_mean
 FROM profile GROUP BY customer_segment""",
     ["total_spent_sum", "total_spent_mean", "purchase_frequency_mean", "engagement_score_mean"])
 
 F["r02_churn_risk_report"] = (f"""
 SELECT churn_risk, COUNT(customer_id) AS customer_id_count,
-       {B("AVG(total_spent)")} AS total_spent_mean, {B("AVG(engagement_score)")} AS engagement_score_mean
+       {B("favg(total_spent)")} AS total_spent_mean, {B("favg(engagement_score)")} AS engagement_score_mean
 FROM profile GROUP BY churn_risk""", ["total_spent_mean", "engagement_score_mean"])
 
 F["r03_value_segment_report"] = (f"""
 SELECT value_segment, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("AVG(purchase_frequency)")} AS purchase_frequency_mean
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("favg(purchase_frequency)")} AS purchase_frequency_mean
 FROM profile GROUP BY value_segment""", ["total_spent_sum", "total_spent_mean", "purchase_frequency_mean"])
 
 F["r04_channel_report"] = (f"""
 SELECT acquisition_channel, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("AVG(engagement_score)")} AS engagement_score_mean
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("favg(engagement_score)")} AS engagement_score_mean
 FROM profile GROUP BY acquisition_channel""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
 
 _MONEY = "'₹' || format('{{:,.0f}}', {x})"
@@ -139,17 +141,17 @@ _MONEY = "'₹' || format('{{:,.0f}}', {x})"
 F["r05_executive_summary"] = (f"""
 SELECT Metric, Value FROM (
   SELECT 1 AS k, 'Total Customers' AS Metric, CAST(COUNT(*) AS VARCHAR) AS Value FROM profile
-  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="SUM(total_spent)")} FROM profile
-  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="AVG(total_spent)")} FROM profile
-  UNION ALL SELECT 4, 'Avg Engagement Score', format('{{:,.1f}}', AVG(engagement_score)) FROM profile
+  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="fsum(total_spent)")} FROM profile
+  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="favg(total_spent)")} FROM profile
+  UNION ALL SELECT 4, 'Avg Engagement Score', format('{{:,.1f}}', favg(engagement_score)) FROM profile
   UNION ALL SELECT 5, 'Critical Risk Count', CAST(COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS VARCHAR)
             FROM profile) ORDER BY k""", [])
 
 F["r06_custom_summary"] = (f"""
 SELECT Metric, Value FROM (
   SELECT 1 AS k, 'Total Customers' AS Metric, CAST(COUNT(*) AS VARCHAR) AS Value FROM profile
-  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="SUM(total_spent)")} FROM profile
-  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="AVG(total_spent)")} FROM profile
+  UNION ALL SELECT 2, 'Total Revenue', {_MONEY.format(x="fsum(total_spent)")} FROM profile
+  UNION ALL SELECT 3, 'Avg Customer Value', {_MONEY.format(x="favg(total_spent)")} FROM profile
   UNION ALL SELECT 4, 'Critical Risk', CAST(COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS VARCHAR)
             FROM profile) ORDER BY k""", [])
 
@@ -164,14 +166,14 @@ FROM profile WHERE churn_risk IN ('High', 'Critical') ORDER BY customer_id""",
 
 F["r09_segment_engagement"] = (f"""
 SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("AVG(engagement_score)")} AS engagement_score_mean
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("favg(engagement_score)")} AS engagement_score_mean
 FROM export GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
 
 F["r10_key_statistics"] = (f"""
-SELECT COUNT(*) AS total_customers, SUM(total_spent) AS total_revenue, AVG(total_spent) AS avg_customer_value,
-       {B("AVG(purchase_frequency)")} AS avg_purchase_frequency,
-       {B("AVG(engagement_score)", 1)} AS avg_engagement_score,
+SELECT COUNT(*) AS total_customers, fsum(total_spent) AS total_revenue, favg(total_spent) AS avg_customer_value,
+       {B("favg(purchase_frequency)")} AS avg_purchase_frequency,
+       {B("favg(engagement_score)", 1)} AS avg_engagement_score,
        COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS critical_risk_customers,
        COUNT(*) FILTER (WHERE value_segment = 'Star Customer') AS star_customers
 FROM profile""", ["total_revenue", "avg_customer_value", "avg_purchase_frequency", "avg_engagement_score"])
@@ -206,16 +208,16 @@ WHERE total_spent > 100000 ORDER BY customer_id""", ["total_spent"])
 
 F["a05_segment_summary"] = (f"""
 SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("quantile_cont(total_spent, 0.5)")} AS total_spent_median
-FROM export GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "total_spent_median"])
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("quantile_cont(total_spent_dec, 0.5)")} AS total_spent_median
+FROM profile GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "total_spent_median"])
 
 F["a06_segment_by_churn_pivot"] = ("""
 SELECT customer_segment,
-       SUM(CASE WHEN churn_risk = 'Critical' THEN total_spent END) AS "Critical",
-       SUM(CASE WHEN churn_risk = 'High' THEN total_spent END) AS "High",
-       SUM(CASE WHEN churn_risk = 'Low' THEN total_spent END) AS "Low",
-       SUM(CASE WHEN churn_risk = 'Medium' THEN total_spent END) AS "Medium"
+       fsum(CASE WHEN churn_risk = 'Critical' THEN total_spent END) AS "Critical",
+       fsum(CASE WHEN churn_risk = 'High' THEN total_spent END) AS "High",
+       fsum(CASE WHEN churn_risk = 'Low' THEN total_spent END) AS "Low",
+       fsum(CASE WHEN churn_risk = 'Medium' THEN total_spent END) AS "Medium"
 FROM export GROUP BY customer_segment""", ["Critical", "High", "Low", "Medium"])
 
 F["a07_top_by_clv"] = ("""
@@ -234,10 +236,10 @@ GROUP BY spending_category ORDER BY count DESC""", [])
 
 F["a10_segment_gap"] = ("""
 SELECT 'BUILDING' AS segment_a, 'AUTOMOBILE' AS segment_b,
-       AVG(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END) AS mean_a,
-       AVG(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS mean_b,
-       AVG(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END)
-         - AVG(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS difference
+       favg(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END) AS mean_a,
+       favg(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS mean_b,
+       favg(CASE WHEN customer_segment = 'BUILDING' THEN total_spent END)
+         - favg(CASE WHEN customer_segment = 'AUTOMOBILE' THEN total_spent END) AS difference
 FROM export""", ["mean_a", "mean_b", "difference"])
 
 F["a11_rfm_quintiles"] = ("""
@@ -282,31 +284,31 @@ ORDER BY customer_id""", ["total_spent", "engagement_score"])
 
 F["a14_pareto"] = ("""
 SELECT customer_id, customer_name, customer_segment, total_spent, spend_rank, cumulative_revenue,
-       100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT SUM(total_spent) FROM export), 0)) AS cumulative_pct
+       100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT fsum(total_spent) FROM export), 0)) AS cumulative_pct
 FROM (SELECT customer_id, customer_name, customer_segment, total_spent,
              CAST(row_number() OVER w AS INTEGER) AS spend_rank,
-             SUM(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
+             fsum(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
       FROM export WINDOW w AS (ORDER BY total_spent DESC NULLS LAST, customer_id))
 ORDER BY spend_rank""", ["total_spent", "cumulative_revenue", "cumulative_pct"])
 
 F["a15_top_share"] = ("""
 SELECT CAST(floor((SELECT COUNT(*) FROM export) * 0.2) AS BIGINT) AS top_customers,
-       SUM(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END) AS top_revenue,
-       100.0::DOUBLE * (SUM(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END)
-                        / NULLIF((SELECT SUM(total_spent) FROM export), 0)) AS top_revenue_pct
+       fsum(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END) AS top_revenue,
+       100.0::DOUBLE * (fsum(CASE WHEN rk <= floor((SELECT COUNT(*) FROM export) * 0.2) THEN total_spent ELSE 0.0 END)
+                        / NULLIF((SELECT fsum(total_spent) FROM export), 0)) AS top_revenue_pct
 FROM (SELECT total_spent, row_number() OVER (ORDER BY total_spent DESC NULLS LAST, customer_id) AS rk
       FROM export)""", ["top_revenue", "top_revenue_pct"])
 
 F["a16_channel_roi"] = (f"""
 SELECT acquisition_channel, COUNT(customer_id) AS customer_id_count,
-       {B("SUM(total_spent)")} AS total_spent_sum, {B("AVG(total_spent)")} AS total_spent_mean,
-       {B("AVG(engagement_score)")} AS engagement_score_mean,
+       {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
+       {B("favg(engagement_score)")} AS engagement_score_mean,
        COUNT(*) FILTER (WHERE churn_risk = 'Critical') AS churn_risk_critical
 FROM export GROUP BY acquisition_channel""", ["total_spent_sum", "total_spent_mean", "engagement_score_mean"])
 
 F["a17_retention_by_tenure"] = (f"""
 SELECT tenure_band, customers, avg_spent, critical_risk_pct FROM (
-  SELECT band_index, tenure_band, COUNT(customer_id) AS customers, {B("AVG(total_spent)")} AS avg_spent,
+  SELECT band_index, tenure_band, COUNT(customer_id) AS customers, {B("favg(total_spent)")} AS avg_spent,
          {B("COUNT(*) FILTER (WHERE churn_risk = 'Critical') / COUNT(*) * 100")} AS critical_risk_pct
   FROM (SELECT *, CASE WHEN tenure_months > 0 AND tenure_months <= 3 THEN 0
                        WHEN tenure_months > 3 AND tenure_months <= 6 THEN 1
@@ -360,7 +362,7 @@ SELECT customer_id, purchase_frequency, total_spent, engagement_score FROM profi
 F["c05_recency_histogram"] = (_hist("days_since_last_purchase", 30, "days_since_last_purchase < 365"),
                               ["bin_start", "bin_end"])
 F["c06_engagement_by_segment"] = ("""
-SELECT customer_segment, AVG(engagement_score) AS engagement_score_mean FROM profile
+SELECT customer_segment, favg(engagement_score) AS engagement_score_mean FROM profile
 WHERE customer_segment IS NOT NULL GROUP BY customer_segment ORDER BY engagement_score_mean DESC""",
     ["engagement_score_mean"])
 
@@ -385,12 +387,12 @@ FROM profile p JOIN ({_BOX}) b ON b.customer_segment = p.customer_segment
 WHERE p.clv_estimate IS NOT NULL AND (p.clv_estimate < b.whisker_low OR p.clv_estimate > b.whisker_high)""",
     ["clv_estimate"])
 F["c08_conversion_by_channel"] = ("""
-SELECT acquisition_channel, AVG(conversion_rate) AS conversion_rate_mean FROM profile
+SELECT acquisition_channel, favg(conversion_rate) AS conversion_rate_mean FROM profile
 WHERE acquisition_channel IS NOT NULL GROUP BY acquisition_channel ORDER BY conversion_rate_mean DESC""",
     ["conversion_rate_mean"])
 F["c09_transaction_histogram"] = (_hist("total_transactions", 20), ["bin_start", "bin_end"])
 F["c10_revenue_by_segment"] = ("""
-SELECT customer_segment, SUM(total_spent) AS total_spent_sum FROM profile
+SELECT customer_segment, fsum(total_spent) AS total_spent_sum FROM profile
 WHERE customer_segment IS NOT NULL GROUP BY customer_segment""", ["total_spent_sum"])
 
 

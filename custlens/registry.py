@@ -3,7 +3,7 @@
 Each entry runs one operator of the inventory over the *whole* mapped
 test tables (``sources.testmap``) with the fixed ``AS_OF``.  Outputs are
 passed through ``functions.normalize.normalize`` (doubles rounded
-to 4 decimals) so the driver's exact value hash is independent of
+to 40 significant bits) so the driver's exact value hash is independent of
 float summation order; the oracle applies the same rounding.
 """
 
