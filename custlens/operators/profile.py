@@ -47,10 +47,12 @@ EXTRACTED_MEASURES = ["total_transactions", "total_spent", "avg_transaction_valu
 
 
 def extract_profile(C: DataFrame, T: DataFrame, E: DataFrame, fanout: bool = True,
-                    exact_distinct: bool = False) -> DataFrame:
-    """The 15 extracted columns, one row per customer."""
-    tx = tx_by_customer(T, exact_distinct)
-    eng = eng_by_customer(E)
+                    exact_distinct: bool = False, tx: DataFrame | None = None,
+                    eng: DataFrame | None = None) -> DataFrame:
+    """The 15 extracted columns, one row per customer (``tx``/``eng``:
+    precomputed per-customer summaries, else aggregated here)."""
+    tx = tx if tx is not None else tx_by_customer(T, exact_distinct)
+    eng = eng if eng is not None else eng_by_customer(E)
     j = C.select(*PROFILE_DIMENSIONS).join(tx, _CID, "left").join(eng, _CID, "left")
     if fanout:
         w_e = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
@@ -129,7 +131,8 @@ def process_metrics(profile: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
-                  fanout: bool = True, materialize: bool = True) -> DataFrame:
+                  fanout: bool = True, materialize: bool = True, tx: DataFrame | None = None,
+                  eng: DataFrame | None = None) -> DataFrame:
     """P12 over P01: the full profile.
 
     With ``materialize`` (default) the extracted profile — one row per
@@ -139,7 +142,7 @@ def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
     read that checkpoint instead of aggregating the fact tables twice, and
     the lineage is cut, so a lost executor never re-runs the aggregation.
     """
-    extracted = extract_profile(C, T, E, fanout=fanout)
+    extracted = extract_profile(C, T, E, fanout=fanout, tx=tx, eng=eng)
     if materialize:
         from ..plans.materialize import checkpoint
         extracted = checkpoint(extracted)

@@ -10,6 +10,11 @@ with no join at all.  ``as_of`` replaces ``julianday('now')``.
 
 Sort orders follow the reference, with ``customer_id`` (or the group
 key) appended so ties and limits are deterministic.
+
+Customer-level operators accept ``tx`` / ``eng``: the per-customer
+summaries of ``operators.summaries``, computed once and shared (see
+``custlens.analytics.CustomerAnalytics``); by default each call
+aggregates the fact table itself.
 """
 
 from __future__ import annotations
@@ -28,8 +33,17 @@ from .summaries import eng_by_customer, tx_by_customer
 _CID = "customer_id"
 
 
-def _customers_with_tx(C: DataFrame, T: DataFrame, how: str = "left") -> DataFrame:
-    return C.join(tx_by_customer(T), _CID, how)
+def _tx(T: DataFrame, tx: DataFrame | None) -> DataFrame:
+    """Per-customer transaction summary: the precomputed one if given."""
+    return tx if tx is not None else tx_by_customer(T)
+
+
+def _eng(E: DataFrame, eng: DataFrame | None) -> DataFrame:
+    return eng if eng is not None else eng_by_customer(E)
+
+
+def _customers_with_tx(C: DataFrame, T: DataFrame, how: str = "left", tx: DataFrame | None = None) -> DataFrame:
+    return C.join(_tx(T, tx), _CID, how)
 
 
 # ---------------------------------------------------------------- 1. customers
@@ -56,9 +70,9 @@ def customers_by_channel(C: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- 2. transactions
 
-def customer_transactions(C: DataFrame, T: DataFrame) -> DataFrame:
+def customer_transactions(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Per customer count/sum/avg/min/max of amount; customers without any kept."""
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     return (j.select(
         _CID, "customer_name", "customer_segment",
         F.coalesce("id_count", F.lit(0)).alias("transaction_count"),
@@ -99,9 +113,9 @@ def monthly_revenue(T: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- 3. engagement
 
-def customer_engagement(C: DataFrame, E: DataFrame) -> DataFrame:
+def customer_engagement(C: DataFrame, E: DataFrame, eng: DataFrame | None = None) -> DataFrame:
     """Per customer engagement; customers without engagement get 0 days / 0 purchases."""
-    j = C.join(eng_by_customer(E), _CID, "left")
+    j = C.join(_eng(E, eng), _CID, "left")
     return (j.select(
         _CID, "customer_name",
         F.coalesce("eng_days", F.lit(0)).alias("engagement_days"),
@@ -123,10 +137,10 @@ def device_usage(E: DataFrame) -> DataFrame:
         .orderBy(F.desc("total_sessions"), "device_type"))
 
 
-def customer_conversion(C: DataFrame, E: DataFrame) -> DataFrame:
+def customer_conversion(C: DataFrame, E: DataFrame, eng: DataFrame | None = None) -> DataFrame:
     """Purchase records per distinct engagement day (HAVING days > 0 -> inner join)."""
-    eng = eng_by_customer(E).where(F.col("eng_days") > 0)
-    return (C.join(eng, _CID, "inner").select(
+    engaged = _eng(E, eng).where(F.col("eng_days") > 0)
+    return (C.join(engaged, _CID, "inner").select(
         _CID, "customer_name",
         F.col("eng_days").alias("engagement_days"),
         F.col("purchase_rows").alias("conversion_days"),
@@ -136,9 +150,9 @@ def customer_conversion(C: DataFrame, E: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- 4. RFM
 
-def rfm_rules(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
+def rfm_rules(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame | None = None) -> DataFrame:
     """Recency / frequency / monetary with the VIP-Gold-Silver-Bronze rule."""
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     freq = F.coalesce("distinct_ids", F.lit(0))
     money = F.col("amount_sum")
     seg = first_match([
@@ -155,9 +169,9 @@ def rfm_rules(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
         .orderBy(F.desc("monetary_value"), _CID))
 
 
-def churn_by_inactivity(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
+def churn_by_inactivity(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame | None = None) -> DataFrame:
     """>180 days Critical, >90 High, >30 Medium, else (and never bought) Low."""
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     frac = fractional_days_since(as_of, "last_date")
     risk = first_match([(frac > 180, "Critical"), (frac > 90, "High"), (frac > 30, "Medium")], "Low")
     return (j.select(
@@ -171,9 +185,9 @@ def churn_by_inactivity(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFram
 
 # ---------------------------------------------------------------------- 5. CLV
 
-def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
+def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame | None = None) -> DataFrame:
     """Avg * (n / max(tenure months, 1)) * 12 * 3, rounded to 2."""
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     n = F.coalesce("distinct_ids", F.lit(0))
     avg = safe_div("amount_sum", "amount_count")
     months = fractional_days_since(as_of, "signup_date") / 30.0
@@ -191,13 +205,13 @@ def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime) -> DataFrame:
 
 # ------------------------------------------------------------------- 6. cohort
 
-def cohort_retention(C: DataFrame, T: DataFrame) -> DataFrame:
+def cohort_retention(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """By signup month: customers, purchase rows, rate %, revenue.
 
     ``customers_with_purchase`` counts joined transaction rows with a date,
     as the reference does, so the rate may exceed 100.
     """
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     acquired = F.count(_CID)
     bought = F.sum(F.coalesce("dated_rows", F.lit(0)))
     return (j.groupBy(month("signup_date").alias("signup_month")).agg(
@@ -210,7 +224,8 @@ def cohort_retention(C: DataFrame, T: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- 7. segment/channel
 
-def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame) -> DataFrame:
+def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame, tx: DataFrame | None = None,
+                        eng: DataFrame | None = None) -> DataFrame:
     """Per segment over customers ⟕ transactions ⟕ engagement.
 
     The reference joins both fact tables before grouping, so each
@@ -220,8 +235,9 @@ def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame) -> DataFrame:
     Distinct engagement dates are per segment, so they come from the
     distinct (customer, date) pairs joined to the customer's segment.
     """
-    tx = tx_by_customer(T)
-    eng_rows = E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows"))
+    tx = _tx(T, tx)
+    eng_rows = (eng.select(_CID, "eng_rows") if eng is not None
+                else E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows")))
     w = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
     per_cust = C.select(_CID, "customer_segment").join(tx, _CID, "left").join(eng_rows, _CID, "left")
     revenue = F.sum(F.col("amount_sum") * w)
@@ -244,9 +260,9 @@ def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame) -> DataFrame:
             .orderBy(F.desc("segment_revenue"), "customer_segment"))
 
 
-def channel_effectiveness(C: DataFrame, T: DataFrame) -> DataFrame:
+def channel_effectiveness(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Per channel customers, transactions, revenue, per customer, % who bought."""
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     customers = F.count(_CID)
     revenue = F.sum("amount_sum")
     return (j.groupBy("acquisition_channel").agg(
@@ -261,13 +277,13 @@ def channel_effectiveness(C: DataFrame, T: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ 8. top customers
 
-def top_customers(C: DataFrame, T: DataFrame, k: int = 20) -> DataFrame:
+def top_customers(C: DataFrame, T: DataFrame, k: int = 20, tx: DataFrame | None = None) -> DataFrame:
     """Top k customers by revenue (inner join: buyers only).
 
     ``orderBy(..).limit(k)`` plans as TakeOrderedAndProject: each task keeps
     its own top k, only k rows per task reach the final merge.
     """
-    j = _customers_with_tx(C, T, "inner")
+    j = _customers_with_tx(C, T, "inner", tx=tx)
     return (j.select(
         _CID, "customer_name", "country", "customer_segment",
         F.col("distinct_ids").alias("purchases"),
@@ -290,7 +306,7 @@ def top_products(T: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ 9. value / KPIs
 
-def value_comparison(C: DataFrame, T: DataFrame) -> DataFrame:
+def value_comparison(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """One row per customer: above or below the mean customer total.
 
     The mean is over per-customer_id sums of *all* transactions (the
@@ -298,7 +314,7 @@ def value_comparison(C: DataFrame, T: DataFrame) -> DataFrame:
     reference's window partitions hold one customer each, so its
     ``AVG(COUNT(..)) OVER`` is the customer's own count.
     """
-    tx = tx_by_customer(T)
+    tx = _tx(T, tx)
     mean_total = tx.select(F.avg("amount_sum")).scalar()
     j = C.select(_CID).join(tx, _CID, "left")
     category = F.when(mean_total >= F.col("amount_sum"), "Below Average").otherwise("Above Average")
@@ -320,10 +336,11 @@ def recently_active(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30)
         .orderBy(F.desc("recent_spending"), _CID))
 
 
-def business_kpis(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+def business_kpis(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30,
+                  tx: DataFrame | None = None) -> DataFrame:
     """One KPI row; all-time figures are scalar subqueries, the rest over the window."""
     total_customers = C.select(F.count(_CID)).scalar()
-    buyers = tx_by_customer(T).select(F.count(_CID)).scalar()
+    buyers = _tx(T, tx).select(F.count(_CID)).scalar()
     recent = tx_by_customer(T.where(within_last_days(as_of, "transaction_date", days)))
     active = F.count(_CID)
     revenue = F.sum("amount_sum")
@@ -364,9 +381,9 @@ def purchase_frequency_by_category(T: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ tutorial
 
-def avg_spend_by_segment(C: DataFrame, T: DataFrame) -> DataFrame:
+def avg_spend_by_segment(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Mean of customer totals per segment (customers without purchases skipped by avg)."""
-    j = C.select(_CID, "customer_segment").join(tx_by_customer(T).select(_CID, "amount_sum"), _CID, "left")
+    j = C.select(_CID, "customer_segment").join(_tx(T, tx).select(_CID, "amount_sum"), _CID, "left")
     return (j.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         sql_round(F.avg("amount_sum"), 2).alias("avg_spending"))
@@ -374,13 +391,13 @@ def avg_spend_by_segment(C: DataFrame, T: DataFrame) -> DataFrame:
 
 
 def inactive_customers(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 180,
-                       k: int | None = 10) -> DataFrame:
+                       k: int | None = 10, tx: DataFrame | None = None) -> DataFrame:
     """Customers inactive for more than ``days`` whole days (never-buyers excluded).
 
     The reference takes the first 10 rows without an order; here the
     first ``k`` by inactivity (desc) then id.  ``k=None`` returns all.
     """
-    j = _customers_with_tx(C, T)
+    j = _customers_with_tx(C, T, tx=tx)
     inactive = sql_days_since(as_of, "last_date")
     out = (j.select(_CID, "customer_name", inactive.alias("days_inactive"))
            .where(F.col("days_inactive") > days)

@@ -78,3 +78,23 @@ def test_exact_distinct_and_dedup_options(spark):
     for k in fan:
         assert fan[k].avg_transaction_value == flat[k].avg_transaction_value
         assert fan[k].engagement_days == flat[k].engagement_days
+
+
+def test_facade_answers_from_shared_summaries(spark):
+    """With the facade, customer-level questions read the checkpointed
+    summaries and never scan the raw orders table again."""
+    from custlens.analytics import CustomerAnalytics
+    from custlens.registry import registry
+    C, T, E = testmap.load(spark, SF_SMALL)
+    ca = CustomerAnalytics(C, T, E, AS_OF)
+    for name in ("customer_transactions", "rfm_rules", "churn_by_inactivity", "clv_three_year",
+                 "cohort_retention", "channel_effectiveness", "top_customers", "value_comparison",
+                 "avg_spend_by_segment", "inactive_customers"):
+        df = getattr(ca, name)()
+        assert "orders.parquet" not in explain_text(df, "simple"), name
+    # same answers as the standalone operators
+    reg = registry()
+    for name, fn in (("s11_rfm_rules", ca.rfm_rules), ("s15_segment_performance", ca.segment_performance)):
+        from custlens.functions.normalize import normalize
+        assert normalize(fn()).exceptAll(reg[name](spark, SF_SMALL)).count() == 0, name
+    assert normalize(ca.profile).exceptAll(reg["p12_process_metrics"](spark, SF_SMALL)).count() == 0
