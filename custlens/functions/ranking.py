@@ -110,13 +110,13 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
     points = (with_edges.where(is_edge).groupBy(*group, value)
               .agg(F.array_sort(F.array_distinct(F.percentile_approx(id_col, fractions, accuracy)))
                    .alias("__ids")))
-    if group:
-        keyed = points.select(*group, F.col(value).alias("__pv"), "__ids")
-        with_points = (with_edges.withColumn("__pv", v)
-                       .join(keyed, [*group, "__pv"], "left").drop("__pv"))
-    else:
-        pmap = points.agg(F.map_from_entries(F.collect_list(F.struct(value, "__ids")))).scalar()
-        with_points = with_edges.select("*", F.element_at(pmap, v).alias("__ids"))
+    keyed = points.select(*group, F.col(value).alias("__pv"), "__ids")
+    if not group:
+        # at most K-1 point values, each with at most K-1 id edges: a proven
+        # bound, so the table is broadcast once per executor.
+        keyed = F.broadcast(keyed)
+    with_points = (with_edges.withColumn("__pv", v)
+                   .join(keyed, [*group, "__pv"], "left").drop("__pv"))
 
     # 3. bucket coordinates.
     cmp = (lambda e: e > v) if descending else (lambda e: e < v)
