@@ -89,6 +89,31 @@ def clip(col, lo: float, hi: float) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
+# Money is aggregated in DECIMAL: exact and independent of summation order,
+# so results are reproducible across partitionings and cent roundings of
+# means are exact.  Values convert back to double once, at the output.
+EXACT_MONEY = "decimal(38,10)"
+
+
+def money(col) -> Column:
+    """A money value as an exact decimal (the double's shortest decimal form)."""
+    return _c(col).cast(EXACT_MONEY)
+
+
+def money_sum(col) -> Column:
+    """Exact SUM of a money column (decimal); null when no non-null value."""
+    return F.sum(money(col))
+
+
+def money_mean(exact_sum, count) -> Column:
+    """Exact mean (decimal) from an exact sum and a count; null when count is 0."""
+    return _c(exact_sum) / F.nullif(_c(count), F.lit(0)).cast("decimal(20,0)")
+
+
+def as_double(col) -> Column:
+    return _c(col).cast("double")
+
+
 def exact_mean_rounded(exact_sum, count, scale: int = 2) -> Column:
     """ROUND(sum / count, scale) evaluated in decimal (half away from zero),
     returned as double; null when count is 0.  ``exact_sum`` is a DECIMAL

@@ -29,7 +29,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import at_least_one, clip, first_match, safe_div, scalar_fields, whole_days_since
+from ..functions.exprs import (
+    as_double, at_least_one, clip, first_match, money_mean, scalar_fields, whole_days_since,
+)
 from .summaries import eng_by_customer, tx_by_customer
 
 _CID = "customer_id"
@@ -63,7 +65,7 @@ def extract_profile(C: DataFrame, T: DataFrame, E: DataFrame, fanout: bool = Tru
         *PROFILE_DIMENSIONS,
         F.coalesce("distinct_ids", F.lit(0)).alias("total_transactions"),
         (F.col("amount_sum_exact") * w_e).cast("double").alias("total_spent"),
-        safe_div("amount_sum", "amount_count").alias("avg_transaction_value"),
+        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_transaction_value"),
         (F.col("quantity_sum") * w_e).alias("total_items"),
         F.col("last_date").alias("last_purchase_date"),
         F.coalesce("eng_days", F.lit(0)).alias("engagement_days"),

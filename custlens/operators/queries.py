@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (
-    exact_mean_rounded, first_match, fractional_days_since, month, safe_div, sql_days_since, sql_round,
-    within_last_days,
+    as_double, exact_mean_rounded, first_match, fractional_days_since, money_mean, money_sum, month, safe_div,
+    sql_days_since, sql_round, within_last_days,
 )
 from .summaries import eng_by_customer, tx_by_customer
 
@@ -77,7 +77,7 @@ def customer_transactions(C: DataFrame, T: DataFrame, tx: DataFrame | None = Non
         _CID, "customer_name", "customer_segment",
         F.coalesce("id_count", F.lit(0)).alias("transaction_count"),
         F.col("amount_sum").alias("total_spent"),
-        safe_div("amount_sum", "amount_count").alias("avg_transaction"),
+        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_transaction"),
         F.col("amount_min").alias("min_transaction"),
         F.col("amount_max").alias("max_transaction"))
         .orderBy(F.desc("total_spent"), _CID))
@@ -87,8 +87,8 @@ def revenue_by_category(T: DataFrame) -> DataFrame:
     """Per product category count, revenue, avg, units."""
     return (T.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("total_revenue"),
-        F.avg("amount").alias("avg_transaction"),
+        as_double(money_sum("amount")).alias("total_revenue"),
+        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_transaction"),
         F.sum("quantity").alias("total_units"))
         .orderBy(F.desc("total_revenue"), "product_category"))
 
@@ -97,8 +97,8 @@ def revenue_by_payment_method(T: DataFrame) -> DataFrame:
     """Per payment method count, revenue, avg."""
     return (T.groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("transactions"),
-        F.sum("amount").alias("revenue"),
-        F.avg("amount").alias("avg_amount"))
+        as_double(money_sum("amount")).alias("revenue"),
+        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_amount"))
         .orderBy(F.desc("revenue"), "payment_method"))
 
 
@@ -106,8 +106,8 @@ def monthly_revenue(T: DataFrame) -> DataFrame:
     """Monthly count, revenue, avg; newest first (null month kept as a group)."""
     return (T.groupBy(month("transaction_date").alias("month")).agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("monthly_revenue"),
-        F.avg("amount").alias("avg_transaction"))
+        as_double(money_sum("amount")).alias("monthly_revenue"),
+        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_transaction"))
         .orderBy(F.desc("month")))
 
 
@@ -189,7 +189,7 @@ def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame |
     """Avg * (n / max(tenure months, 1)) * 12 * 3, rounded to 2."""
     j = _customers_with_tx(C, T, tx=tx)
     n = F.coalesce("distinct_ids", F.lit(0))
-    avg = safe_div("amount_sum", "amount_count")
+    avg = as_double(money_mean("amount_sum_exact", "amount_count"))
     months = fractional_days_since(as_of, "signup_date") / 30.0
     # SQLite's multi-argument max is null when an argument is null.
     months_floor = F.when(months.isNull(), F.lit(None)).otherwise(F.greatest(months, F.lit(1.0)))
@@ -218,7 +218,7 @@ def cohort_retention(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) ->
         acquired.alias("customers_acquired"),
         bought.alias("customers_with_purchase"),
         sql_round(safe_div(F.lit(100.0) * bought, acquired), 2).alias("retention_rate"),
-        F.sum(F.coalesce("amount_sum", F.lit(0.0))).alias("cohort_revenue"))
+        as_double(F.sum(F.coalesce("amount_sum_exact", F.lit(0).cast("decimal(38,10)")))).alias("cohort_revenue"))
         .orderBy(F.desc("signup_month")))
 
 
@@ -240,14 +240,14 @@ def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame, tx: DataFrame
                 else E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows")))
     w = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
     per_cust = C.select(_CID, "customer_segment").join(tx, _CID, "left").join(eng_rows, _CID, "left")
-    revenue = F.sum(F.col("amount_sum") * w)
+    revenue = F.sum(F.col("amount_sum_exact") * w)
     customers = F.count(_CID)
     seg = per_cust.groupBy("customer_segment").agg(
         customers.alias("customer_count"),
         F.sum(F.coalesce("distinct_ids", F.lit(0))).alias("total_transactions"),
-        revenue.alias("segment_revenue"),
-        sql_round(safe_div(revenue, F.sum(F.col("amount_count") * w)), 2).alias("avg_transaction"),
-        sql_round(safe_div(revenue, customers), 2).alias("revenue_per_customer"))
+        as_double(revenue).alias("segment_revenue"),
+        as_double(sql_round(money_mean(revenue, F.sum(F.col("amount_count") * w)), 2)).alias("avg_transaction"),
+        as_double(sql_round(money_mean(revenue, customers), 2)).alias("revenue_per_customer"))
     days = (E.select(_CID, "engagement_date").where(F.col("engagement_date").isNotNull())
             .distinct()
             .join(C.select(_CID, "customer_segment"), _CID, "inner")
@@ -264,12 +264,12 @@ def channel_effectiveness(C: DataFrame, T: DataFrame, tx: DataFrame | None = Non
     """Per channel customers, transactions, revenue, per customer, % who bought."""
     j = _customers_with_tx(C, T, tx=tx)
     customers = F.count(_CID)
-    revenue = F.sum("amount_sum")
+    revenue = F.sum("amount_sum_exact")
     return (j.groupBy("acquisition_channel").agg(
         customers.alias("customers"),
         F.sum(F.coalesce("distinct_ids", F.lit(0))).alias("transactions"),
-        revenue.alias("revenue"),
-        sql_round(safe_div(revenue, customers), 2).alias("revenue_per_customer"),
+        as_double(revenue).alias("revenue"),
+        as_double(sql_round(money_mean(revenue, customers), 2)).alias("revenue_per_customer"),
         sql_round(safe_div(F.lit(100.0) * F.count_if(F.col("id_count") > 0), customers), 2)
         .alias("conversion_rate"))
         .orderBy(F.desc("revenue"), "acquisition_channel"))
@@ -288,7 +288,7 @@ def top_customers(C: DataFrame, T: DataFrame, k: int = 20, tx: DataFrame | None
         _CID, "customer_name", "country", "customer_segment",
         F.col("distinct_ids").alias("purchases"),
         F.col("amount_sum").alias("total_spent"),
-        safe_div("amount_sum", "amount_count").alias("avg_purchase"),
+        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_purchase"),
         F.col("first_date").alias("first_purchase"),
         F.col("last_date").alias("last_purchase"))
         .orderBy(F.desc("total_spent"), _CID).limit(k))
@@ -299,8 +299,8 @@ def top_products(T: DataFrame) -> DataFrame:
     return (T.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("quantity").alias("total_units_sold"),
-        F.sum("amount").alias("total_revenue"),
-        sql_round(F.avg("amount"), 2).alias("avg_transaction"))
+        as_double(money_sum("amount")).alias("total_revenue"),
+        as_double(sql_round(money_mean(money_sum("amount"), F.count("amount")), 2)).alias("avg_transaction"))
         .orderBy(F.desc("total_revenue"), "product_category"))
 
 
@@ -315,14 +315,14 @@ def value_comparison(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) ->
     ``AVG(COUNT(..)) OVER`` is the customer's own count.
     """
     tx = _tx(T, tx)
-    mean_total = tx.select(F.avg("amount_sum")).scalar()
+    mean_total = tx.select(F.avg("amount_sum_exact")).scalar()
     j = C.select(_CID).join(tx, _CID, "left")
-    category = F.when(mean_total >= F.col("amount_sum"), "Below Average").otherwise("Above Average")
+    category = F.when(mean_total >= F.col("amount_sum_exact"), "Below Average").otherwise("Above Average")
     return j.select(
         category.alias("value_category"),
         F.lit(1).cast("long").alias("customer_count"),
         sql_round(F.coalesce("distinct_ids", F.lit(0)).cast("double"), 2).alias("avg_purchases"),
-        sql_round(F.col("amount_sum"), 2).alias("avg_customer_value"))
+        as_double(sql_round(F.col("amount_sum_exact"), 2)).alias("avg_customer_value"))
 
 
 def recently_active(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
@@ -343,13 +343,13 @@ def business_kpis(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30,
     buyers = _tx(T, tx).select(F.count(_CID)).scalar()
     recent = tx_by_customer(T.where(within_last_days(as_of, "transaction_date", days)))
     active = F.count(_CID)
-    revenue = F.sum("amount_sum")
+    revenue = F.sum("amount_sum_exact")
     return recent.agg(
         active.alias("active_customers"),
         F.coalesce(F.sum("tx_rows"), F.lit(0)).alias("total_transactions"),
-        revenue.alias("total_revenue"),
-        sql_round(safe_div(revenue, F.sum("amount_count")), 2).alias("avg_transaction_value"),
-        sql_round(safe_div(revenue, active), 2).alias("revenue_per_customer"),
+        as_double(revenue).alias("total_revenue"),
+        as_double(sql_round(money_mean(revenue, F.sum("amount_count")), 2)).alias("avg_transaction_value"),
+        as_double(sql_round(money_mean(revenue, active), 2)).alias("revenue_per_customer"),
     ).select(
         total_customers.alias("total_customers"), buyers.alias("customers_with_purchases"),
         "active_customers", "total_transactions", "total_revenue",
@@ -383,10 +383,11 @@ def purchase_frequency_by_category(T: DataFrame) -> DataFrame:
 
 def avg_spend_by_segment(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Mean of customer totals per segment (customers without purchases skipped by avg)."""
-    j = C.select(_CID, "customer_segment").join(_tx(T, tx).select(_CID, "amount_sum"), _CID, "left")
+    j = C.select(_CID, "customer_segment").join(_tx(T, tx).select(_CID, "amount_sum_exact"), _CID, "left")
     return (j.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
-        sql_round(F.avg("amount_sum"), 2).alias("avg_spending"))
+        as_double(sql_round(money_mean(F.sum("amount_sum_exact"), F.count("amount_sum_exact")), 2))
+        .alias("avg_spending"))
         .orderBy(F.desc("avg_spending"), "customer_segment"))
 
 
