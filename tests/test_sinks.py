@@ -62,3 +62,16 @@ def test_streaming_keyed_ingest_is_idempotent(spark, tmpdir_path):
     out = spark.read.parquet(target)
     assert out.count() == T.count()
     assert out.select("transaction_id").distinct().count() == T.count()
+
+
+def test_load_tables_json_and_orc(spark, tmpdir_path):
+    C, T, E = testmap.load(spark, SF_SMALL)
+    for fmt in ("json", "orc"):
+        base = f"{tmpdir_path}/{fmt}"
+        for name, df in (("customers", C), ("transactions", T), ("engagement", E)):
+            df.write.format(fmt).save(f"{base}/{name}")
+        tables = load_tables(spark, base, fmt, register_views=False)
+        for name, df in (("customers", C), ("transactions", T), ("engagement", E)):
+            got = tables[name]
+            assert got.columns == df.columns
+            assert got.exceptAll(df).count() == 0 and df.exceptAll(got).count() == 0, (fmt, name)
