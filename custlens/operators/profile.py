@@ -19,7 +19,8 @@ double nearest to the exact money total (reports round its means and
 medians to cents, where an ulp decides exact ties).
 
 ``process_metrics`` (P02-P14) is one projection over that frame plus
-two scalar subqueries (the global means used by ``value_segment``).
+one struct-valued scalar subquery (the two global means used by
+``value_segment``).
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def process_metrics(profile: DataFrame, as_of: datetime) -> DataFrame:
         (F.col("avg_order_value") * F.col("purchase_frequency") * 12 * 3).alias("clv_estimate"),
         churn_risk("days_since_last_purchase", "purchase_frequency").alias("churn_risk"),
     )
-    # Global means as scalar subqueries (run once, inlined as literals).
+    # Both global means from one scalar subquery (run once, inlined as literals).
     means = scalar_fields(m.agg(F.avg("total_spent").alias("s"), F.avg("purchase_frequency").alias("f")),
                           ["s", "f"])
     avg_spent, avg_freq = means["s"], means["f"]
