@@ -81,7 +81,8 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
     """Add ``rank_col`` (1-based position in the order ``value`` [desc], then
     ``id_col`` ascending, nulls last, within ``group_cols``) and, if
     ``running_sum`` is given, ``sum_col`` = running sum of that column in
-    the same order.  ``id_col`` must be unique within a group."""
+    the same order.  ``id_col`` must be unique within a group.  The rank is
+    a bigint on every path, so the schema does not depend on the data size."""
     group = _group_cols(group_cols)
     v, i = F.col(value), F.col(id_col)
     v_order = v.desc_nulls_last() if descending else v.asc_nulls_last()
@@ -89,7 +90,7 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
 
     if k <= 1:
         w = Window.partitionBy(*group).orderBy(v_order, i.asc())
-        out = df.withColumn(rank_col, F.row_number().over(w))
+        out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
         if running_sum:
             out = out.withColumn(sum_col, F.sum(running_sum).over(
                 w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -146,7 +147,7 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
     ranked = rows.join(offsets, [*group, "__major", "__minor"], "inner")
 
     w = Window.partitionBy(*group, "__major", "__minor").orderBy(v_order, i.asc())
-    out = ranked.withColumn(rank_col, F.row_number().over(w) + F.col("__off_n"))
+    out = ranked.withColumn(rank_col, (F.row_number().over(w) + F.col("__off_n")).cast("long"))
     if running_sum:
         local = F.sum(running_sum).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         off = F.col("__off_s")

@@ -286,7 +286,7 @@ F["a14_pareto"] = ("""
 SELECT customer_id, customer_name, customer_segment, total_spent, spend_rank, cumulative_revenue,
        100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT fsum(total_spent) FROM export), 0)) AS cumulative_pct
 FROM (SELECT customer_id, customer_name, customer_segment, total_spent,
-             CAST(row_number() OVER w AS INTEGER) AS spend_rank,
+             CAST(row_number() OVER w AS BIGINT) AS spend_rank,
              fsum(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
       FROM export WINDOW w AS (ORDER BY total_spent DESC NULLS LAST, customer_id))
 ORDER BY spend_rank""", ["total_spent", "cumulative_revenue", "cumulative_pct"])
