@@ -65,7 +65,7 @@ def high_value(P: DataFrame, min_spent: float = 100000, n: int | None = None) ->
     """Customers spending more than ``min_spent`` (profile order);
     ``n`` keeps the first n rows as the reference prints ``head()``."""
     out = (P.where(F.col("total_spent") > min_spent).orderBy(_CID)
-           .select(_CID, "customer_name", "total_spent", "churn_risk"))
+           .select("customer_name", "total_spent", "churn_risk"))
     return out.limit(n) if n else out
 
 
@@ -152,15 +152,14 @@ def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx:
         F.greatest(F.lit(1), F.ceil((r - 1) * 5 / (n_freq - 1)).cast("int")))
     scored = (P.select(_CID, "customer_name", "days_since_last_purchase", "total_spent")
               .join(ranked, _CID, "left")
-              .select(_CID, "customer_name", (6 - r_bin).cast("int").alias("R_score"),
+              .select("customer_name", (6 - r_bin).cast("int").alias("R_score"),
                       f_bin.cast("int").alias("F_score"), m_bin.cast("int").alias("M_score")))
     return scored.withColumn("RFM_Score", F.concat(F.col("R_score").cast("string"), F.col("F_score").cast("string"),
                                                    F.col("M_score").cast("string")))
 
 
-def health_scores(P: DataFrame) -> DataFrame:
-    """Health score, with the reference's precedence:
-    (eng/100*0.3 + (1 - d/max_d*0.4) + f/max_f*0.3) * 100, rounded half-even."""
+def _health(P: DataFrame) -> DataFrame:
+    """(customer_id, customer_name, health_score)."""
     maxima = scalar_fields(P.agg(F.max("days_since_last_purchase").alias("d"),
                                  F.max("purchase_frequency").alias("f")), ["d", "f"])
     max_d, max_f = maxima["d"], maxima["f"]
@@ -170,9 +169,15 @@ def health_scores(P: DataFrame) -> DataFrame:
     return P.select(_CID, "customer_name", pd_round(score, 2).alias("health_score"))
 
 
+def health_scores(P: DataFrame) -> DataFrame:
+    """Health score, with the reference's precedence:
+    (eng/100*0.3 + (1 - d/max_d*0.4) + f/max_f*0.3) * 100, rounded half-even."""
+    return _health(P).orderBy(_CID).select("customer_name", "health_score")
+
+
 def top_health(P: DataFrame, k: int = 10) -> DataFrame:
     """A12 report: the k healthiest customers (ties by customer id)."""
-    return (health_scores(P).where(F.col("health_score").isNotNull())
+    return (_health(P).where(F.col("health_score").isNotNull())
             .orderBy(F.desc("health_score"), _CID).limit(k).select("customer_name", "health_score"))
 
 
@@ -181,7 +186,7 @@ def churn_signals(P: DataFrame, n: int | None = None) -> DataFrame:
     out = (P.where((F.col("days_since_last_purchase") > 60) & (F.col("engagement_score") < 50)
                    & (F.col("purchase_frequency") < 1))
            .orderBy(_CID)
-           .select(_CID, "customer_name", "total_spent", "days_since_last_purchase", "engagement_score"))
+           .select("customer_name", "total_spent", "days_since_last_purchase", "engagement_score"))
     return out.limit(n) if n else out
 
 
@@ -189,13 +194,11 @@ def pareto(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Customers by spend (desc, then id) with running revenue and its
     percentage of the total; the running sum is distributed (ranking)."""
     total = P.select(F.sum("total_spent")).scalar()
-    ranked = ordered_rank(P.select(_CID, "customer_name", "customer_segment", "total_spent"),
-                          "total_spent", _CID, descending=True, running_sum="total_spent",
-                          rank_col="spend_rank", sum_col="cumulative_revenue", rows_per_bucket=rows_per_bucket)
-    return ranked.select(_CID, "customer_name", "customer_segment", "total_spent", "spend_rank",
-                         "cumulative_revenue",
-                         (F.lit(100.0) * safe_div(F.col("cumulative_revenue"), total)).alias("cumulative_pct")) \
-        .orderBy("spend_rank")
+    ranked = ordered_rank(P, "total_spent", _CID, descending=True, running_sum="total_spent",
+                          rank_col="__spend_rank", sum_col="cumulative_revenue", rows_per_bucket=rows_per_bucket)
+    return (ranked.orderBy("__spend_rank")
+            .select(*P.columns, "cumulative_revenue",
+                    (F.lit(100.0) * safe_div(F.col("cumulative_revenue"), total)).alias("cumulative_pct")))
 
 
 def top_share(P: DataFrame, share: float = 0.2, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

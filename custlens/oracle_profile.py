@@ -203,7 +203,7 @@ SELECT customer_segment, COUNT(*) AS count FROM export WHERE customer_segment IS
 GROUP BY customer_segment ORDER BY count DESC""", [])
 
 F["a04_high_value"] = ("""
-SELECT customer_id, customer_name, total_spent, churn_risk FROM export
+SELECT customer_name, total_spent, churn_risk FROM export
 WHERE total_spent > 100000 ORDER BY customer_id""", ["total_spent"])
 
 F["a05_segment_summary"] = (f"""
@@ -243,7 +243,7 @@ SELECT 'BUILDING' AS segment_a, 'AUTOMOBILE' AS segment_b,
 FROM export""", ["mean_a", "mean_b", "difference"])
 
 F["a11_rfm_quintiles"] = ("""
-SELECT e.customer_id, e.customer_name,
+SELECT e.customer_name,
        CAST(6 - (1 + CAST(r[1] < days_since_last_purchase AS INT) + CAST(r[2] < days_since_last_purchase AS INT)
                    + CAST(r[3] < days_since_last_purchase AS INT) + CAST(r[4] < days_since_last_purchase AS INT))
             AS INT) AS R_score,
@@ -270,7 +270,7 @@ _HEALTH = ("((engagement_score / 100 * 0.3) + (1 - (days_since_last_purchase / "
            "((purchase_frequency / NULLIF((SELECT MAX(purchase_frequency) FROM export), 0)) * 0.3)) * 100")
 
 F["a12_health_scores"] = (f"""
-SELECT customer_id, customer_name, {B(_HEALTH)} AS health_score FROM export""", ["health_score"])
+SELECT customer_name, {B(_HEALTH)} AS health_score FROM export ORDER BY customer_id""", ["health_score"])
 
 F["a12_top_health"] = (f"""
 SELECT customer_name, health_score FROM (
@@ -278,18 +278,18 @@ SELECT customer_name, health_score FROM (
 WHERE health_score IS NOT NULL ORDER BY health_score DESC, customer_id LIMIT 10""", ["health_score"])
 
 F["a13_churn_signals"] = ("""
-SELECT customer_id, customer_name, total_spent, days_since_last_purchase, engagement_score FROM export
+SELECT customer_name, total_spent, days_since_last_purchase, engagement_score FROM export
 WHERE days_since_last_purchase > 60 AND engagement_score < 50 AND purchase_frequency < 1
 ORDER BY customer_id""", ["total_spent", "engagement_score"])
 
 F["a14_pareto"] = ("""
-SELECT customer_id, customer_name, customer_segment, total_spent, spend_rank, cumulative_revenue,
+SELECT * EXCLUDE (spend_rank),
        100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT fsum(total_spent) FROM export), 0)) AS cumulative_pct
-FROM (SELECT customer_id, customer_name, customer_segment, total_spent,
-             CAST(row_number() OVER w AS BIGINT) AS spend_rank,
+FROM (SELECT *, row_number() OVER w AS spend_rank,
              fsum(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
       FROM export WINDOW w AS (ORDER BY total_spent DESC NULLS LAST, customer_id))
-ORDER BY spend_rank""", ["total_spent", "cumulative_revenue", "cumulative_pct"])
+ORDER BY spend_rank""", ["total_spent", "purchase_frequency", "engagement_score", "clv_estimate",
+                         "conversion_rate", "tenure_months", "cumulative_revenue", "cumulative_pct"])
 
 F["a15_top_share"] = ("""
 SELECT CAST(floor((SELECT COUNT(*) FROM export) * 0.2) AS BIGINT) AS top_customers,

@@ -34,12 +34,12 @@ profiles = st.integers(min_value=6, max_value=60).flatmap(lambda n: st.tuples(
 def test_rfm_quintiles_match_pandas_qcut(spark, data):
     spend, freq, days, eng = data
     P, pdf = _frame(spark, [s / 100 for s in spend], [f / 100 for f in freq], days, [e / 100 for e in eng])
-    got = {r.customer_id: r for r in Sg.rfm_quintiles(P).collect()}
+    got = {r.customer_name: r for r in Sg.rfm_quintiles(P).collect()}
     r = pd.qcut(pdf.days_since_last_purchase, q=5, labels=[5, 4, 3, 2, 1]).astype(int)
     f = pd.qcut(pdf.purchase_frequency.rank(method="first"), q=5, labels=[1, 2, 3, 4, 5]).astype(int)
     m = pd.qcut(pdf.total_spent, q=5, labels=[1, 2, 3, 4, 5]).astype(int)
-    for i, cid in enumerate(pdf.customer_id):
-        row = got[cid]
+    for i, name in enumerate(pdf.customer_name):
+        row = got[name]
         assert (row.R_score, row.F_score, row.M_score) == (r[i], f[i], m[i])
         assert row.RFM_Score == f"{r[i]}{f[i]}{m[i]}"
 
@@ -58,9 +58,9 @@ def test_pareto_and_health_match_pandas(spark, data):
     health = (pdf.engagement_score / 100 * 0.3
               + (1 - (pdf.days_since_last_purchase / pdf.days_since_last_purchase.max()) * 0.4)
               + (pdf.purchase_frequency / pdf.purchase_frequency.max()) * 0.3) * 100
-    got = Sg.health_scores(P).toPandas().set_index("customer_id").health_score
+    got = Sg.health_scores(P).toPandas().set_index("customer_name").health_score
     expected = health.round(2).values
-    ok = np.isclose(got.loc[pdf.customer_id].values, expected, atol=0.011, equal_nan=True)
+    ok = np.isclose(got.loc[pdf.customer_name].values, expected, atol=0.011, equal_nan=True)
     assert ok.all()  # half-even rounding may differ by one cent on binary ties
 
 
