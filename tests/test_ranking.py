@@ -74,3 +74,18 @@ def test_approx_percentiles_close(skewed):
         assert e.g == a.g
         for name in ("p25", "p50", "p75"):
             assert abs(e[name] - a[name]) <= 5.0  # values 0..500; rank error ~ n/10000
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 17])
+def test_selection_percentiles_tiny_buckets(spark, rows_per_bucket):
+    """Many buckets, heavy ties (single-value buckets) and continuous values."""
+    random.seed(rows_per_bucket)
+    rows = [(i, random.choice("ab"), float(random.randint(0, 5)) if i % 2 else random.random() * 100)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    probs = [0, 0.01, 0.25, 0.5, 0.8, 0.99, 1]
+    pdf = df.toPandas()
+    got = exact_percentiles(df, "v", "id", probs, group_cols="g", rows_per_bucket=rows_per_bucket).toPandas()
+    for _, row in got.iterrows():
+        x = pdf[pdf.g == row["g"]].v.values
+        assert np.allclose(np.percentile(x, [p * 100 for p in probs]), row.values[1:].astype(float))
