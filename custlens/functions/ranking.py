@@ -30,7 +30,7 @@ because the input is scanned once per pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,103 +157,105 @@ def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = Fals
     return out.drop("__major", "__minor", "__off_n", "__off_s")
 
 
+def values_at_ranks(df: DataFrame, value: str, id_col: str, ranks: dict[str, Callable[[Column], Column]],
+                    group_cols: Sequence[str] | str | None = None,
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The value at given ascending 1-based ranks, per group (nulls ignored).
+
+    ``ranks`` maps an output name to a function of the group's row count
+    ``n`` (a Column) giving the rank.  Returns the group columns, ``__n``
+    and one column per name.
+
+    A selection, not a sort: value-edge sketches cut each group into
+    buckets, per-bucket counts locate the bucket holding every wanted rank,
+    and only those buckets are sorted (a bucket made of one tied value needs
+    no sort: its value is the edge).  Small groups (one bucket) use a plain
+    per-group window.
+    """
+    group = _group_cols(group_cols)
+    v = F.col(value)
+    base = df.where(v.isNotNull()).select(*group, id_col, value)
+    counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
+    k = num_buckets(base, group, rows_per_bucket)
+
+    if k <= 1:
+        ranked = ordered_rank(base, value, id_col, group_cols=group, rank_col="__r", buckets=1)
+        ranked = _attach(ranked, counts, group, ["__n"])
+        return ranked.groupBy(*group).agg(
+            F.first("__n").alias("__n"),
+            *[F.max(F.when(F.col("__r") == rank(n), v)).alias(name) for name, rank in ranks.items()])
+
+    fractions = [j / k for j in range(1, k)]
+    accuracy = max(10000, 20 * k)
+    edges = base.groupBy(*group).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(value, fractions, accuracy))).alias("__edges"))
+    rows = _attach(base, edges, group, ["__edges"])
+    is_edge = F.array_contains("__edges", v)
+    rows = rows.withColumn("__major", F.size(F.filter("__edges", lambda e: e < v)) * 2
+                           + F.when(is_edge, 1).otherwise(0)).drop("__edges")
+    # per-bucket counts and exclusive offsets (at most 2K+1 rows per group)
+    bstats = rows.groupBy(*group, "__major").agg(F.count(F.lit(1)).alias("__bn"),
+                                                F.min(value).alias("__bmin"), F.max(value).alias("__bmax"))
+    prior = Window.partitionBy(*group).orderBy("__major").rowsBetween(Window.unboundedPreceding, -1)
+    bstats = bstats.withColumn("__off", F.coalesce(F.sum("__bn").over(prior), F.lit(0)))
+    bstats = _attach(bstats, counts, group, ["__n"])
+    off, bn = F.col("__off"), F.col("__bn")
+    bstats = bstats.select("*", *[e for name, rank in ranks.items() for e in (
+        ((off < rank(n)) & (rank(n) <= off + bn)).alias(f"__in_{name}"),
+        F.when((off < rank(n)) & (rank(n) <= off + bn), rank(n) - off).alias(f"__lr_{name}"))])
+    any_hit = None
+    for name in ranks:
+        any_hit = F.col(f"__in_{name}") if any_hit is None else (any_hit | F.col(f"__in_{name}"))
+    single = F.col("__bmin") == F.col("__bmax")
+    # values read straight from single-value buckets
+    point_vals = bstats.where(single & any_hit).groupBy(*group).agg(
+        *[F.max(F.when(F.col(f"__in_{name}"), F.col("__bmin"))).alias(f"__pv_{name}") for name in ranks])
+    # buckets of several values holding a wanted rank: only their rows are sorted
+    need = bstats.where(~single & any_hit).select(*group, "__major", *[f"__lr_{name}" for name in ranks])
+    if not group:
+        need = F.broadcast(need)  # at most one bucket per wanted rank
+    sel = rows.join(need, [*group, "__major"], "inner")
+    sel = sel.withColumn("__lr", F.row_number().over(Window.partitionBy(*group, "__major").orderBy(v)))
+    range_vals = sel.groupBy(*group).agg(
+        *[F.max(F.when(F.col("__lr") == F.col(f"__lr_{name}"), v)).alias(f"__sv_{name}") for name in ranks])
+    out = counts
+    for part in (point_vals, range_vals):
+        if group:
+            out = out.join(part, group, "left")
+        else:
+            vals = scalar_fields(part, list(part.columns))
+            out = out.select("*", *[c.alias(name) for name, c in vals.items()])
+    return out.select(*group, "__n", *[F.coalesce(f"__pv_{name}", f"__sv_{name}").alias(name) for name in ranks])
+
+
 def exact_percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
                       group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET, decimal: bool = False) -> DataFrame:
     """Exact percentiles with linear interpolation between ranks (NumPy's
-    default rule, DuckDB ``quantile_cont``), one row per group.
-
-    Nulls are ignored.  A selection, not a sort: value-edge sketches cut
-    each group into buckets, per-bucket counts locate the bucket holding
-    every needed rank, and only those buckets are sorted (a bucket made of
-    one tied value needs no sort: its value is the edge).  Small groups
-    (one bucket) use a plain per-group window.  ``decimal=True`` interpolates
-    in DECIMAL(38,10) and returns decimals, for results that are rounded
+    default rule, DuckDB ``quantile_cont``), one row per group; nulls ignored.
+
+    The two ranks around each position come from ``values_at_ranks`` (a
+    selection; no full sort).  ``decimal=True`` interpolates in
+    DECIMAL(38,10) and returns decimals, for results that are rounded
     afterwards (a median of two cent amounts is an exact x.xx5 tie; float
     interpolation may land an ulp on either side of it).
     """
     group = _group_cols(group_cols)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    v = F.col(value)
-    base = df.where(v.isNotNull()).select(*group, id_col, value)
-    counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    k = num_buckets(base, group, rows_per_bucket)
 
-    def targets(n):
-        """(name, lo rank, hi rank, fraction) per probability, 1-based ranks."""
-        out = []
-        for p, name in zip(probs, names):
-            pos = (n - 1) * F.lit(float(p))
-            out.append((name, F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)))
-        return out
+    def pos(p):
+        return lambda n: (n - 1) * F.lit(float(p))
 
-    if k <= 1:
-        ranked = ordered_rank(base, value, id_col, group_cols=group, rank_col="__r", buckets=1)
-        ranked = _attach(ranked, counts, group, ["__n"])
-        aggs = []
-        for name, lo, hi, t in targets(F.col("__n")):
-            aggs += [F.max(F.when(F.col("__r") == lo, v)).alias(f"__lo_{name}"),
-                     F.max(F.when(F.col("__r") == hi, v)).alias(f"__hi_{name}"),
-                     F.first(t).alias(f"__t_{name}")]
-        picked = ranked.groupBy(*group).agg(*aggs)
-    else:
-        fractions = [j / k for j in range(1, k)]
-        accuracy = max(10000, 20 * k)
-        edges = base.groupBy(*group).agg(
-            F.array_sort(F.array_distinct(F.percentile_approx(value, fractions, accuracy))).alias("__edges"))
-        rows = _attach(base, edges, group, ["__edges"])
-        is_edge = F.array_contains("__edges", v)
-        rows = rows.withColumn("__major", F.size(F.filter("__edges", lambda e: e < v)) * 2
-                               + F.when(is_edge, 1).otherwise(0)).drop("__edges")
-        # per-bucket counts and exclusive offsets (≤ 2K+1 rows per group)
-        bstats = rows.groupBy(*group, "__major").agg(F.count(F.lit(1)).alias("__bn"),
-                                                    F.min(value).alias("__bmin"), F.max(value).alias("__bmax"))
-        prior = Window.partitionBy(*group).orderBy("__major").rowsBetween(Window.unboundedPreceding, -1)
-        bstats = bstats.withColumn("__off", F.coalesce(F.sum("__bn").over(prior), F.lit(0)))
-        bstats = _attach(bstats, counts, group, ["__n"])
-        off, bn = F.col("__off"), F.col("__bn")
-        tgt = targets(F.col("__n"))
-        hit_cols, local_cols = [], []
-        for name, lo, hi, t in tgt:
-            for tag, r in (("lo", lo), ("hi", hi)):
-                hit = (off < r) & (r <= off + bn)
-                hit_cols.append(hit.alias(f"__in_{tag}_{name}"))
-                local_cols.append(F.when(hit, r - off).alias(f"__lr_{tag}_{name}"))
-        bstats = bstats.select("*", *hit_cols, *local_cols)
-        any_hit = None
-        hit_names = [f"__in_{tag}_{name}" for name, *_ in tgt for tag in ("lo", "hi")]
-        for c in hit_names:
-            any_hit = F.col(c) if any_hit is None else (any_hit | F.col(c))
-        point = F.col("__bmin") == F.col("__bmax")
-        # values read straight from single-value buckets
-        point_vals = bstats.where(point & any_hit).groupBy(*group).agg(*[
-            F.max(F.when(F.col(f"__in_{tag}_{name}"), F.col("__bmin"))).alias(f"__pv_{tag}_{name}")
-            for name, *_ in tgt for tag in ("lo", "hi")])
-        # range buckets holding a target: only their rows are sorted
-        need = bstats.where(~point & any_hit).select(
-            *group, "__major", *[f"__lr_{tag}_{name}" for name, *_ in tgt for tag in ("lo", "hi")])
-        if not group:
-            need = F.broadcast(need)  # at most 2 rows per probability
-        sel = rows.join(need, [*group, "__major"], "inner")
-        w = Window.partitionBy(*group, "__major").orderBy(v)
-        sel = sel.withColumn("__lr", F.row_number().over(w))
-        range_vals = sel.groupBy(*group).agg(*[
-            F.max(F.when(F.col("__lr") == F.col(f"__lr_{tag}_{name}"), v)).alias(f"__sv_{tag}_{name}")
-            for name, *_ in tgt for tag in ("lo", "hi")])
-        fracs = counts.select(*group, *[t.alias(f"__t_{name}") for name, lo, hi, t in tgt])
-        picked = fracs
-        for part in (point_vals, range_vals):
-            picked = (picked.join(part, group, "left") if group else
-                      picked.select("*", *[fv.alias(c) for c, fv in
-                                           scalar_fields(part, [c for c in part.columns]).items()]))
-        picked = picked.select(*group, *[
-            e for name, *_ in tgt for e in (
-                F.coalesce(f"__pv_lo_{name}", f"__sv_lo_{name}").alias(f"__lo_{name}"),
-                F.coalesce(f"__pv_hi_{name}", f"__sv_hi_{name}").alias(f"__hi_{name}"),
-                F.col(f"__t_{name}"))])
+    ranks = {}
+    for p, name in zip(probs, names):
+        ranks[f"__lo_{name}"] = (lambda q: lambda n: F.floor(pos(q)(n)) + 1)(p)
+        ranks[f"__hi_{name}"] = (lambda q: lambda n: F.ceil(pos(q)(n)) + 1)(p)
+    picked = values_at_ranks(df, value, id_col, ranks, group, rows_per_bucket)
     outs = []
-    for name in names:
-        lo, hi, t = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__t_{name}")
+    for p, name in zip(probs, names):
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        t = pos(p)(F.col("__n")) - F.floor(pos(p)(F.col("__n")))
         if decimal:
             lo, hi, t = (c.cast("decimal(38,10)") for c in (lo, hi, t))
             outs.append((lo + (hi - lo) * t).cast("decimal(38,10)").alias(name))

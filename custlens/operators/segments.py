@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_match, pd_round, safe_div, scalar_fields
-from ..functions.ranking import ROWS_PER_BUCKET, ordered_rank, percentiles, quantile_bin
+from ..functions.ranking import ROWS_PER_BUCKET, ordered_rank, percentiles, quantile_bin, values_at_ranks
 
 _CID = "customer_id"
 
@@ -202,14 +202,26 @@ def pareto(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
 
 
 def top_share(P: DataFrame, share: float = 0.2, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Percentage of revenue from the top int(share * n) customers."""
+    """Percentage of revenue from the top int(share * n) customers.
+
+    The k-th largest spend v* comes from a selection (no full sort); the
+    top-k revenue is then exactly ``sum(x > v*) + (k - count(x > v*)) * v*``,
+    whichever of the customers tied at v* the reference's sort kept.
+    """
     stats = scalar_fields(P.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spent").alias("t")), ["n", "t"])
     n, total = stats["n"], stats["t"]
-    k = F.floor(n * F.lit(float(share)))
-    ranked = ordered_rank(P.select(_CID, "total_spent"), "total_spent", _CID, descending=True,
-                          rank_col="spend_rank", rows_per_bucket=rows_per_bucket)
-    top = F.sum(F.when(F.col("spend_rank") <= k, F.col("total_spent")).otherwise(F.lit(0.0)))
-    return ranked.agg(k.cast("long").alias("top_customers"), top.alias("top_revenue")) \
+    k = F.floor(n * F.lit(float(share))).cast("long")
+    # k-th largest = ascending rank n - k + 1 among non-null spends
+    # k-th largest = ascending rank m - k + 1 among the m non-null spends
+    kth = values_at_ranks(P, "total_spent", _CID, {"v": lambda m: m - k + 1}, rows_per_bucket=rows_per_bucket)
+    v_star = scalar_fields(kth.select("v"), ["v"])["v"]
+    x = F.col("total_spent")
+    above = P.agg(F.sum(F.when(x > v_star, x)).alias("s"), F.count_if(x > v_star).alias("c"),
+                  F.sum(x).alias("all"))
+    top = (F.when(k <= 0, F.lit(0.0))
+           .when(v_star.isNull(), F.coalesce(F.col("all"), F.lit(0.0)))  # k exceeds the non-null spends
+           .otherwise(F.coalesce(F.col("s"), F.lit(0.0)) + (k - F.col("c")).cast("double") * v_star))
+    return above.select(k.alias("top_customers"), top.alias("top_revenue")) \
         .select("top_customers", "top_revenue",
                 (F.lit(100.0) * safe_div(F.col("top_revenue"), total)).alias("top_revenue_pct"))
 

@@ -78,3 +78,21 @@ def test_describe_percentiles_and_median_match_pandas(spark, data):
     assert np.allclose([q.p25, q.p50, q.p75], np.percentile(pdf.total_spent.values, [25, 50, 75]))
     med = Sg.segment_summary(P).first().total_spent_median
     assert abs(med - pdf.total_spent.median()) <= 0.0051  # rounded to cents
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(profiles, st.sampled_from([0.05, 0.2, 0.5]))
+def test_top_share_matches_pandas(spark, data, share):
+    spend, freq, days, eng = data
+    spend = [s // 1000 for s in spend]  # many ties around the cut
+    P, pdf = _frame(spark, spend, [f / 100 for f in freq], days, [e / 100 for e in eng])
+    got = Sg.top_share(P, share).first()
+    k = int(len(pdf) * share)
+    top = pdf.sort_values("total_spent", ascending=False).head(k).total_spent.sum()
+    assert got.top_customers == k
+    assert abs(got.top_revenue - top) < 1e-6
+    total = pdf.total_spent.sum()
+    if total == 0:
+        assert got.top_revenue_pct is None  # 0/0: pandas NaN, here null (division by zero -> null)
+    else:
+        assert abs(got.top_revenue_pct - 100 * top / total) < 1e-9
