@@ -18,7 +18,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from pyspark.sql import functions as F
 
-    from custlens.functions.ranking import ordered_rank
+    from custlens.functions.ranking import exact_percentiles, ordered_rank
     from custlens.operators import profile as Pr
     from custlens.operators import queries as Q
     from custlens.plans.session import build_session
@@ -41,6 +41,10 @@ def main() -> None:
         ("A14 Pareto running sum, bucketed path (rows_per_bucket=1000 to force it at this scale)",
          ordered_rank(P.select("customer_id", "total_spent"), "total_spent", "customer_id", descending=True,
                       running_sum="total_spent", rows_per_bucket=1000)),
+        ("A05-style exact median per segment by selection (rows_per_bucket=100 to force buckets): only the "
+         "buckets holding the wanted ranks are sorted",
+         exact_percentiles(P, "total_spent", "customer_id", [0.5], group_cols="customer_segment",
+                           rows_per_bucket=100)),
         ("L4 insert_or_ignore: min_by winner per key (combinable), anti join with the target",
          insert_or_ignore(T.limit(100), T, table="transactions")),
     ]
