@@ -93,7 +93,7 @@ class CustomerAnalytics:
 
     # ------------------------------------------------------- R / A / C families
     def report(self, name: str) -> DataFrame:
-        """A named report (R1-R4) of the pipeline."""
+        """A named report (R1-R4) of the batch job."""
         return Rp.generate_reports(self.profile)[name]
 
     def reports(self) -> dict[str, DataFrame]:

@@ -64,7 +64,7 @@ def channel_report(P: DataFrame) -> DataFrame:
 
 
 def generate_reports(P: DataFrame) -> dict[str, DataFrame]:
-    """The four named reports of the pipeline (lazy frames)."""
+    """The four named reports of the batch job (lazy frames)."""
     return {"segment_analysis": segment_analysis(P), "churn_risk": churn_risk_report(P),
             "value_segment": value_segment_report(P), "channel": channel_report(P)}
 
@@ -123,7 +123,7 @@ def segment_engagement(P: DataFrame) -> DataFrame:
 
 
 def key_statistics(P: DataFrame) -> DataFrame:
-    """The pipeline's printed key statistics as one numeric row."""
+    """The batch job's printed key statistics as one numeric row."""
     return P.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.sum("total_spent").alias("total_revenue"),

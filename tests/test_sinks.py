@@ -16,7 +16,7 @@ from .conftest import SF_SMALL
 def test_export_and_read_back(spark, tmpdir_path):
     C, T, E = testmap.load(spark, SF_SMALL)
     P = Pr.build_profile(C, T, E, AS_OF).cache()
-    path = export_profile(P, f"{tmpdir_path}/powerbi")
+    path = export_profile(P, f"{tmpdir_path}/bi_export")
     back = read_profile_csv(spark, path)
     assert back.columns == EXPORT_COLUMNS and back.count() == P.count()
     assert back.exceptAll(P.select(*EXPORT_COLUMNS)).count() == 0
