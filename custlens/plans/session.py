@@ -69,9 +69,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Checkpoint directory from ``spark.checkpoint.dir``; a private temp dir
-    only when the session names none (local tests).  Under Spark Connect
-    there is no client-side context; the server's setting applies."""
+    """Checkpoint directory from ``spark.checkpoint.dir``.  Only a local-mode
+    session without one (tests) gets a private temp dir; a cluster session
+    without one is an error, since a machine-local directory would not
+    survive the loss of that machine.  Under Spark Connect there is no
+    client-side context; the server's setting applies."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (Spark Connect session)
@@ -80,6 +82,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="custlens-ckpt-")
-    sc.setCheckpointDir(target)
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant directory: "
+                               "checkpoints must survive the loss of any machine")
+        configured = tempfile.mkdtemp(prefix="custlens-ckpt-")  # local mode only (tests)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
