@@ -2,10 +2,10 @@
 
 At scale the cost of every customer-level question is scanning and
 shuffling the fact tables.  This facade aggregates each fact table once
-per customer (``tx_by_customer``, ``eng_by_customer``), checkpoints the
-two summaries (one row per customer each) into ``spark.checkpoint.dir``,
-builds and checkpoints the profile from them, and answers every question
-from those — the raw fact tables are read again only by questions that
+per customer (``tx_by_customer``, ``eng_by_customer``), joins them to
+the customers once (``wide``), checkpoints these into
+``spark.checkpoint.dir``, builds and checkpoints the profile from them,
+and answers every question from those — the raw fact tables are read again only by questions that
 group them by something other than the customer (category, month,
 device, the 30-day window).
 
@@ -51,11 +51,17 @@ class CustomerAnalytics:
         """Per-customer engagement summary (checkpointed once)."""
         return self._keep(eng_by_customer(self.E))
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """customers ⟕ transaction summary ⟕ engagement summary, checkpointed
+        once: customer-level questions are projections of it, so the customer
+        table is shuffled for one join instead of one join per question."""
+        return self._keep(self.C.join(self.tx, "customer_id", "left").join(self.eng, "customer_id", "left"))
+
     @cached_property
     def profile(self) -> DataFrame:
-        """The full profile, built from the shared summaries and checkpointed."""
-        return self._keep(Pr.build_profile(self.C, self.T, self.E, self.as_of, materialize=False,
-                                           tx=self.tx, eng=self.eng))
+        """The full profile, built from the pre-joined summaries and checkpointed."""
+        return self._keep(Pr.build_profile(self.wide, self.T, self.E, self.as_of, materialize=False))
 
     @cached_property
     def export(self) -> DataFrame:
@@ -66,30 +72,30 @@ class CustomerAnalytics:
     def customer_list(self): return Q.customer_list(self.C)
     def customers_by_country(self): return Q.customers_by_country(self.C)
     def customers_by_channel(self): return Q.customers_by_channel(self.C)
-    def customer_transactions(self): return Q.customer_transactions(self.C, self.T, tx=self.tx)
+    def customer_transactions(self): return Q.customer_transactions(self.wide, self.T, tx=self.tx)
     def revenue_by_category(self): return Q.revenue_by_category(self.T)
     def revenue_by_payment_method(self): return Q.revenue_by_payment_method(self.T)
     def monthly_revenue(self): return Q.monthly_revenue(self.T)
-    def customer_engagement(self): return Q.customer_engagement(self.C, self.E, eng=self.eng)
+    def customer_engagement(self): return Q.customer_engagement(self.wide, self.E, eng=self.eng)
     def device_usage(self): return Q.device_usage(self.E)
-    def customer_conversion(self): return Q.customer_conversion(self.C, self.E, eng=self.eng)
-    def rfm_rules(self): return Q.rfm_rules(self.C, self.T, self.as_of, tx=self.tx)
-    def churn_by_inactivity(self): return Q.churn_by_inactivity(self.C, self.T, self.as_of, tx=self.tx)
-    def clv_three_year(self): return Q.clv_three_year(self.C, self.T, self.as_of, tx=self.tx)
-    def cohort_retention(self): return Q.cohort_retention(self.C, self.T, tx=self.tx)
-    def segment_performance(self): return Q.segment_performance(self.C, self.T, self.E, tx=self.tx, eng=self.eng)
-    def channel_effectiveness(self): return Q.channel_effectiveness(self.C, self.T, tx=self.tx)
-    def top_customers(self, k: int = 20): return Q.top_customers(self.C, self.T, k, tx=self.tx)
+    def customer_conversion(self): return Q.customer_conversion(self.wide, self.E, eng=self.eng)
+    def rfm_rules(self): return Q.rfm_rules(self.wide, self.T, self.as_of, tx=self.tx)
+    def churn_by_inactivity(self): return Q.churn_by_inactivity(self.wide, self.T, self.as_of, tx=self.tx)
+    def clv_three_year(self): return Q.clv_three_year(self.wide, self.T, self.as_of, tx=self.tx)
+    def cohort_retention(self): return Q.cohort_retention(self.wide, self.T, tx=self.tx)
+    def segment_performance(self): return Q.segment_performance(self.wide, self.T, self.E, tx=self.tx, eng=self.eng)
+    def channel_effectiveness(self): return Q.channel_effectiveness(self.wide, self.T, tx=self.tx)
+    def top_customers(self, k: int = 20): return Q.top_customers(self.wide, self.T, k, tx=self.tx)
     def top_products(self): return Q.top_products(self.T)
-    def value_comparison(self): return Q.value_comparison(self.C, self.T, tx=self.tx)
+    def value_comparison(self): return Q.value_comparison(self.wide, self.T, tx=self.tx)
     def recently_active(self, days: int = 30): return Q.recently_active(self.C, self.T, self.as_of, days)
-    def business_kpis(self, days: int = 30): return Q.business_kpis(self.C, self.T, self.as_of, days, tx=self.tx)
+    def business_kpis(self, days: int = 30): return Q.business_kpis(self.wide, self.T, self.as_of, days, tx=self.tx)
     def customer_growth(self): return Q.customer_growth(self.C)
     def purchase_frequency_by_category(self): return Q.purchase_frequency_by_category(self.T)
-    def avg_spend_by_segment(self): return Q.avg_spend_by_segment(self.C, self.T, tx=self.tx)
+    def avg_spend_by_segment(self): return Q.avg_spend_by_segment(self.wide, self.T, tx=self.tx)
 
     def inactive_customers(self, days: int = 180, k: int | None = 10):
-        return Q.inactive_customers(self.C, self.T, self.as_of, days, k, tx=self.tx)
+        return Q.inactive_customers(self.wide, self.T, self.as_of, days, k, tx=self.tx)
 
     # ------------------------------------------------------- R / A / C families
     def report(self, name: str) -> DataFrame:

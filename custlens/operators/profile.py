@@ -54,9 +54,12 @@ def extract_profile(C: DataFrame, T: DataFrame, E: DataFrame, fanout: bool = Tru
                     eng: DataFrame | None = None) -> DataFrame:
     """The 15 extracted columns, one row per customer (``tx``/``eng``:
     precomputed per-customer summaries, else aggregated here)."""
-    tx = tx if tx is not None else tx_by_customer(T, exact_distinct)
-    eng = eng if eng is not None else eng_by_customer(E)
-    j = C.select(*PROFILE_DIMENSIONS).join(tx, _CID, "left").join(eng, _CID, "left")
+    if "tx_rows" in C.columns and "eng_rows" in C.columns:
+        j = C  # pre-joined customers ⟕ summaries (CustomerAnalytics.wide)
+    else:
+        tx = tx if tx is not None else tx_by_customer(T, exact_distinct)
+        eng = eng if eng is not None else eng_by_customer(E)
+        j = C.select(*PROFILE_DIMENSIONS).join(tx, _CID, "left").join(eng, _CID, "left")
     if fanout:
         w_e = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
         w_t = F.greatest(F.coalesce("tx_rows", F.lit(0)), F.lit(1))

@@ -43,9 +43,20 @@ def _eng(E: DataFrame, eng: DataFrame | None) -> DataFrame:
 
 
 def _customers_with_tx(C: DataFrame, T: DataFrame, how: str = "left", tx: DataFrame | None = None) -> DataFrame:
+    """customers ⟕ transaction summary.  ``C`` may already be the pre-joined
+    frame (``CustomerAnalytics.wide``); then no join is planned at all."""
+    if "tx_rows" in C.columns:
+        return C.where(F.col("tx_rows").isNotNull()) if how == "inner" else C
     return C.join(_tx(T, tx), _CID, how)
 
 
+def _customers_with_eng(C: DataFrame, E: DataFrame, how: str = "left", eng: DataFrame | None = None) -> DataFrame:
+    """customers ⟕ engagement summary (or the pre-joined frame as is)."""
+    if "eng_rows" in C.columns:
+        return C.where(F.col("eng_rows").isNotNull()) if how == "inner" else C
+    return C.join(_eng(E, eng), _CID, how)
+
+
 # ---------------------------------------------------------------- 1. customers
 
 def customer_list(C: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def monthly_revenue(T: DataFrame) -> DataFrame:
 
 def customer_engagement(C: DataFrame, E: DataFrame, eng: DataFrame | None = None) -> DataFrame:
     """Per customer engagement; customers without engagement get 0 days / 0 purchases."""
-    j = C.join(_eng(E, eng), _CID, "left")
+    j = _customers_with_eng(C, E, "left", eng)
     return (j.select(
         _CID, "customer_name",
         F.coalesce("eng_days", F.lit(0)).alias("engagement_days"),
@@ -139,8 +150,8 @@ def device_usage(E: DataFrame) -> DataFrame:
 
 def customer_conversion(C: DataFrame, E: DataFrame, eng: DataFrame | None = None) -> DataFrame:
     """Purchase records per distinct engagement day (HAVING days > 0 -> inner join)."""
-    engaged = _eng(E, eng).where(F.col("eng_days") > 0)
-    return (C.join(engaged, _CID, "inner").select(
+    engaged = _customers_with_eng(C, E, "inner", eng).where(F.col("eng_days") > 0)
+    return (engaged.select(
         _CID, "customer_name",
         F.col("eng_days").alias("engagement_days"),
         F.col("purchase_rows").alias("conversion_days"),
@@ -235,11 +246,14 @@ def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame, tx: DataFrame
     Distinct engagement dates are per segment, so they come from the
     distinct (customer, date) pairs joined to the customer's segment.
     """
-    tx = _tx(T, tx)
-    eng_rows = (eng.select(_CID, "eng_rows") if eng is not None
-                else E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows")))
     w = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
-    per_cust = C.select(_CID, "customer_segment").join(tx, _CID, "left").join(eng_rows, _CID, "left")
+    if "tx_rows" in C.columns and "eng_rows" in C.columns:
+        per_cust = C  # pre-joined customers ⟕ summaries
+    else:
+        eng_rows = (eng.select(_CID, "eng_rows") if eng is not None
+                    else E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows")))
+        per_cust = (C.select(_CID, "customer_segment").join(_tx(T, tx), _CID, "left")
+                    .join(eng_rows, _CID, "left"))
     revenue = F.sum(F.col("amount_sum_exact") * w)
     customers = F.count(_CID)
     seg = per_cust.groupBy("customer_segment").agg(
@@ -316,7 +330,7 @@ def value_comparison(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) ->
     """
     tx = _tx(T, tx)
     mean_total = tx.select(F.avg("amount_sum_exact")).scalar()
-    j = C.select(_CID).join(tx, _CID, "left")
+    j = _customers_with_tx(C, T, "left", tx)
     category = F.when(mean_total >= F.col("amount_sum_exact"), "Below Average").otherwise("Above Average")
     return j.select(
         category.alias("value_category"),
@@ -383,7 +397,7 @@ def purchase_frequency_by_category(T: DataFrame) -> DataFrame:
 
 def avg_spend_by_segment(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Mean of customer totals per segment (customers without purchases skipped by avg)."""
-    j = C.select(_CID, "customer_segment").join(_tx(T, tx).select(_CID, "amount_sum_exact"), _CID, "left")
+    j = _customers_with_tx(C, T, "left", tx)
     return (j.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         as_double(sql_round(money_mean(F.sum("amount_sum_exact"), F.count("amount_sum_exact")), 2))

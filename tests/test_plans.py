@@ -91,10 +91,17 @@ def test_facade_answers_from_shared_summaries(spark):
                  "cohort_retention", "channel_effectiveness", "top_customers", "value_comparison",
                  "avg_spend_by_segment", "inactive_customers"):
         df = getattr(ca, name)()
-        assert "orders.parquet" not in explain_text(df, "simple"), name
+        text = explain_text(df, "simple")
+        assert "orders.parquet" not in text, name
+        assert "Join" not in text, name  # a projection of the pre-joined, checkpointed frame
     # same answers as the standalone operators
     reg = registry()
-    for name, fn in (("s11_rfm_rules", ca.rfm_rules), ("s15_segment_performance", ca.segment_performance)):
+    for name, fn in (("s11_rfm_rules", ca.rfm_rules), ("s15_segment_performance", ca.segment_performance),
+                     ("s19_value_comparison", ca.value_comparison), ("s21_business_kpis", ca.business_kpis),
+                     ("s24_avg_spend_by_segment", ca.avg_spend_by_segment), ("s08_customer_engagement",
+                                                                             ca.customer_engagement),
+                     ("s10_customer_conversion", ca.customer_conversion), ("s14_cohort_retention",
+                                                                           ca.cohort_retention)):
         from custlens.functions.normalize import normalize
         assert normalize(fn()).exceptAll(reg[name](spark, SF_SMALL)).count() == 0, name
     assert normalize(ca.profile).exceptAll(reg["p12_process_metrics"](spark, SF_SMALL)).count() == 0
