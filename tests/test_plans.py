@@ -105,3 +105,18 @@ def test_facade_answers_from_shared_summaries(spark):
         from custlens.functions.normalize import normalize
         assert normalize(fn()).exceptAll(reg[name](spark, SF_SMALL)).count() == 0, name
     assert normalize(ca.profile).exceptAll(reg["p12_process_metrics"](spark, SF_SMALL)).count() == 0
+
+
+def test_facade_matches_registry_for_whole_catalogue(spark):
+    from custlens.analytics import CustomerAnalytics
+    from custlens.functions.normalize import normalize
+    from custlens.registry import registry
+    C, T, E = testmap.load(spark, SF_SMALL)
+    ca = CustomerAnalytics(C, T, E, AS_OF)
+    reg = registry()
+    pairs = {name: "_".join(name.split("_")[1:]) for name in reg if name.startswith("s")}
+    for name, method in pairs.items():
+        ours = normalize(getattr(ca, method)())
+        ref = reg[name](spark, SF_SMALL)
+        assert ours.columns == ref.columns, name
+        assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0, name
