@@ -26,15 +26,22 @@ def main() -> None:
     from custlens.sources import testmap
     from custlens.sources.tables import insert_or_ignore
 
+    from custlens.analytics import CustomerAnalytics
+
     spark = build_session("custlens-explain", cpus=8)
     C, T, E = testmap.load(spark, sf_dir)
     P = Pr.build_profile(C, T, E, AS_OF)
+    ca = CustomerAnalytics(C, T, E, AS_OF)
     cases = [
         ("P01 extract_profile: facts aggregated by customer, then 1:1 joins (no T x E join)",
          Pr.extract_profile(C, T, E)),
         ("P12 process_metrics over the checkpointed extraction; global means as one scalar subquery", P),
         ("S15 segment_performance: fan-out weights from pre-aggregates; distinct dates per segment",
          Q.segment_performance(C, T, E)),
+        ("S11 via CustomerAnalytics: a projection of the checkpointed customers ⟕ summaries (no join, no fact scan)",
+         ca.rfm_rules()),
+        ("S15 via CustomerAnalytics: only the distinct engagement dates still touch raw engagement",
+         ca.segment_performance()),
         ("S20 recently_active: the 30-day rule as a pushed-down scan filter",
          Q.recently_active(C, T, AS_OF, 30)),
         ("S21 business_kpis: scalar subqueries instead of cross joins", Q.business_kpis(C, T, AS_OF, 30)),
