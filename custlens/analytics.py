@@ -37,31 +37,32 @@ class CustomerAnalytics:
         self.C, self.T, self.E, self.as_of = customers, transactions, engagement, as_of
         self._materialize = materialize
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return checkpoint(df) if self._materialize else df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return checkpoint(df, name) if self._materialize else df
 
     # ------------------------------------------------------------ shared state
     @cached_property
     def tx(self) -> DataFrame:
         """Per-customer transaction summary (checkpointed once)."""
-        return self._keep(tx_by_customer(self.T))
+        return self._keep(tx_by_customer(self.T), "tx-summary")
 
     @cached_property
     def eng(self) -> DataFrame:
         """Per-customer engagement summary (checkpointed once)."""
-        return self._keep(eng_by_customer(self.E))
+        return self._keep(eng_by_customer(self.E), "eng-summary")
 
     @cached_property
     def wide(self) -> DataFrame:
         """customers ⟕ transaction summary ⟕ engagement summary, checkpointed
         once: customer-level questions are projections of it, so the customer
         table is shuffled for one join instead of one join per question."""
-        return self._keep(self.C.join(self.tx, "customer_id", "left").join(self.eng, "customer_id", "left"))
+        return self._keep(self.C.join(self.tx, "customer_id", "left").join(self.eng, "customer_id", "left"),
+                          "customers-wide")
 
     @cached_property
     def profile(self) -> DataFrame:
         """The full profile, built from the pre-joined summaries and checkpointed."""
-        return self._keep(Pr.build_profile(self.wide, self.T, self.E, self.as_of, materialize=False))
+        return self._keep(Pr.build_profile(self.wide, self.T, self.E, self.as_of, materialize=False), "profile")
 
     @cached_property
     def export(self) -> DataFrame:

@@ -151,5 +151,5 @@ def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
     extracted = extract_profile(C, T, E, fanout=fanout, tx=tx, eng=eng)
     if materialize:
         from ..plans.materialize import checkpoint
-        extracted = checkpoint(extracted)
+        extracted = checkpoint(extracted, "extracted-profile")
     return process_metrics(extracted, as_of)
