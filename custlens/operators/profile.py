@@ -151,5 +151,6 @@ def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
     extracted = extract_profile(C, T, E, fanout=fanout, tx=tx, eng=eng)
     if materialize:
         from ..plans.materialize import checkpoint
-        extracted = checkpoint(extracted, "extracted-profile")
+        # read in full by the metric pass and the means subquery: row checkpoint
+        extracted = checkpoint(extracted, "extracted-profile", columnar=False)
     return process_metrics(extracted, as_of)

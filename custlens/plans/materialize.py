@@ -1,8 +1,9 @@
 """Materialising shared intermediates.
 
 Every report reads the profile, and every customer-level question reads
-the per-customer summaries, so they are computed once and stored as
-Parquet tables in the shared directory named by ``spark.checkpoint.dir``.
+the per-customer summaries, so they are computed once and stored in the
+shared directory named by ``spark.checkpoint.dir`` — as Parquet tables
+where many readers want a few columns each.
 A written table cuts the lineage like a reliable checkpoint (a lost
 executor costs a re-read, never a recomputation of the aggregations) and,
 being columnar, lets each later question read only its columns and push
@@ -20,16 +21,21 @@ from pyspark.sql import DataFrame
 from .session import ensure_checkpoint_dir
 
 
-def checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as a Parquet table under the session's checkpoint
-    directory and return the table (lineage cut, columnar reads)."""
+def checkpoint(df: DataFrame, name: str = "table", columnar: bool = True) -> DataFrame:
+    """Materialise ``df`` under the session's checkpoint directory, cutting
+    its lineage.
+
+    ``columnar=True`` writes a Parquet table (for intermediates that many
+    later questions read a few columns of); ``columnar=False`` takes a
+    reliable ``DataFrame.checkpoint()`` (cheaper to write, for intermediates
+    read in full once or twice)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    if not base:
-        return df.checkpoint(eager=True)  # no client-side path (Spark Connect): server-side checkpoint
+    if not columnar or not base:  # no client-side path (Spark Connect): server-side checkpoint
+        return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/custlens-{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def persist_profile(P: DataFrame, path: str | None = None) -> DataFrame:
