@@ -120,3 +120,13 @@ def test_facade_matches_registry_for_whole_catalogue(spark):
         ref = reg[name](spark, SF_SMALL)
         assert ours.columns == ref.columns, name
         assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0, name
+
+
+def test_facade_reads_only_needed_columns(spark):
+    """The shared intermediates are Parquet tables: a question reads its columns only."""
+    from custlens.analytics import CustomerAnalytics
+    C, T, E = testmap.load(spark, SF_SMALL)
+    ca = CustomerAnalytics(C, T, E, AS_OF)
+    text = explain_text(ca.rfm_rules(), "formatted")
+    schema = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")]
+    assert schema and all("page_views_avg" not in ln and "email" not in ln for ln in schema)
