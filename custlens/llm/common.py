@@ -133,3 +133,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select("v", "v").distinct())
         state = now
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, least: int = 500_000) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows (the last aside) of a stream sorted by column ``key``, never parting equal keys."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        last = b.column(key)[b.num_rows - 1].as_py()
+        cut = b.column(key).to_numpy(zero_copy_only=False).searchsorted(last, "left")
+        if cut or len(held) > 1 and held[-2].column(key)[held[-2].num_rows - 1].as_py() != last:
+            t = pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+            held, rows = [b.slice(cut)], b.num_rows - int(cut)
+            if t.num_rows:
+                yield t
+        else:
+            least = max(least, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -8,18 +8,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import pii, token_files, tokens, word_bpe
+from custlens.llm import embeddings, pii, simhash, token_files, tokens, word_bpe
 from custlens.llm.common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 TOKEN_LIMIT = 1024
 END_ID = 2
+MIN_COSINE = 0.98
+SHINGLE_WORDS, MAX_BITS = 4, 4
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), MIN_COSINE)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -28,6 +34,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE_WORDS, MAX_BITS)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), out, public_tokenizers.path(BYTE_BPE), END_ID)
