@@ -8,12 +8,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import embeddings, pii, simhash, token_files, tokens, word_bpe
+from custlens.llm import embeddings, pii, simhash, substrings, token_files, tokens, word_bpe
 from custlens.llm.common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 TOKEN_LIMIT = 1024
 END_ID = 2
+SPAN_WORDS = 20
 MIN_COSINE = 0.98
 SHINGLE_WORDS, MAX_BITS = 4, 4
 
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"), SPAN_WORDS)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), MIN_COSINE)
 
