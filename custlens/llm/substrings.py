@@ -25,79 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm.common import NULL_ID, WORD, in_arrow, shuffle_partitions, whole_groups, written
+from custlens.llm.words import M, mix, runs, word_hashes
 
 #: Words of a phrase, bytes of text in a reference block.
 PHRASE, BLOCK_BYTES = 4, 8 << 20
 #: One of so many documents is counted to find phrases too frequent for one task. Steers where rows meet, not what is found.
 PROBE = 16
 
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _WORDS = re.compile(WORD)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * _M[0]
-    h ^= h >> np.uint64(29)
-    h *= _M[1]
-    return h ^ (h >> np.uint64(32))
-
-
-def _word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of concatenated texts, and the number of the text that it is in. ``ends``: ends of texts."""
-    solid = ~_BLANK[raw]
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    inner = ends[(ends > 0) & (ends < len(raw))]
-    first[inner] = solid[inner]
-    last[inner - 1] = solid[inner - 1]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    length = stops - starts
-    h = length.astype(np.uint64) * _M[2]
-    # eight bytes at a time; words longer than that go on in ever smaller sets
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    todo = np.arange(len(starts))
-    at = starts
-    while len(todo):
-        left = stops[todo] - at
-        part = np.ascontiguousarray(eight[at]).view("<u8")[:, 0].astype(np.uint64)
-        short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
-        part = np.where(left >= 8, part, part & ((np.uint64(1) << (short & np.uint64(63))) - np.uint64(1)))
-        h[todo] = _mix(h[todo] + part * _M[3])
-        more = left > 8
-        todo, at = todo[more], at[more] + 8
-    return h, np.searchsorted(ends, starts, "right")
-
-
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` words, by doubling."""
-    of, size = {1: h}, 1
-    while 2 * size <= n:
-        of[2 * size] = _joined(of[size], size, of[size])
-        size *= 2
-    out, done = of[size], size
-    while done < n:
-        while size > n - done:
-            size //= 2
-        out = _joined(out, done, of[size])
-        done += size
-    return out
-
-
-def _joined(a: np.ndarray, words: int, b: np.ndarray) -> np.ndarray:
-    """Hash of runs from those of their first ``words`` words and of the rest."""
-    b = b[words:]
-    return _mix(a[:len(b)] * _M[2] + b)
-
-
 def _anchors(phrase: np.ndarray, per_run: int) -> np.ndarray:
     """Position of the smallest phrase (the first of equals) of each run of ``per_run`` phrases."""
     # minima over windows, by doubling; positions travel along
-    value, at, size = _mix(phrase ^ _M[1]), np.arange(len(phrase)), 1
+    value, at, size = mix(phrase ^ M[1]), np.arange(len(phrase)), 1
     while size < per_run:
         step = min(size, per_run - size)
         a, b = slice(0, len(value) - step), slice(step, None)
@@ -113,11 +54,11 @@ class _Block:
     def __init__(self, ids: np.ndarray, texts: list[bytes], span: int) -> None:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts])
-        h, text = _word_hashes(raw, ends)
-        self.phrase = _runs(h, PHRASE)
+        h, text, _, _ = word_hashes(raw, ends)
+        self.phrase = runs(h, PHRASE)
         n = max(0, len(h) - span + 1)
         self.ok = text[:n] == text[len(text) - n:]
-        self.run = _runs(h, span)[:n] if n else h[:0]
+        self.run = runs(h, span)[:n] if n else h[:0]
         self.anchor = _anchors(self.phrase, span - PHRASE + 1)[:n] if n else np.zeros(0, np.int64)
         self.text = text[:n]
         self.pos = np.arange(n) - np.searchsorted(text, self.text)
@@ -144,23 +85,23 @@ class _Block:
         at = np.flatnonzero(self.ok)
         key = self.phrase[self.anchor[at]]
         alone = np.isin(key, frequent)
-        key = np.where(alone, _mix(self.run[at] ^ _M[3]), key)
+        key = np.where(alone, mix(self.run[at] ^ M[3]), key)
         new = np.ones(len(at), bool)
         new[1:] = (self.anchor[at[1:]] != self.anchor[at[:-1]]) | (self.text[at[1:]] != self.text[at[:-1]]) | alone[1:]
         head = np.flatnonzero(new)
         bit = np.int64(1) << (at - np.repeat(at[head], np.diff(np.append(head, len(at)))))
         ask = ~known[at]
         total = lambda x: np.add.reduceat(x, head) if len(head) else x[:0]
-        runs = np.ascontiguousarray(self.run[at[ask]]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        asked = np.ascontiguousarray(self.run[at[ask]]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
         offsets = np.append(0, np.cumsum(6 * total(ask.astype(np.int64)))).astype(np.int32)
         first = at[head]
         want = total(np.where(ask, bit, 0))
         # rows that ask for nothing only pass through, so they are spread
-        key = np.where(want == 0, _mix(first.astype(np.uint64) ^ self.run[first]), key[head])
+        key = np.where(want == 0, mix(first.astype(np.uint64) ^ self.run[first]), key[head])
         return pa.RecordBatch.from_arrays(
             [pa.array(key.view(np.int64)), pa.array(self.id[self.text[first]]), pa.array(self.pos[first].astype(np.int32)),
              pa.array(want.astype(np.int32)), pa.array(total(np.where(ask, 0, bit)).astype(np.int32)),
-             pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(runs)])],
+             pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(asked)])],
             ["key", "id", "pos", "want", "known", "runs"])
 
 
@@ -185,7 +126,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, bit = np.nonzero(np.unpackbits(want.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
         part = np.zeros((len(row), 8), np.uint8)
         part[:, :6] = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, 6)
-        run = _mix(part.view("<u8")[:, 0].astype(np.uint64) * _M[2] + key.view(np.uint64)[row])
+        run = mix(part.view("<u8")[:, 0].astype(np.uint64) * M[2] + key.view(np.uint64)[row])
         order = np.argsort(run)
         same = run[order][1:] == run[order][:-1]
         shared = np.append(same, False)
@@ -232,9 +173,9 @@ def repeated_runs(docs: DataFrame, span: int = 20, text: str = "text", key: str
         for b in _blocks(batches, span):
             yield b.rows(frequent.value)
 
-    runs = rows.mapInArrow(asked, "key long, id long, pos int, want int, known int, runs binary")
-    runs = runs.repartition(parts, "key").sortWithinPartitions("key")
-    return runs.mapInArrow(_settle, "id long, pos int, starts int")
+    met = rows.mapInArrow(asked, "key long, id long, pos int, want int, known int, runs binary")
+    met = met.repartition(parts, "key").sortWithinPartitions("key")
+    return met.mapInArrow(_settle, "id long, pos int, starts int")
 
 
 def remove_repeats(docs: DataFrame, span: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
