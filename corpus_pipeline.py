@@ -10,23 +10,46 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import pii, word_bpe
+from custlens.llm import decontamination, language, pii, simhash, word_bpe
 from custlens.llm.common import table, written
 
+#: Least proportion of a document's main language.
+MIN_SCORE = 0.5
+#: Shingle length and differing bits of the SimHash operator's contract.
+SHINGLE_WORDS, MAX_BITS = 4, 4
 
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that makes up ``MIN_SCORE`` of them, go."""
+    return language.identified(docs, MIN_SCORE)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest doc_id stays."""
+    return simhash.one_of_each_group(docs, SHINGLE_WORDS, MAX_BITS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copied or edited passage of a test item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; ``n_chars`` follows."""
     return pii.redacted(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, digested, and the digest of their decoding."""
     return word_bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
-    ("personal data", redact_personal_data),
-    ("BPE encoding and decoding", encode),
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("PII", without_personal_data),
+    ("BPE encoding and decoding", encoded),
 ]
 
 #: No SQL has these methods; tests hold the rows against brute force.
@@ -34,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over all of documents; what each stage before it returns is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
