@@ -60,15 +60,24 @@ def by_bytes(texts: list[str], budget: int) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path, wherever the session was started."""
+    env = df.sparkSession.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+    return df.mapInArrow(fn, schema)
+
+
 def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function of one batch."""
+    """``map_batches`` of a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 class Forest:
@@ -117,7 +126,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    e = written(e.mapInArrow(_contract, "u long, v long"), "edges")
+    e = written(map_batches(e, _contract, "u long, v long"), "edges")
     state = None
     while True:
         both = e.union(e.select("v", "u")).toDF("n", "x")

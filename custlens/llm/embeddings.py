@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from custlens.llm.common import Forest, connected_components, in_arrow, shuffle_partitions, written
+from custlens.llm.common import Forest, connected_components, in_arrow, map_batches, shuffle_partitions, written
 
 #: Distinct vectors that the axes are fitted on, leading axes used, vectors in a block and in a leaf of the recursion.
 SAMPLE, AXES, BLOCK, LEAF = 4096, 6, 2048, 128
@@ -192,7 +192,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
         [("block", pa.int64()), ("label", to_arrow_type(classes.schema["label"].dataType)), ("d", pa.int32()), ("c0", pa.int64()),
          ("first", pa.int64()), ("last", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())),
          ("cids", pa.binary()), ("cnts", pa.binary()), ("vecs", pa.binary()), ("coords", pa.binary())])
-    cut = written(points.mapInArrow(
+    cut = written(map_batches(
+        points,
         blocks, f"block long, label {kind}, d int, c0 long, first long, last long, lo array<double>, hi array<double>, "
                 "cids binary, cnts binary, vecs binary, coords binary"), "blocks")
 

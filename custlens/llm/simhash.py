@@ -19,7 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custlens.llm.common import Forest, connected_components, in_arrow, shuffle_partitions, whole_groups, written
+from custlens.llm.common import (
+    Forest, connected_components, in_arrow, map_batches, shuffle_partitions, whole_groups, written,
+)
 
 _CHUNK = 1 << 16
 
@@ -117,7 +119,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, text: st
     each = written(fps.groupBy("fp").agg(F.min(key).alias("low")), "distinct-fingerprints")
     keyed = variants(each.select("fp"), max_bits).select(F.xxhash64("bit", "part").alias("variant"), "fp")
     keyed = keyed.repartition(shuffle_partitions(docs.sparkSession), "variant").sortWithinPartitions("variant")
-    links = keyed.mapInArrow(_links(max_bits), "a long, b long")
+    links = map_batches(keyed, _links(max_bits), "a long, b long")
     parts = connected_components(links)
     linked = each.join(parts, each["fp"] == parts["node"]).select("fp", "component", "low")
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custlens.llm.common import NULL_ID, WORD, in_arrow, shuffle_partitions, whole_groups, written
+from custlens.llm.common import NULL_ID, WORD, in_arrow, map_batches, shuffle_partitions, whole_groups, written
 from custlens.llm.words import M, mix, runs, word_hashes
 
 #: Words of a phrase, bytes of text in a reference block.
@@ -162,7 +162,7 @@ def repeated_runs(docs: DataFrame, span: int = 20, text: str = "text", key: str
             k, n = np.unique(b.phrase[np.unique(at)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    probe = rows.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).mapInArrow(phrases, "key long, n long")
+    probe = map_batches(rows.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0), phrases, "key long, n long")
     probe = written(probe.groupBy("key").agg(F.sum("n").alias("n")), "phrases")
     total = probe.agg(F.sum("n")).first()[0] or 0
     # at most 2 * parts phrases have so large a share
@@ -173,9 +173,9 @@ def repeated_runs(docs: DataFrame, span: int = 20, text: str = "text", key: str
         for b in _blocks(batches, span):
             yield b.rows(frequent.value)
 
-    met = rows.mapInArrow(asked, "key long, id long, pos int, want int, known int, runs binary")
+    met = map_batches(rows, asked, "key long, id long, pos int, want int, known int, runs binary")
     met = met.repartition(parts, "key").sortWithinPartitions("key")
-    return met.mapInArrow(_settle, "id long, pos int, starts int")
+    return map_batches(met, _settle, "id long, pos int, starts int")
 
 
 def remove_repeats(docs: DataFrame, span: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
