@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of every operator here: runs of anything but blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,7 +61,8 @@ def by_bytes(texts: list[str], budget: int) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package on the workers' path, wherever the session was started."""
     env = df.sparkSession.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -69,7 +71,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
+             schema: str | StructType) -> DataFrame:
     """``map_batches`` of a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +83,17 @@ def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
     return map_batches(df, run, schema)
 
 
+def packed(df: DataFrame, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """(row struct of all columns but ``drop``, t): whatever the columns are called, ``row.*`` gives them back."""
+    kept = [c for c in df.columns if c.lower() not in drop]
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(text).alias("t"))
+
+
+def with_row(rows: DataFrame, more: str) -> StructType:
+    """Schema of the struct column ``row`` of ``rows`` and the columns of the DDL ``more``."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
+
+
 class Forest:
     """Union-find over integers; ``join`` tells whether it linked two trees."""
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custlens.llm.common import in_arrow
+from custlens.llm.common import in_arrow, packed, with_row
 
 #: Documents of each language that the classifier is fitted on, about; all of them if there are fewer.
 SAMPLE = 4000
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     proportions the language first in order wins. Repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("t"))
+    rows = packed(docs, text)
 
     def run(b: pa.RecordBatch):
         found = [shared.value.infer(t) for t in b.column(1).to_pylist()]
@@ -142,8 +142,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
              pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))],
             ["row", "lang_pred", "score", "shares"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return in_arrow(rows, run, f"row {kind}, lang_pred string, score double, shares map<string,double>")
+    return in_arrow(rows, run, with_row(rows, "lang_pred string, score double, shares map<string,double>"))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custlens.llm.common import in_arrow
+from custlens.llm.common import in_arrow, packed, with_row
 
 #: Kinds in the order in which results list them; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -139,9 +139,7 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     and other columns stay, but any of the two new names are replaced. Texts are
     scanned whole, each expression in linear time.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("pii_spans", "pii_text")]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, pii_spans {SPANS}, pii_text string"
+    rows = packed(docs, text, ("pii_spans", "pii_text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(b: pa.RecordBatch):
@@ -152,7 +150,7 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(spans, kind), pa.array(clean, pa.string())], ["row", "pii_spans", "pii_text"])
 
-    return in_arrow(rows, run, schema).select("row.*", "pii_spans", "pii_text")
+    return in_arrow(rows, run, with_row(rows, f"pii_spans {SPANS}, pii_text string")).select("row.*", "pii_spans", "pii_text")
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,9 +168,11 @@ def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
 
     Rows without spans keep both as they were, a wrong or null length included.
     """
-    found = personal_data(docs, text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    found = personal_data(rows)
     new = {text: F.col("pii_text")}
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        new[length] = F.when(F.size("pii_spans") > 0, F.length("pii_text").cast(kind)).otherwise(F.col(length))
-    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+        old = F.col("row").getField(length)
+        new[length] = F.when(F.size("pii_spans") > 0, F.length("pii_text").cast(kind)).otherwise(old)
+    return found.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
