@@ -97,14 +97,15 @@ def _join(a: _Side, b: _Side, same: bool, cosine: float, eps: float):
 def _leaf(a, b, same, cosine, i, k, base, links, root, forest) -> None:
     if same and i > k:
         return
-    x, y = slice(i * LEAF, (i + 1) * LEAF), slice(k * LEAF, (k + 1) * LEAF)
+    x = slice(i * LEAF, min((i + 1) * LEAF, len(a.cid)))
+    y = slice(k * LEAF, min((k + 1) * LEAF, len(b.cid)))
     near = a.u[x] @ b.u[y].T >= cosine
     if same and i == k:
         near = np.triu(near, 1)
     if not near.any():
         return
     links[x] += near @ b.cnt[y]
-    at = slice(base + y.start, base + min(y.stop, len(b.cid)))
+    at = slice(base + y.start, base + y.stop)
     links[at] += a.cnt[x] @ near
     left, right = np.arange(len(links))[x], np.arange(len(links))[at]
     while True:  # each round joins some parts; linked pairs within one part are never walked through
