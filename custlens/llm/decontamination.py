@@ -29,12 +29,12 @@ MAP_BITS = 27
 MIN_SIMILARITY = 0.6
 MATCH, MISMATCH, GAP = 1, -1, -1
 
-_PARTING = "“”„‘’‚«»‹›–—…¿¡·•　 "
+#: Common marks outside ASCII; they part words too.
+_PARTING = [c.encode() for c in "“”„‘’‚«»‹›–—…¿¡·•　 "]
 
 
 def _plain(text: str) -> Column:
-    """Lower-cased UTF-8 in which every common mark outside ASCII is a blank."""
-    return F.encode(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), _PARTING, " " * len(_PARTING)), "UTF-8")
+    return F.encode(F.lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8")
 
 
 class _Texts:
@@ -42,6 +42,8 @@ class _Texts:
 
     def __init__(self, texts: list[bytes]) -> None:
         self.raw = b"".join(texts)
+        for mark in _PARTING:
+            self.raw = self.raw.replace(mark, b" " * len(mark))
         raw = np.frombuffer(self.raw, np.uint8)
         self.h, self.text, self.start, self.stop = word_hashes(raw, np.cumsum([len(t) for t in texts]), MARKS)
         n = max(0, len(self.h) - SEED + 1)
