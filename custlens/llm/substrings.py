@@ -28,7 +28,7 @@ from custlens.llm.common import NULL_ID, WORD, in_arrow, map_batches, shuffle_pa
 from custlens.llm.words import M, mix, runs, word_hashes
 
 #: Words of a phrase, bytes of text in a reference block.
-PHRASE, BLOCK_BYTES = 4, 8 << 20
+PHRASE, BLOCK_BYTES = 4, 4 << 20
 #: One of so many documents is counted to find phrases too frequent for one task. Steers where rows meet, not what is found.
 PROBE = 16
 
