@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Words of every operator here: runs of anything but blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in a batch that Spark hands to Python.
+BATCH_ROWS = 1000
 #: Internal id of a null doc_id; results give null back.
 NULL_ID = -(2**63)
 
@@ -63,8 +65,14 @@ def by_bytes(texts: list[str], budget: int) -> Iterator[slice]:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package on the workers' path, wherever the session was started."""
-    env = df.sparkSession.sparkContext.environment
+    """``mapInArrow`` with this package on the workers' path, wherever the session was started.
+
+    Rows hold whole texts, so batches are kept to ``BATCH_ROWS`` unless the session sets a smaller number.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
