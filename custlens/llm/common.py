@@ -152,7 +152,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select("v", "u")).toDF("n", "x")
-        low = both.groupBy("n").agg(F.least("n", F.min("x")).alias("m"))
+        # written, so that both sides of the join are plain exchanges and a node with very many links can be split
+        low = written(both.groupBy("n").agg(F.least("n", F.min("x")).alias("m")), "lowest")
         large = both.join(low, "n").where("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(

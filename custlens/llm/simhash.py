@@ -70,7 +70,7 @@ def variants(fps: DataFrame, max_bits: int) -> DataFrame:
 
 def _links(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
+        for t in whole_groups(batches, least=200_000):
             key = t.column(0).to_numpy()
             one = np.concatenate([[False], key[1:] == key[:-1]])
             one |= np.append(one[1:], False)  # in a group of two or more
