@@ -27,24 +27,41 @@ from .operators import queries as Q
 from .operators import reports as Rp
 from .operators import segments as Sg
 from .operators.summaries import eng_by_customer, tx_by_customer
-from .plans.materialize import checkpoint
+from .plans.materialize import forget, keep
 from .sources.schemas import EXPORT_COLUMNS
 
 
 class CustomerAnalytics:
     def __init__(self, customers: DataFrame, transactions: DataFrame, engagement: DataFrame,
-                 as_of: datetime, materialize: bool = True):
+                 as_of: datetime, materialize: bool = True, exact_distinct: bool = False):
+        """``exact_distinct`` counts distinct transaction ids instead of relying on the primary key."""
         self.C, self.T, self.E, self.as_of = customers, transactions, engagement, as_of
-        self._materialize = materialize
+        self._materialize, self._exact = materialize, exact_distinct
+        self._paths: list[str] = []
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return checkpoint(df, name) if self._materialize else df
+        if not self._materialize:
+            return df
+        kept, path = keep(df, name)
+        self._paths.append(path)
+        return kept
+
+    def close(self) -> None:
+        """Delete the tables kept so far; frames made from them can no longer be read."""
+        while self._paths:
+            forget(self.C.sparkSession, self._paths.pop())
+
+    def __enter__(self) -> "CustomerAnalytics":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     # ------------------------------------------------------------ shared state
     @cached_property
     def tx(self) -> DataFrame:
         """Per-customer transaction summary (checkpointed once)."""
-        return self._keep(tx_by_customer(self.T), "tx-summary")
+        return self._keep(tx_by_customer(self.T, self._exact), "tx-summary")
 
     @cached_property
     def eng(self) -> DataFrame:
@@ -62,7 +79,7 @@ class CustomerAnalytics:
     @cached_property
     def profile(self) -> DataFrame:
         """The full profile, built from the pre-joined summaries and checkpointed."""
-        return self._keep(Pr.build_profile(self.wide, self.T, self.E, self.as_of, materialize=False), "profile")
+        return self._keep(Pr.build_profile(self.wide, self.T, self.E, self.as_of), "profile")
 
     @cached_property
     def export(self) -> DataFrame:
@@ -89,7 +106,7 @@ class CustomerAnalytics:
     def top_customers(self, k: int = 20): return Q.top_customers(self.wide, self.T, k, tx=self.tx)
     def top_products(self): return Q.top_products(self.T)
     def value_comparison(self): return Q.value_comparison(self.wide, self.T, tx=self.tx)
-    def recently_active(self, days: int = 30): return Q.recently_active(self.C, self.T, self.as_of, days)
+    def recently_active(self, days: int = 30): return Q.recently_active(self.C, self.T, self.as_of, days, self._exact)
     def business_kpis(self, days: int = 30): return Q.business_kpis(self.wide, self.T, self.as_of, days, tx=self.tx)
     def customer_growth(self): return Q.customer_growth(self.C)
     def purchase_frequency_by_category(self): return Q.purchase_frequency_by_category(self.T)

@@ -89,38 +89,22 @@ def clip(col, lo: float, hi: float) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
-# Money is aggregated in DECIMAL: exact and independent of summation order,
-# so results are reproducible across partitionings and cent roundings of
-# means are exact.  Values convert back to double once, at the output.
-EXACT_MONEY = "decimal(38,10)"
+def money_round(col, scale: int = 2, half_even: bool = False) -> Column:
+    """A float sum or mean of money, rounded: half away from zero, or half to even.
 
+    Sums are plain double sums, whose last bits depend on the order of summation; a
+    mean of cents that is exactly a tie must not round by them.  The value
+    is rounded by way of 8 decimals, which is wider than that noise and far narrower than the
+    distance of other means of cents to a tie.  Beyond 1e15 a double has no cents."""
+    c = _c(col).cast("double")
+    d = c.cast("decimal(38,8)")
+    rounded = (F.bround(d, scale) if half_even else F.round(d, scale)).cast("double")
+    return F.when(F.abs(c) < 1e15, rounded).otherwise(c)
 
-def money(col) -> Column:
-    """A money value as an exact decimal (the double's shortest decimal form)."""
-    return _c(col).cast(EXACT_MONEY)
 
-
-def money_sum(col) -> Column:
-    """Exact SUM of a money column (decimal); null when no non-null value."""
-    return F.sum(money(col))
-
-
-def money_mean(exact_sum, count) -> Column:
-    """Exact mean (decimal) from an exact sum and a count; null when count is 0."""
-    return _c(exact_sum) / F.nullif(_c(count), F.lit(0)).cast("decimal(20,0)")
-
-
-def as_double(col) -> Column:
-    return _c(col).cast("double")
-
-
-def exact_mean_rounded(exact_sum, count, scale: int = 2) -> Column:
-    """ROUND(sum / count, scale) evaluated in decimal (half away from zero),
-    returned as double; null when count is 0.  ``exact_sum`` is a DECIMAL
-    sum, so a mean that is exactly a tie (e.g. x.xx5) rounds up as exact
-    arithmetic says, whatever the float summation order."""
-    q = _c(exact_sum) / F.nullif(_c(count), F.lit(0)).cast("decimal(20,0)")
-    return F.round(q, scale).cast("double")
+def month_start(col) -> Column:
+    """First day of the month: a date to group by, formatted afterwards."""
+    return F.trunc(_c(col), "month")
 
 
 def month(col) -> Column:
@@ -146,6 +130,14 @@ def first_match(cases: list[tuple[Column, str]], default: str | None) -> Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
+def with_scalar(df, row_df, name: str):
+    """``df`` with the one row of ``row_df`` as the struct column ``name``.
+
+    The scalar subquery stands in the plan once, however often its fields are used; expressions
+    that each name a subquery multiply the plan when they are nested."""
+    return df.withColumn(name, row_df.select(F.struct("*").alias("s")).scalar())
+
+
 def scalar_fields(row_df, cols: list[str]) -> dict[str, Column]:
     """Columns of a one-row frame as scalar values for use in other plans.
 

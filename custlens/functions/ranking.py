@@ -1,289 +1,201 @@
-"""Distributed ranking, running sums and exact percentiles.
-
-A global ``Window.orderBy`` moves every row into one task.  Instead the
-total order ``(group, value [desc], id)`` is cut into contiguous,
-bounded *buckets*:
-
-1. Per group, ``percentile_approx`` gives K-1 value edges (a bounded
-   sketch; partial aggregation, no raw rows move).
-2. Rows strictly between two edges form a *range bucket*; by the sketch
-   guarantee it holds about n/K rows.  Rows equal to an edge form a
-   *point bucket*, which may be huge (one value can hold a third of all
-   rows), but its rows are tied on the value, so their order is by id
-   alone: a second sketch over the ids of each point value splits it into
-   bounded id ranges.  Null values are split by id the same way.
-3. ``major`` (position of the value bucket in the order) and ``minor``
-   (id sub-range) are plain column expressions over the broadcast edges.
-   Per-bucket counts and sums (at most ~K² rows) give exact offsets via
-   a window over that small table.
-4. ``Window.partitionBy(group, major, minor)`` finishes the rank and the
-   running sum inside each bucket; offsets are added.
-
-The result is exactly the global ``row_number`` / running sum (sums up to
-float summation order).  When the largest group fits in one bucket
-(``rows_per_bucket``), the plain per-group window is used directly.
-
-Callers should pass a materialised input (checkpointed or written),
-because the input is scanned once per pass.
+"""Order statistics, ranks and running sums without a global sort.
+
+One algorithm at every size.  Values fall into at most ``BUCKETS`` buckets of
+equal width on a logarithmic scale between the smallest and the largest value; the
+bucket is a monotone expression of the value and two scalars, so it is the
+same wherever it is evaluated.  Rows are first collapsed to (value, count),
+which removes ties; the counts per bucket, a table of at most
+``BUCKETS`` rows a group, are summed up in order, and only inside a bucket are values sorted.
+
+* ``select_ranks``: the value at given ranks.  Only buckets that hold a wanted rank are sorted.
+* ``ordered_rank``: every row's rank and running sum.  Rows that share a value
+  are ordered by id; they are split by ranges of the id (which must be
+  numeric for that), so a value held by a third of all rows is no single task.
+
+Nothing runs before the frame is used, and the plan does not grow with the data.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exprs import scalar_fields
+from .exprs import with_scalar
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1000
-_NULL_MAJOR_PAD = 10
+BUCKETS = 1 << 16
+ID_RANGES = 1 << 10
 
 
-def _group_cols(group_cols) -> list[str]:
+def _groups(group_cols) -> list[str]:
     if group_cols is None:
         return []
-    if isinstance(group_cols, str):
-        return [group_cols]
-    return list(group_cols)
+    return [group_cols] if isinstance(group_cols, str) else list(group_cols)
 
 
-def _attach(df: DataFrame, small: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
-    """Bring the per-group columns of ``small`` to every row of ``df``.
+def _spread(x: Column) -> Column:
+    x = x.cast("double")
+    return F.signum(x) * F.log1p(F.abs(x))
 
-    Without groups ``small`` has exactly one row; its columns become scalar
-    subqueries (evaluated once, inlined), so no join is planned.  With
-    groups it is an equi-join on the group key; AQE broadcasts ``small``
-    when its materialised size is below the threshold, else sort-merges.
-    """
-    if not group:
-        vals = scalar_fields(small, cols)
-        return df.select("*", *[vals[c].alias(c) for c in cols])
-    return df.join(small.select(*group, *cols), group, "left")
 
+def _bucket(x: Column, low: Column, high: Column, n: int) -> Column:
+    """Monotone bucket of ``x`` among ``n`` between ``low`` and ``high``; 0 if they are equal."""
+    width = F.nullif(_spread(high) - _spread(low), F.lit(0.0))
+    return F.coalesce(F.floor((_spread(x) - _spread(low)) / width * (n - 1)), F.lit(0)).cast("long")
 
-def num_buckets(df: DataFrame, group: list[str], rows_per_bucket: int) -> int:
-    """Buckets per group so that the largest group is cut into pieces of
-    about ``rows_per_bucket`` rows (one small aggregate, read on the driver)."""
-    if group:
-        biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    else:
-        biggest = df.count()
-    return max(1, min(MAX_BUCKETS, math.ceil(biggest / max(1, rows_per_bucket))))
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        one = left[k].eqNullSafe(right[k])
+        on = one if i == 0 else on & one
+    return on
+
+
+def select_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
+                 group_cols: Sequence[str] | str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (group..., n, name, rank, value, before): the value at ascending 1-based ranks, nulls ignored.
+
+    ``ranks`` maps a name to a function of the group's row count ``n``; it may
+    also use the columns ``carry``, which are constant in a group.  ``before`` counts the rows with a
+    smaller value.  A rank outside 1..n gives no row.
+    """
+    group = _groups(group_cols)
+    rows = df.where(F.col(value).isNotNull())
+    rows = with_scalar(rows, rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "__lim")
+    rows = rows.withColumn("__b", _bucket(F.col(value), F.col("__lim.lo"), F.col("__lim.hi"), BUCKETS))
+    each = rows.groupBy(*group, value, "__b").agg(F.count(F.lit(1)).alias("__c"), *(F.first(c).alias(c) for c in carry))
+    hist = each.groupBy(*group, "__b").agg(F.sum("__c").alias("__c"), *(F.first(c).alias(c) for c in carry))
+    whole = Window.partitionBy(*group)
+    prior = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*group, "__b", "__c", *carry, F.sum("__c").over(whole).alias("n"),
+                       F.coalesce(F.sum("__c").over(prior), F.lit(0)).alias("__off"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), r(F.col("n")).cast("long").alias("rank"))
+                       for name, r in ranks.items()))
+    hist = hist.select(*group, "__b", "n", "__off", "__c", F.explode(wanted).alias("__w"))
+    hist = hist.select(*group, "__b", "n", "__off", "__c", "__w.name", "__w.rank")
+    hist = hist.where((F.col("rank") > F.col("__off")) & (F.col("rank") <= F.col("__off") + F.col("__c"))).drop("__c")
+    near = each.drop(*carry).alias("e")
+    if not group:
+        hist = F.broadcast(hist)  # one row per wanted rank
+    hist = hist.alias("h")
+    near = near.join(hist, _same(near, hist, [*group, "__b"])).select(
+        *(F.col(f"e.{g}").alias(g) for g in group), "e.__b", "n", "__off", "name", "rank", F.col(f"e.{value}").alias(value), "__c")
+    upto = Window.partitionBy(*group, "__b", "name").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("__hi", F.col("__off") + F.sum("__c").over(upto))
+    near = near.where((F.col("rank") <= F.col("__hi")) & (F.col("rank") > F.col("__hi") - F.col("__c")))
+    return near.select(*group, "n", "name", "rank", F.col(value).alias("value"), (F.col("__hi") - F.col("__c")).alias("before"))
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]],
+                    group_cols: Sequence[str] | str | None = None) -> DataFrame:
+    """``select_ranks`` with one row per group: the group, ``__n`` and one column per name."""
+    group = _groups(group_cols)
+    found = select_ranks(df, value, ranks, group)
+    return found.groupBy(*group).agg(
+        F.max("n").alias("__n"), *(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks))
+
+
+def pairs_at_ranks(df: DataFrame, value: str, id_col: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows (name, value, id): the row at each rank of the order by value, then id."""
+    found = select_ranks(df, value, ranks).select(
+        F.col("name").alias("__name"), F.col("value").alias("__value"), (F.col("rank") - F.col("before")).alias("__rest"))
+    tied = df.join(F.broadcast(found), df[value] == found["__value"])  # one row per wanted rank
+    ids = select_ranks(tied.select("__name", "__value", "__rest", id_col), id_col, {"id": lambda n: F.col("__rest")},
+                       ["__name", "__value"], ["__rest"])
+    return ids.select(F.col("__name").alias("name"), F.col("__value").alias("value"), F.col("value").alias("id"))
 
 
 def ordered_rank(df: DataFrame, value: str, id_col: str, descending: bool = False,
                  group_cols: Sequence[str] | str | None = None, running_sum: str | None = None,
-                 rank_col: str = "row_number", sum_col: str = "running_sum",
-                 rows_per_bucket: int = ROWS_PER_BUCKET, buckets: int | None = None) -> DataFrame:
-    """Add ``rank_col`` (1-based position in the order ``value`` [desc], then
-    ``id_col`` ascending, nulls last, within ``group_cols``) and, if
-    ``running_sum`` is given, ``sum_col`` = running sum of that column in
-    the same order.  ``id_col`` must be unique within a group.  The rank is
-    a bigint on every path, so the schema does not depend on the data size."""
-    group = _group_cols(group_cols)
-    v, i = F.col(value), F.col(id_col)
-    v_order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    k = buckets or num_buckets(df, group, rows_per_bucket)
-
-    if k <= 1:
-        w = Window.partitionBy(*group).orderBy(v_order, i.asc())
-        out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
-        if running_sum:
-            out = out.withColumn(sum_col, F.sum(running_sum).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        return out
-
-    fractions = [j / k for j in range(1, k)]
-    accuracy = max(10000, 20 * k)
-
-    # 1. value edges and id edges of the null rows, one pass.
-    edges = df.groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(value, fractions, accuracy))).alias("__edges"),
-        F.array_sort(F.array_distinct(F.percentile_approx(F.when(v.isNull(), i), fractions, accuracy)))
-        .alias("__null_ids"))
-    with_edges = _attach(df, edges, group, ["__edges", "__null_ids"])
-    is_edge = F.coalesce(F.array_contains("__edges", v), F.lit(False))
-
-    # 2. id edges inside each point bucket (rows equal to an edge value).
-    points = (with_edges.where(is_edge).groupBy(*group, value)
-              .agg(F.array_sort(F.array_distinct(F.percentile_approx(id_col, fractions, accuracy)))
-                   .alias("__ids")))
-    keyed = points.select(*group, F.col(value).alias("__pv"), "__ids")
+                 rank_col: str = "row_number", sum_col: str = "running_sum") -> DataFrame:
+    """Add ``rank_col`` (1-based position in the order ``value`` [desc], then ``id_col`` ascending, nulls last, within
+    ``group_cols``) and, if ``running_sum`` is given, ``sum_col`` = running sum of that column in the same order
+    (null while no value has been seen).  ``id_col`` must be unique within a group."""
+    group = _groups(group_cols)
+    v = F.col(value)
+    numeric = dict(df.dtypes)[id_col] != "string"
+    bounds = [F.min(value).alias("vl"), F.max(value).alias("vh")]
+    bounds += [F.min(id_col).alias("il"), F.max(id_col).alias("ih")] if numeric else []
+    lim = {c: F.col(f"__lim.{c}") for c in ("vl", "vh", "il", "ih")}
+    bucket = _bucket(v, lim["vl"], lim["vh"], BUCKETS)
+    rows = with_scalar(df, df.agg(*bounds), "__lim").withColumn("__b", F.when(v.isNull(), F.lit(BUCKETS)).otherwise(-bucket if descending else bucket))
+    span = F.nullif((lim["ih"] - lim["il"]).cast("double"), F.lit(0.0)) if numeric else None
+    ids = F.coalesce(F.floor((F.col(id_col) - lim["il"]) / span * (ID_RANGES - 1)), F.lit(0)) if numeric else F.lit(0)
+    rows = rows.withColumn("__t", ids.cast("long"))
+    total = [F.sum(running_sum).alias("__s")] if running_sum else []
+    each = rows.groupBy(*group, "__b", value, "__t").agg(F.count(F.lit(1)).alias("__c"), *total)
+    hist = each.groupBy(*group, "__b").agg(F.sum("__c").alias("__c"), *([F.sum("__s").alias("__s")] if running_sum else []))
+    prior = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*(F.col(c).alias(f"__h_{c}") for c in [*group, "__b"]),
+                       F.coalesce(F.sum("__c").over(prior), F.lit(0)).alias("__hn"),
+                       *([F.sum("__s").over(prior).alias("__hs")] if running_sum else []))
     if not group:
-        # at most K-1 point values, each with at most K-1 id edges: a proven
-        # bound, so the table is broadcast once per executor.
-        keyed = F.broadcast(keyed)
-    with_points = (with_edges.withColumn("__pv", v)
-                   .join(keyed, [*group, "__pv"], "left").drop("__pv"))
-
-    # 3. bucket coordinates.
-    cmp = (lambda e: e > v) if descending else (lambda e: e < v)
-    before = F.size(F.filter("__edges", cmp))
-    major = (F.when(v.isNull(), F.size("__edges") * 2 + _NULL_MAJOR_PAD)
-             .otherwise(before * 2 + F.when(is_edge, 1).otherwise(0)))
-    minor = (F.when(v.isNull(), F.size(F.filter("__null_ids", lambda e: e < i)))
-             .when(is_edge, F.size(F.filter(F.coalesce("__ids", F.array()), lambda e: e < i)))
-             .otherwise(F.lit(0)))
-    rows = with_points.withColumn("__major", major).withColumn("__minor", minor) \
-        .drop("__edges", "__null_ids", "__ids")
-
-    # 4. exact offsets from the per-bucket totals (bounded: ~K^2 rows per group).
-    aggs = [F.count(F.lit(1)).alias("__bn")]
-    if running_sum:
-        aggs.append(F.sum(running_sum).alias("__bs"))
-    bstats = rows.groupBy(*group, "__major", "__minor").agg(*aggs)
-    prior = (Window.partitionBy(*group).orderBy("__major", "__minor")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offs = [F.coalesce(F.sum("__bn").over(prior), F.lit(0)).alias("__off_n")]
+        hist = F.broadcast(hist)  # at most BUCKETS + 1 rows
+    on = F.lit(True)
+    for i, c in enumerate([*group, "__b"]):
+        one = F.col(c).eqNullSafe(F.col(f"__h_{c}"))
+        on = one if i == 0 else on & one
+    each = each.join(hist, on)
+    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    inside = Window.partitionBy(*group, "__b").orderBy(order, "__t").rowsBetween(Window.unboundedPreceding, -1)
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+    each = each.select(*(F.col(c).alias(f"__k_{c}") for c in [*group, value, "__t"]),
+                       plus(F.col("__hn"), F.sum("__c").over(inside)).alias("__n"),
+                       *([plus(F.col("__hs"), F.sum("__s").over(inside)).alias("__p")] if running_sum else []))
+    on = F.col(value).eqNullSafe(F.col(f"__k_{value}")) & (F.col("__t") == F.col("__k___t"))
+    for c in group:
+        on &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    rows = rows.join(each, on)
+    tied = Window.partitionBy(*group, value, "__t").orderBy(id_col)
+    out = [*(F.col(f"`{c}`") for c in df.columns), (F.col("__n") + F.row_number().over(tied)).cast("long").alias(rank_col)]
     if running_sum:
-        offs.append(F.sum("__bs").over(prior).alias("__off_s"))  # null: nothing non-null before
-    offsets = bstats.select(*group, "__major", "__minor", *offs)
-    if not group:
-        # at most (2K+1) + K*(K-1) + K rows: a proven bound, safe to broadcast.
-        offsets = F.broadcast(offsets)
-    ranked = rows.join(offsets, [*group, "__major", "__minor"], "inner")
+        mine = F.sum(running_sum).over(tied.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out.append(plus(F.col("__p"), mine).alias(sum_col))
+    return rows.select(*out)
 
-    w = Window.partitionBy(*group, "__major", "__minor").orderBy(v_order, i.asc())
-    out = ranked.withColumn(rank_col, (F.row_number().over(w) + F.col("__off_n")).cast("long"))
-    if running_sum:
-        local = F.sum(running_sum).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        off = F.col("__off_s")
-        # null only while no non-null value has been seen, like the global window
-        out = out.withColumn(sum_col, F.when(local.isNull() & off.isNull(), F.lit(None))
-                             .otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0))))
-    return out.drop("__major", "__minor", "__off_n", "__off_s")
-
-
-def values_at_ranks(df: DataFrame, value: str, id_col: str, ranks: dict[str, Callable[[Column], Column]],
-                    group_cols: Sequence[str] | str | None = None,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The value at given ascending 1-based ranks, per group (nulls ignored).
-
-    ``ranks`` maps an output name to a function of the group's row count
-    ``n`` (a Column) giving the rank.  Returns the group columns, ``__n``
-    and one column per name.
-
-    A selection, not a sort: value-edge sketches cut each group into
-    buckets, per-bucket counts locate the bucket holding every wanted rank,
-    and only those buckets are sorted (a bucket made of one tied value needs
-    no sort: its value is the edge).  Small groups (one bucket) use a plain
-    per-group window.
-    """
-    group = _group_cols(group_cols)
-    v = F.col(value)
-    base = df.where(v.isNotNull()).select(*group, id_col, value)
-    counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    k = num_buckets(base, group, rows_per_bucket)
-
-    if k <= 1:
-        ranked = ordered_rank(base, value, id_col, group_cols=group, rank_col="__r", buckets=1)
-        ranked = _attach(ranked, counts, group, ["__n"])
-        return ranked.groupBy(*group).agg(
-            F.first("__n").alias("__n"),
-            *[F.max(F.when(F.col("__r") == rank(n), v)).alias(name) for name, rank in ranks.items()])
-
-    fractions = [j / k for j in range(1, k)]
-    accuracy = max(10000, 20 * k)
-    edges = base.groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(value, fractions, accuracy))).alias("__edges"))
-    rows = _attach(base, edges, group, ["__edges"])
-    is_edge = F.array_contains("__edges", v)
-    rows = rows.withColumn("__major", F.size(F.filter("__edges", lambda e: e < v)) * 2
-                           + F.when(is_edge, 1).otherwise(0)).drop("__edges")
-    # per-bucket counts and exclusive offsets (at most 2K+1 rows per group)
-    bstats = rows.groupBy(*group, "__major").agg(F.count(F.lit(1)).alias("__bn"),
-                                                F.min(value).alias("__bmin"), F.max(value).alias("__bmax"))
-    prior = Window.partitionBy(*group).orderBy("__major").rowsBetween(Window.unboundedPreceding, -1)
-    bstats = bstats.withColumn("__off", F.coalesce(F.sum("__bn").over(prior), F.lit(0)))
-    bstats = _attach(bstats, counts, group, ["__n"])
-    off, bn = F.col("__off"), F.col("__bn")
-    bstats = bstats.select("*", *[e for name, rank in ranks.items() for e in (
-        ((off < rank(n)) & (rank(n) <= off + bn)).alias(f"__in_{name}"),
-        F.when((off < rank(n)) & (rank(n) <= off + bn), rank(n) - off).alias(f"__lr_{name}"))])
-    any_hit = None
-    for name in ranks:
-        any_hit = F.col(f"__in_{name}") if any_hit is None else (any_hit | F.col(f"__in_{name}"))
-    single = F.col("__bmin") == F.col("__bmax")
-    # values read straight from single-value buckets
-    point_vals = bstats.where(single & any_hit).groupBy(*group).agg(
-        *[F.max(F.when(F.col(f"__in_{name}"), F.col("__bmin"))).alias(f"__pv_{name}") for name in ranks])
-    # buckets of several values holding a wanted rank: only their rows are sorted
-    need = bstats.where(~single & any_hit).select(*group, "__major", *[f"__lr_{name}" for name in ranks])
-    if not group:
-        need = F.broadcast(need)  # at most one bucket per wanted rank
-    sel = rows.join(need, [*group, "__major"], "inner")
-    sel = sel.withColumn("__lr", F.row_number().over(Window.partitionBy(*group, "__major").orderBy(v)))
-    range_vals = sel.groupBy(*group).agg(
-        *[F.max(F.when(F.col("__lr") == F.col(f"__lr_{name}"), v)).alias(f"__sv_{name}") for name in ranks])
-    out = counts
-    for part in (point_vals, range_vals):
-        if group:
-            out = out.join(part, group, "left")
-        else:
-            vals = scalar_fields(part, list(part.columns))
-            out = out.select("*", *[c.alias(name) for name, c in vals.items()])
-    return out.select(*group, "__n", *[F.coalesce(f"__pv_{name}", f"__sv_{name}").alias(name) for name in ranks])
-
-
-def exact_percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
-                      group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET, decimal: bool = False) -> DataFrame:
-    """Exact percentiles with linear interpolation between ranks (NumPy's
-    default rule, DuckDB ``quantile_cont``), one row per group; nulls ignored.
-
-    The two ranks around each position come from ``values_at_ranks`` (a
-    selection; no full sort).  ``decimal=True`` interpolates in
-    DECIMAL(38,10) and returns decimals, for results that are rounded
-    afterwards (a median of two cent amounts is an exact x.xx5 tie; float
-    interpolation may land an ulp on either side of it).
-    """
-    group = _group_cols(group_cols)
+
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
+                      group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation between ranks (NumPy's default rule, DuckDB ``quantile_cont``),
+    one row per group; nulls ignored."""
+    group = _groups(group_cols)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
 
-    def pos(p):
-        return lambda n: (n - 1) * F.lit(float(p))
+    def at(p: float, side) -> Callable[[Column], Column]:
+        return lambda n: side((n - 1) * F.lit(float(p))) + 1
 
     ranks = {}
-    for p, name in zip(probs, names):
-        ranks[f"__lo_{name}"] = (lambda q: lambda n: F.floor(pos(q)(n)) + 1)(p)
-        ranks[f"__hi_{name}"] = (lambda q: lambda n: F.ceil(pos(q)(n)) + 1)(p)
-    picked = values_at_ranks(df, value, id_col, ranks, group, rows_per_bucket)
+    for i, p in enumerate(probs):
+        ranks[f"__lo_{i}"], ranks[f"__hi_{i}"] = at(p, F.floor), at(p, F.ceil)
+    picked = values_at_ranks(df, value, ranks, group)
     outs = []
-    for p, name in zip(probs, names):
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        t = pos(p)(F.col("__n")) - F.floor(pos(p)(F.col("__n")))
-        if decimal:
-            lo, hi, t = (c.cast("decimal(38,10)") for c in (lo, hi, t))
-            outs.append((lo + (hi - lo) * t).cast("decimal(38,10)").alias(name))
-        else:
-            outs.append((lo + (hi - lo) * t).cast("double").alias(name))
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"__lo_{i}"), F.col(f"__hi_{i}")
+        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).cast("double").alias(name))
     return picked.select(*group, *outs)
 
 
-def percentiles(df: DataFrame, value: str, id_col: str, probs: Sequence[float],
-                group_cols: Sequence[str] | str | None = None, names: Sequence[str] | None = None,
-                approx: bool = False, accuracy: int = 10000,
-                rows_per_bucket: int = ROWS_PER_BUCKET, decimal: bool = False) -> DataFrame:
-    """Exact percentiles (default) or, with ``approx=True``, ``percentile_approx``
-    (one pass with mergeable sketches; rank error about n/accuracy)."""
-    group = _group_cols(group_cols)
+def percentiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] | str | None = None,
+                names: Sequence[str] | None = None, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Exact percentiles (default) or, with ``approx=True``, ``percentile_approx`` (one pass with mergeable
+    sketches; rank error about n/accuracy)."""
+    group = _groups(group_cols)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     if not approx:
-        return exact_percentiles(df, value, id_col, probs, group, names, rows_per_bucket, decimal)
-    arr = F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy)
-    agg = df.groupBy(*group).agg(arr.alias("__q"))
+        return exact_percentiles(df, value, probs, group, names)
+    agg = df.groupBy(*group).agg(F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("__q"))
     return agg.select(*group, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def quantile_bin(x: Column, interior_edges: Sequence[Column]) -> Column:
-    """Right-closed bin of ``x`` given the interior quantile edges (the
-    quantiles at 1/b .. (b-1)/b): 1 + number of edges below ``x``.  Repeated
-    edges merge bins and keep the lowest label; null -> null.  Written as a
-    sum of comparisons so the edges may be scalar subqueries."""
+    """Right-closed bin of ``x`` given the interior quantile edges (the quantiles at 1/b .. (b-1)/b): 1 + number of
+    edges below ``x``.  Repeated edges merge bins and keep the lowest label; null -> null."""
     count = F.lit(0)
     for e in interior_edges:
         count = count + F.when(e < x, 1).otherwise(0)

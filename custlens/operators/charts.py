@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div, scalar_fields
-from ..functions.ranking import ROWS_PER_BUCKET, percentiles
+from ..functions.ranking import percentiles
+from ..plans.checks import bounded
 from .segments import value_counts
 
 _CID = "customer_id"
+#: Segments of a box plot at most: their quartiles are broadcast.
+MAX_SEGMENTS = 100_000
 
 
 def customers_by_segment(P: DataFrame) -> DataFrame:
@@ -44,9 +47,9 @@ def spend_frequency_points(P: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width histogram with empty bins filled: (bin, bin_start, bin_end, count).
 
-    Bin edges come from a one-row min/max aggregate (scalar subqueries);
-    the bin index is ``floor((x-lo)*bins/(hi-lo))`` capped at bins-1, exact
-    for integer inputs.  The bin grid is generated from that one row.
+    Bin edges ``lo + i * (hi - lo) / bins`` come from a one-row min/max
+    aggregate (scalar subqueries); a value belongs to the bin between whose edges it lies.
+    The bin grid is generated from that one row.
     """
     x = F.col(col).cast("double")
     data = df.where(F.col(col).isNotNull()).select(x.alias("x"))
@@ -55,11 +58,14 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi")), ["lo", "hi"])
     lo_s, hi_s = lim["lo"], lim["hi"]
-    idx = F.least(F.floor((F.col("x") - lo_s) * bins / (hi_s - lo_s)), F.lit(bins - 1)).cast("int")
+    width = (hi_s - lo_s) / bins
+    idx = F.least(F.floor((F.col("x") - lo_s) / width), F.lit(bins - 1)).cast("int")
+    # the edges decide, not the division's last bit
+    idx = (F.when(F.col("x") < lo_s + idx * width, idx - 1)
+           .when((idx < bins - 1) & (F.col("x") >= lo_s + (idx + 1) * width), idx + 1).otherwise(idx))
     counts = data.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = (bounds.where(F.col("mn").isNotNull())
             .select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
-    width = (hi_s - lo_s) / bins
     return (grid.join(counts, "bin", "left")
             .select("bin", (lo_s + F.col("bin") * width).alias("bin_start"),
                     (lo_s + (F.col("bin") + 1) * width).alias("bin_end"),
@@ -79,38 +85,48 @@ def engagement_by_segment(P: DataFrame) -> DataFrame:
             .orderBy(F.desc("engagement_score_mean"), "customer_segment"))
 
 
-def clv_box_stats(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
-    """Box-plot statistics of CLV per segment.
+def _fenced(P: DataFrame, approx: bool) -> DataFrame:
+    """Customers with a segment and a CLV estimate, and the quartiles of their segment.
 
-    Quartiles are exact (linear); whiskers reach the most extreme data
-    points within 1.5 IQR of the box (matplotlib's rule); ``outliers``
-    counts the points beyond them (``clv_outliers`` lists them).
-    """
+    The quartiles are one row per segment; the table is checked to be
+    small and broadcast, so customers are never shuffled by their segment."""
     base = P.where(F.col("clv_estimate").isNotNull() & F.col("customer_segment").isNotNull())
-    q = percentiles(base, "clv_estimate", _CID, [0.25, 0.5, 0.75], group_cols="customer_segment",
-                    names=["q1", "median", "q3"], approx=approx, rows_per_bucket=rows_per_bucket)
-    j = base.select("customer_segment", "clv_estimate").join(q, "customer_segment")
+    base = base.select(_CID, "customer_segment", "clv_estimate")
+    q = percentiles(base, "clv_estimate", [0.25, 0.5, 0.75], "customer_segment", ["q1", "median", "q3"], approx)
+    return base.join(F.broadcast(bounded(q, MAX_SEGMENTS)), "customer_segment")
+
+
+def _box(fenced: DataFrame) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     lo_fence, hi_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = F.col("clv_estimate")
-    stats = j.groupBy("customer_segment", "q1", "median", "q3").agg(
+    stats = fenced.groupBy("customer_segment", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(v >= lo_fence, v)).alias("whisker_low"),
         F.max(F.when(v <= hi_fence, v)).alias("whisker_high"),
         F.count_if((v < lo_fence) | (v > hi_fence)).alias("outliers"))
-    return (stats.select("customer_segment", "n", "q1", "median", "q3",
-                         F.coalesce("whisker_low", "q1").alias("whisker_low"),
-                         F.coalesce("whisker_high", "q3").alias("whisker_high"), "outliers")
-            .orderBy("customer_segment"))
+    return stats.select("customer_segment", "n", "q1", "median", "q3",
+                        F.coalesce("whisker_low", "q1").alias("whisker_low"),
+                        F.coalesce("whisker_high", "q3").alias("whisker_high"), "outliers")
 
 
-def clv_outliers(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
-    """C7 (points): customers whose CLV lies beyond the whiskers of their segment."""
-    base = P.where(F.col("clv_estimate").isNotNull() & F.col("customer_segment").isNotNull())
-    box = clv_box_stats(P, rows_per_bucket, approx).select("customer_segment", "whisker_low", "whisker_high")
-    v = F.col("clv_estimate")
-    return (base.select(_CID, "customer_segment", "clv_estimate").join(box, "customer_segment")
-            .where((v < F.col("whisker_low")) | (v > F.col("whisker_high")))
+def clv_box_stats(P: DataFrame, approx: bool = False) -> DataFrame:
+    """Box-plot statistics of CLV per segment.
+
+    Quartiles are exact (linear); whiskers reach the most extreme data
+    points within 1.5 IQR of the box (matplotlib's rule); ``outliers``
+    counts the points beyond them (``clv_outliers`` lists them).
+    """
+    return _box(_fenced(P, approx)).orderBy("customer_segment")
+
+
+def clv_outliers(P: DataFrame, approx: bool = False) -> DataFrame:
+    """C7 (points): customers whose CLV lies beyond the whiskers of their segment.
+
+    A point is beyond a whisker exactly when it is beyond the fence, so the
+    quartiles decide and no whisker is computed."""
+    v, iqr = F.col("clv_estimate"), F.col("q3") - F.col("q1")
+    return (_fenced(P, approx).where((v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr))
             .select("customer_segment", _CID, "clv_estimate").orderBy("customer_segment", _CID))
 
 

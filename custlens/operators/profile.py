@@ -14,9 +14,7 @@ E engagement rows the join holds max(T,1)·max(E,1) rows, so
 Both fact tables are aggregated by customer first and joined 1:1, which
 gives the same numbers with shuffles proportional to the inputs instead
 of Σ T·E.  ``fanout=False`` yields the deduplicated (per-table) values.
-``total_spent`` is summed in DECIMAL and converted once, so it is the
-double nearest to the exact money total (reports round its means and
-medians to cents, where an ulp decides exact ties).
+Money is summed in double precision, as given.
 
 ``process_metrics`` (P02-P14) is one projection over that frame plus
 one struct-valued scalar subquery (the two global means used by
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (
-    as_double, at_least_one, clip, first_match, money_mean, scalar_fields, whole_days_since,
+    at_least_one, clip, first_match, whole_days_since, with_scalar,
 )
 from .summaries import eng_by_customer, tx_by_customer
 
@@ -68,8 +66,8 @@ def extract_profile(C: DataFrame, T: DataFrame, E: DataFrame, fanout: bool = Tru
     return j.select(
         *PROFILE_DIMENSIONS,
         F.coalesce("distinct_ids", F.lit(0)).alias("total_transactions"),
-        (F.col("amount_sum_exact") * w_e).cast("double").alias("total_spent"),
-        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_transaction_value"),
+        (F.col("amount_sum") * w_e).alias("total_spent"),
+        F.col("amount_avg").alias("avg_transaction_value"),
         (F.col("quantity_sum") * w_e).alias("total_items"),
         F.col("last_date").alias("last_purchase_date"),
         F.coalesce("eng_days", F.lit(0)).alias("engagement_days"),
@@ -123,34 +121,24 @@ def process_metrics(profile: DataFrame, as_of: datetime) -> DataFrame:
         churn_risk("days_since_last_purchase", "purchase_frequency").alias("churn_risk"),
     )
     # Both global means from one scalar subquery (run once, inlined as literals).
-    means = scalar_fields(m.agg(F.avg("total_spent").alias("s"), F.avg("purchase_frequency").alias("f")),
-                          ["s", "f"])
-    avg_spent, avg_freq = means["s"], means["f"]
-    spent_hi = F.col("total_spent") > avg_spent
-    freq_hi = F.col("purchase_frequency") > avg_freq
+    means = m.agg(F.avg("total_spent").alias("s"), F.avg("purchase_frequency").alias("f"))
+    spent_hi = F.col("total_spent") > F.col("__means.s")
+    freq_hi = F.col("purchase_frequency") > F.col("__means.f")
     value = first_match([
         (spent_hi & freq_hi, "Star Customer"),
         (spent_hi, "Big Spender"),
         (freq_hi, "Frequent Buyer"),
     ], "Development")
-    return m.withColumn("value_segment", value)
+    return with_scalar(m, means, "__means").withColumn("value_segment", value).drop("__means")
 
 
 def build_profile(C: DataFrame, T: DataFrame, E: DataFrame, as_of: datetime,
-                  fanout: bool = True, materialize: bool = True, tx: DataFrame | None = None,
-                  eng: DataFrame | None = None) -> DataFrame:
-    """P12 over P01: the full profile.
-
-    With ``materialize`` (default) the extracted profile — one row per
-    customer, the output of the only heavy work (scanning and aggregating
-    the fact tables) — is checkpointed into ``spark.checkpoint.dir`` first.
-    The metric pass and the scalar subquery of the global means then both
-    read that checkpoint instead of aggregating the fact tables twice, and
-    the lineage is cut, so a lost executor never re-runs the aggregation.
+                  fanout: bool = True, tx: DataFrame | None = None, eng: DataFrame | None = None,
+                  exact_distinct: bool = False) -> DataFrame:
+    """P12 over P01: the full profile, as one lazy plan.
+
+    A question that reads a few of its columns prunes the rest: without a measure of a fact
+    table that table is not read at all.  Callers with many questions keep the
+    profile themselves (``CustomerAnalytics``).
     """
-    extracted = extract_profile(C, T, E, fanout=fanout, tx=tx, eng=eng)
-    if materialize:
-        from ..plans.materialize import checkpoint
-        # read in full by the metric pass and the means subquery: row checkpoint
-        extracted = checkpoint(extracted, "extracted-profile", columnar=False)
-    return process_metrics(extracted, as_of)
+    return process_metrics(extract_profile(C, T, E, fanout, exact_distinct, tx, eng), as_of)

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (
-    as_double, exact_mean_rounded, first_match, fractional_days_since, money_mean, money_sum, month, safe_div,
-    sql_days_since, sql_round, within_last_days,
+    first_match, fractional_days_since, money_round, month, month_start, safe_div, sql_days_since, sql_round,
+    within_last_days,
 )
 from .summaries import eng_by_customer, tx_by_customer
 
@@ -88,7 +88,7 @@ def customer_transactions(C: DataFrame, T: DataFrame, tx: DataFrame | None = Non
         _CID, "customer_name", "customer_segment",
         F.coalesce("id_count", F.lit(0)).alias("transaction_count"),
         F.col("amount_sum").alias("total_spent"),
-        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_transaction"),
+        F.col("amount_avg").alias("avg_transaction"),
         F.col("amount_min").alias("min_transaction"),
         F.col("amount_max").alias("max_transaction"))
         .orderBy(F.desc("total_spent"), _CID))
@@ -98,8 +98,8 @@ def revenue_by_category(T: DataFrame) -> DataFrame:
     """Per product category count, revenue, avg, units."""
     return (T.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        as_double(money_sum("amount")).alias("total_revenue"),
-        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_transaction"),
+        F.sum("amount").alias("total_revenue"),
+        F.avg("amount").alias("avg_transaction"),
         F.sum("quantity").alias("total_units"))
         .orderBy(F.desc("total_revenue"), "product_category"))
 
@@ -108,17 +108,18 @@ def revenue_by_payment_method(T: DataFrame) -> DataFrame:
     """Per payment method count, revenue, avg."""
     return (T.groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("transactions"),
-        as_double(money_sum("amount")).alias("revenue"),
-        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_amount"))
+        F.sum("amount").alias("revenue"),
+        F.avg("amount").alias("avg_amount"))
         .orderBy(F.desc("revenue"), "payment_method"))
 
 
 def monthly_revenue(T: DataFrame) -> DataFrame:
     """Monthly count, revenue, avg; newest first (null month kept as a group)."""
-    return (T.groupBy(month("transaction_date").alias("month")).agg(
+    return (T.groupBy(month_start("transaction_date").alias("m")).agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        as_double(money_sum("amount")).alias("monthly_revenue"),
-        as_double(money_mean(money_sum("amount"), F.count("amount"))).alias("avg_transaction"))
+        F.sum("amount").alias("monthly_revenue"),
+        F.avg("amount").alias("avg_transaction"))
+        .select(month("m").alias("month"), "transaction_count", "monthly_revenue", "avg_transaction")
         .orderBy(F.desc("month")))
 
 
@@ -200,7 +201,7 @@ def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame |
     """Avg * (n / max(tenure months, 1)) * 12 * 3, rounded to 2."""
     j = _customers_with_tx(C, T, tx=tx)
     n = F.coalesce("distinct_ids", F.lit(0))
-    avg = as_double(money_mean("amount_sum_exact", "amount_count"))
+    avg = F.col("amount_avg")
     months = fractional_days_since(as_of, "signup_date") / 30.0
     # SQLite's multi-argument max is null when an argument is null.
     months_floor = F.when(months.isNull(), F.lit(None)).otherwise(F.greatest(months, F.lit(1.0)))
@@ -209,7 +210,7 @@ def clv_three_year(C: DataFrame, T: DataFrame, as_of: datetime, tx: DataFrame |
         _CID, "customer_name", "customer_segment",
         n.alias("total_transactions"),
         F.col("amount_sum").alias("total_spent"),
-        exact_mean_rounded("amount_sum_exact", "amount_count", 2).alias("avg_transaction_value"),
+        money_round("amount_avg").alias("avg_transaction_value"),
         sql_round(clv, 2).alias("clv_estimate_3year"))
         .orderBy(F.desc("clv_estimate_3year"), _CID))
 
@@ -225,11 +226,13 @@ def cohort_retention(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) ->
     j = _customers_with_tx(C, T, tx=tx)
     acquired = F.count(_CID)
     bought = F.sum(F.coalesce("dated_rows", F.lit(0)))
-    return (j.groupBy(month("signup_date").alias("signup_month")).agg(
+    return (j.groupBy(month_start("signup_date").alias("m")).agg(
         acquired.alias("customers_acquired"),
         bought.alias("customers_with_purchase"),
         sql_round(safe_div(F.lit(100.0) * bought, acquired), 2).alias("retention_rate"),
-        as_double(F.sum(F.coalesce("amount_sum_exact", F.lit(0).cast("decimal(38,10)")))).alias("cohort_revenue"))
+        F.sum(F.coalesce("amount_sum", F.lit(0.0))).alias("cohort_revenue"))
+        .select(month("m").alias("signup_month"), "customers_acquired", "customers_with_purchase", "retention_rate",
+                "cohort_revenue")
         .orderBy(F.desc("signup_month")))
 
 
@@ -243,31 +246,31 @@ def segment_performance(C: DataFrame, T: DataFrame, E: DataFrame, tx: DataFrame
     transaction row appears once per engagement row of its customer.
     Revenue and the average are therefore weighted by max(E_c, 1); they
     are computed from per-customer pre-aggregates instead of the T·E join.
-    Distinct engagement dates are per segment, so they come from the
-    distinct (customer, date) pairs joined to the customer's segment.
+    Distinct engagement dates are per segment, a null segment included: they come
+    from each customer's set of dates (a calendar's worth at most).
     """
     w = F.greatest(F.coalesce("eng_rows", F.lit(0)), F.lit(1))
     if "tx_rows" in C.columns and "eng_rows" in C.columns:
-        per_cust = C  # pre-joined customers ⟕ summaries
+        j = C.select(_CID, "customer_segment", "tx_rows", "distinct_ids", "amount_sum", "amount_count", "eng_rows")
+        days = E.select(_CID, "engagement_date").distinct()
+        dates = days.join(j.select(_CID, "customer_segment"), _CID)
     else:
-        eng_rows = (eng.select(_CID, "eng_rows") if eng is not None
-                    else E.groupBy(_CID).agg(F.count(F.lit(1)).alias("eng_rows")))
-        per_cust = (C.select(_CID, "customer_segment").join(_tx(T, tx), _CID, "left")
-                    .join(eng_rows, _CID, "left"))
-    revenue = F.sum(F.col("amount_sum_exact") * w)
+        # engagement is read once: rows per (customer, date) give both the weights and the dates
+        daily = E.groupBy(_CID, "engagement_date").agg(F.count(F.lit(1)).alias("n"))
+        per = daily.groupBy(_CID).agg(F.sum("n").alias("eng_rows"), F.collect_set("engagement_date").alias("dates"))
+        j = (C.select(_CID, "customer_segment").join(_tx(T, tx), _CID, "left").join(per, _CID, "left"))
+        dates = j.select("customer_segment", F.explode("dates").alias("engagement_date"))
+    revenue = F.sum(F.col("amount_sum") * w)
     customers = F.count(_CID)
-    seg = per_cust.groupBy("customer_segment").agg(
+    seg = j.groupBy("customer_segment").agg(
         customers.alias("customer_count"),
         F.sum(F.coalesce("distinct_ids", F.lit(0))).alias("total_transactions"),
-        as_double(revenue).alias("segment_revenue"),
-        as_double(sql_round(money_mean(revenue, F.sum(F.col("amount_count") * w)), 2)).alias("avg_transaction"),
-        as_double(sql_round(money_mean(revenue, customers), 2)).alias("revenue_per_customer"))
-    days = (E.select(_CID, "engagement_date").where(F.col("engagement_date").isNotNull())
-            .distinct()
-            .join(C.select(_CID, "customer_segment"), _CID, "inner")
-            .groupBy("customer_segment")
-            .agg(F.count_distinct("engagement_date").alias("total_engagement_days")))
-    return (seg.join(days, "customer_segment", "left")
+        revenue.alias("segment_revenue"),
+        money_round(safe_div(revenue, F.sum(F.col("amount_count") * w))).alias("avg_transaction"),
+        money_round(safe_div(revenue, customers)).alias("revenue_per_customer"))
+    days = dates.groupBy(F.col("customer_segment").alias("__s")).agg(
+        F.count_distinct("engagement_date").alias("total_engagement_days"))
+    return (seg.join(days, seg["customer_segment"].eqNullSafe(days["__s"]), "left")
             .select("customer_segment", "customer_count", "total_transactions", "segment_revenue",
                     "avg_transaction", "revenue_per_customer",
                     F.coalesce("total_engagement_days", F.lit(0)).alias("total_engagement_days"))
@@ -278,12 +281,12 @@ def channel_effectiveness(C: DataFrame, T: DataFrame, tx: DataFrame | None = Non
     """Per channel customers, transactions, revenue, per customer, % who bought."""
     j = _customers_with_tx(C, T, tx=tx)
     customers = F.count(_CID)
-    revenue = F.sum("amount_sum_exact")
+    revenue = F.sum("amount_sum")
     return (j.groupBy("acquisition_channel").agg(
         customers.alias("customers"),
         F.sum(F.coalesce("distinct_ids", F.lit(0))).alias("transactions"),
-        as_double(revenue).alias("revenue"),
-        as_double(sql_round(money_mean(revenue, customers), 2)).alias("revenue_per_customer"),
+        revenue.alias("revenue"),
+        money_round(safe_div(revenue, customers)).alias("revenue_per_customer"),
         sql_round(safe_div(F.lit(100.0) * F.count_if(F.col("id_count") > 0), customers), 2)
         .alias("conversion_rate"))
         .orderBy(F.desc("revenue"), "acquisition_channel"))
@@ -302,7 +305,7 @@ def top_customers(C: DataFrame, T: DataFrame, k: int = 20, tx: DataFrame | None
         _CID, "customer_name", "country", "customer_segment",
         F.col("distinct_ids").alias("purchases"),
         F.col("amount_sum").alias("total_spent"),
-        as_double(money_mean("amount_sum_exact", "amount_count")).alias("avg_purchase"),
+        F.col("amount_avg").alias("avg_purchase"),
         F.col("first_date").alias("first_purchase"),
         F.col("last_date").alias("last_purchase"))
         .orderBy(F.desc("total_spent"), _CID).limit(k))
@@ -313,8 +316,8 @@ def top_products(T: DataFrame) -> DataFrame:
     return (T.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("quantity").alias("total_units_sold"),
-        as_double(money_sum("amount")).alias("total_revenue"),
-        as_double(sql_round(money_mean(money_sum("amount"), F.count("amount")), 2)).alias("avg_transaction"))
+        F.sum("amount").alias("total_revenue"),
+        money_round(F.avg("amount")).alias("avg_transaction"))
         .orderBy(F.desc("total_revenue"), "product_category"))
 
 
@@ -329,20 +332,21 @@ def value_comparison(C: DataFrame, T: DataFrame, tx: DataFrame | None = None) ->
     ``AVG(COUNT(..)) OVER`` is the customer's own count.
     """
     tx = _tx(T, tx)
-    mean_total = tx.select(F.avg("amount_sum_exact")).scalar()
+    mean_total = tx.select(F.avg("amount_sum")).scalar()
     j = _customers_with_tx(C, T, "left", tx)
-    category = F.when(mean_total >= F.col("amount_sum_exact"), "Below Average").otherwise("Above Average")
+    category = F.when(mean_total >= F.col("amount_sum"), "Below Average").otherwise("Above Average")
     return j.select(
         category.alias("value_category"),
         F.lit(1).cast("long").alias("customer_count"),
         sql_round(F.coalesce("distinct_ids", F.lit(0)).cast("double"), 2).alias("avg_purchases"),
-        as_double(sql_round(F.col("amount_sum_exact"), 2)).alias("avg_customer_value"))
+        money_round("amount_sum").alias("avg_customer_value"))
 
 
-def recently_active(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+def recently_active(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30,
+                    exact_distinct: bool = False) -> DataFrame:
     """Customers with a transaction in the last ``days`` days."""
     recent = T.where(within_last_days(as_of, "transaction_date", days))
-    return (C.join(tx_by_customer(recent), _CID, "inner").select(
+    return (C.join(tx_by_customer(recent, exact_distinct), _CID, "inner").select(
         _CID, "customer_name", "customer_segment",
         F.col("distinct_ids").alias("recent_transactions"),
         F.col("amount_sum").alias("recent_spending"),
@@ -357,13 +361,13 @@ def business_kpis(C: DataFrame, T: DataFrame, as_of: datetime, days: int = 30,
     buyers = _tx(T, tx).select(F.count(_CID)).scalar()
     recent = tx_by_customer(T.where(within_last_days(as_of, "transaction_date", days)))
     active = F.count(_CID)
-    revenue = F.sum("amount_sum_exact")
+    revenue = F.sum("amount_sum")
     return recent.agg(
         active.alias("active_customers"),
         F.coalesce(F.sum("tx_rows"), F.lit(0)).alias("total_transactions"),
-        as_double(revenue).alias("total_revenue"),
-        as_double(sql_round(money_mean(revenue, F.sum("amount_count")), 2)).alias("avg_transaction_value"),
-        as_double(sql_round(money_mean(revenue, active), 2)).alias("revenue_per_customer"),
+        revenue.alias("total_revenue"),
+        money_round(safe_div(revenue, F.sum("amount_count"))).alias("avg_transaction_value"),
+        money_round(safe_div(revenue, active)).alias("revenue_per_customer"),
     ).select(
         total_customers.alias("total_customers"), buyers.alias("customers_with_purchases"),
         "active_customers", "total_transactions", "total_revenue",
@@ -376,7 +380,8 @@ def customer_growth(C: DataFrame) -> DataFrame:
     The window has no partition key, but its input is one row per month,
     so the single partition holds a calendar's worth of rows.
     """
-    monthly = C.groupBy(month("signup_date").alias("month")).agg(F.count(F.lit(1)).alias("new_customers"))
+    monthly = C.groupBy(month_start("signup_date").alias("m")).agg(F.count(F.lit(1)).alias("new_customers"))
+    monthly = monthly.select(month("m").alias("month"), "new_customers")
     running = Window.orderBy("month").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (monthly.withColumn("cumulative_customers", F.sum("new_customers").over(running))
             .orderBy("month"))
@@ -400,8 +405,7 @@ def avg_spend_by_segment(C: DataFrame, T: DataFrame, tx: DataFrame | None = None
     j = _customers_with_tx(C, T, "left", tx)
     return (j.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
-        as_double(sql_round(money_mean(F.sum("amount_sum_exact"), F.count("amount_sum_exact")), 2))
-        .alias("avg_spending"))
+        money_round(F.avg("amount_sum")).alias("avg_spending"))
         .orderBy(F.desc("avg_spending"), "customer_segment"))
 
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import first_match, pd_round, safe_div, scalar_fields
-from ..functions.ranking import ROWS_PER_BUCKET, ordered_rank, percentiles, quantile_bin, values_at_ranks
+from ..functions.exprs import first_match, money_round, pd_round, safe_div, scalar_fields, with_scalar
+from ..functions.ranking import ordered_rank, pairs_at_ranks, percentiles, quantile_bin, values_at_ranks
 
 _CID = "customer_id"
 
@@ -32,24 +32,22 @@ def shape_and_columns(P: DataFrame) -> DataFrame:
     return P.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(P.columns)).cast("long").alias("columns"))
 
 
-def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS,
-             rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
+def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, 25%, 50%, 75%, max per column
-    (pandas ``describe``); quartiles are exact (linear interpolation)."""
+    (pandas ``describe``); quartiles are exact (linear interpolation).
+
+    The columns are stacked into (column, value) rows, so one aggregation and
+    one selection serve all of them."""
     stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    moments = P.agg(*[e for c in cols for e in (
-        F.count(c).cast("double").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-        F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-        F.max(c).cast("double").alias(f"{c}__max"))])
-    quarts = [percentiles(P, c, _CID, [0.25, 0.5, 0.75], names=[f"{c}__25%", f"{c}__50%", f"{c}__75%"],
-                          approx=approx, rows_per_bucket=rows_per_bucket) for c in cols]
-    qvals = {}
-    for q, c in zip(quarts, cols):
-        names = [f"{c}__25%", f"{c}__50%", f"{c}__75%"]
-        fields = scalar_fields(q.select(*[F.col(f"`{n}`").alias(f"q{i}") for i, n in enumerate(names)]),
-                               ["q0", "q1", "q2"])
-        qvals.update({n: fields[f"q{i}"] for i, n in enumerate(names)})
-    row = moments.select("*", *[v.alias(n) for n, v in qvals.items()])
+    stacked = P.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                           for c in cols))).alias("x")).select("x.*")
+    moments = stacked.groupBy("column").agg(
+        F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quarts = percentiles(stacked, "value", [0.25, 0.5, 0.75], "column", ["25%", "50%", "75%"], approx)
+    both = moments.join(quarts, "column", "left")
+    row = both.groupBy().agg(*(F.max(F.when(F.col("column") == c, F.col(f"`{s}`"))).alias(f"{c}__{s}")
+                               for c in cols for s in stats))
     body = ", ".join(f"'{s}', " + ", ".join(f"`{c}__{s}`" for c in cols) for s in stats)
     names = ", ".join(["statistic", *cols])
     return row.selectExpr(f"stack({len(stats)}, {body}) AS ({names})")
@@ -69,18 +67,16 @@ def high_value(P: DataFrame, min_spent: float = 100000, n: int | None = None) ->
     return out.limit(n) if n else out
 
 
-def segment_summary(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
+def segment_summary(P: DataFrame, approx: bool = False) -> DataFrame:
     """Count, sum, mean and exact median of spend per segment."""
     agg = P.groupBy("customer_segment").agg(
         F.count(_CID).alias("customer_id_count"),
         pd_round(F.sum("total_spent"), 2).alias("total_spent_sum"),
         pd_round(F.avg("total_spent"), 2).alias("total_spent_mean"))
-    med = percentiles(P.where(F.col("customer_segment").isNotNull()), "total_spent", _CID, [0.5],
-                      group_cols="customer_segment", names=["total_spent_median"], approx=approx,
-                      rows_per_bucket=rows_per_bucket, decimal=not approx)
-    med = med.select("customer_segment",
-                     pd_round("total_spent_median", 2).cast("double").alias("total_spent_median"))
-    return agg.join(med, "customer_segment", "left").orderBy("customer_segment")
+    med = percentiles(P, "total_spent", [0.5], "customer_segment", ["total_spent_median"], approx)
+    med = med.select(F.col("customer_segment").alias("__s"), money_round("total_spent_median", half_even=True).alias("total_spent_median"))
+    return (agg.join(med, agg["customer_segment"].eqNullSafe(med["__s"]), "left").drop("__s")
+            .orderBy("customer_segment"))
 
 
 def segment_by_churn_pivot(P: DataFrame, levels: Sequence[str] = ("Critical", "High", "Low", "Medium")
@@ -97,10 +93,9 @@ def top_by_clv(P: DataFrame, k: int = 10) -> DataFrame:
             .select("customer_name", "total_spent", "clv_estimate"))
 
 
-def spend_percentiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
+def spend_percentiles(P: DataFrame, approx: bool = False) -> DataFrame:
     """25th, 50th and 75th percentile of spend (NumPy linear rule)."""
-    return percentiles(P, "total_spent", _CID, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"],
-                       approx=approx, rows_per_bucket=rows_per_bucket)
+    return percentiles(P, "total_spent", [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], approx=approx)
 
 
 def spending_category_col():
@@ -122,38 +117,35 @@ def segment_gap(P: DataFrame, a: str = "Loyal", b: str = "At-Risk") -> DataFrame
                 (F.col("mean_a") - F.col("mean_b")).alias("difference"))
 
 
-def rfm_quintiles(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, approx: bool = False) -> DataFrame:
+def rfm_quintiles(P: DataFrame, approx: bool = False) -> DataFrame:
     """R, F, M quintile scores and the concatenated RFM score.
 
     R and M: bins between the exact quantiles at 0, .2, ..., 1 (right-closed,
     lowest edge included); R labels run 5..1.  F: quintiles of the
-    frequency *rank* (ties by customer id), whose edges have the closed
-    form 1 + (n-1)k/5, so the bin is an integer formula.  Repeated edges
-    merge bins and keep the lowest label; null input gives a null score.
-    ``approx=True`` takes the R and M edges from ``percentile_approx``.
+    frequency *rank* (ties by customer id).  Its edges are the ranks 1 + (n-1)k/5,
+    so a customer is past an edge when it follows the row at that rank, rounded down, in the
+    order by frequency and id: four rows are selected and no customer is
+    ranked.  Repeated edges merge bins and keep the lowest label; null input
+    gives a null score.  ``approx=True`` takes the R and M edges from ``percentile_approx``.
     """
     probs = [0.2, 0.4, 0.6, 0.8]
-    r_edges = percentiles(P, "days_since_last_purchase", _CID, probs, names=["r1", "r2", "r3", "r4"],
-                          approx=approx, rows_per_bucket=rows_per_bucket)
-    m_edges = percentiles(P, "total_spent", _CID, probs, names=["m1", "m2", "m3", "m4"],
-                          approx=approx, rows_per_bucket=rows_per_bucket)
-    r_vals = scalar_fields(r_edges, ["r1", "r2", "r3", "r4"])
-    m_vals = scalar_fields(m_edges, ["m1", "m2", "m3", "m4"])
-    r_edges_c = [r_vals[c] for c in ["r1", "r2", "r3", "r4"]]
-    m_edges_c = [m_vals[c] for c in ["m1", "m2", "m3", "m4"]]
-    r_bin = quantile_bin(F.col("days_since_last_purchase"), r_edges_c)
-    m_bin = quantile_bin(F.col("total_spent"), m_edges_c)
-    freq = P.where(F.col("purchase_frequency").isNotNull())
-    n_freq = freq.select(F.count(F.lit(1))).scalar()
-    ranked = ordered_rank(freq.select(_CID, "purchase_frequency"), "purchase_frequency", _CID,
-                          rank_col="f_rank", rows_per_bucket=rows_per_bucket).select(_CID, "f_rank")
-    r = F.col("f_rank")
-    f_bin = F.when(r.isNull(), None).when(n_freq <= 1, 1).otherwise(
-        F.greatest(F.lit(1), F.ceil((r - 1) * 5 / (n_freq - 1)).cast("int")))
-    scored = (P.select(_CID, "customer_name", "days_since_last_purchase", "total_spent")
-              .join(ranked, _CID, "left")
-              .select("customer_name", (6 - r_bin).cast("int").alias("R_score"),
-                      f_bin.cast("int").alias("F_score"), m_bin.cast("int").alias("M_score")))
+    both = P.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                        for c in ("days_since_last_purchase", "total_spent")))).alias("x")).select("x.*")
+    edges = percentiles(both, "value", probs, "column", ["e1", "e2", "e3", "e4"], approx)
+    edges = edges.groupBy().agg(*(F.max(F.when(F.col("column") == c, F.col(f"e{i}"))).alias(f"{n}{i}")
+                                  for n, c in (("r", "days_since_last_purchase"), ("m", "total_spent")) for i in range(1, 5)))
+    r_bin = quantile_bin(F.col("days_since_last_purchase"), [F.col(f"__edge.r{i}") for i in range(1, 5)])
+    m_bin = quantile_bin(F.col("total_spent"), [F.col(f"__edge.m{i}") for i in range(1, 5)])
+    freq = F.col("purchase_frequency")
+    ranks = {f"f{i}": (lambda n, i=i: F.floor((n - 1) * i / 5) + 1) for i in range(1, 5)}
+    rows = pairs_at_ranks(P.select(_CID, "purchase_frequency"), "purchase_frequency", _CID, ranks)
+    rows = rows.groupBy().agg(*(F.max(F.when(F.col("name") == f, F.struct("value", "id"))).alias(f) for f in ranks))
+    past = [(freq > F.col(f"__at.{f}.value")) | ((freq == F.col(f"__at.{f}.value")) & (F.col(_CID) > F.col(f"__at.{f}.id")))
+            for f in ranks]
+    f_bin = F.when(freq.isNull(), None).otherwise(sum((p.cast("int") for p in past), F.lit(1)))
+    scored = with_scalar(with_scalar(P, edges, "__edge"), rows, "__at").select(
+        "customer_name", (6 - r_bin).cast("int").alias("R_score"), f_bin.cast("int").alias("F_score"),
+                      m_bin.cast("int").alias("M_score"))
     return scored.withColumn("RFM_Score", F.concat(F.col("R_score").cast("string"), F.col("F_score").cast("string"),
                                                    F.col("M_score").cast("string")))
 
@@ -190,18 +182,18 @@ def churn_signals(P: DataFrame, n: int | None = None) -> DataFrame:
     return out.limit(n) if n else out
 
 
-def pareto(P: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def pareto(P: DataFrame) -> DataFrame:
     """Customers by spend (desc, then id) with running revenue and its
     percentage of the total; the running sum is distributed (ranking)."""
     total = P.select(F.sum("total_spent")).scalar()
     ranked = ordered_rank(P, "total_spent", _CID, descending=True, running_sum="total_spent",
-                          rank_col="__spend_rank", sum_col="cumulative_revenue", rows_per_bucket=rows_per_bucket)
+                          rank_col="__spend_rank", sum_col="cumulative_revenue")
     return (ranked.orderBy("__spend_rank")
             .select(*P.columns, "cumulative_revenue",
                     (F.lit(100.0) * safe_div(F.col("cumulative_revenue"), total)).alias("cumulative_pct")))
 
 
-def top_share(P: DataFrame, share: float = 0.2, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def top_share(P: DataFrame, share: float = 0.2) -> DataFrame:
     """Percentage of revenue from the top int(share * n) customers.
 
     The k-th largest spend v* comes from a selection (no full sort); the
@@ -211,9 +203,8 @@ def top_share(P: DataFrame, share: float = 0.2, rows_per_bucket: int = ROWS_PER_
     stats = scalar_fields(P.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spent").alias("t")), ["n", "t"])
     n, total = stats["n"], stats["t"]
     k = F.floor(n * F.lit(float(share))).cast("long")
-    # k-th largest = ascending rank n - k + 1 among non-null spends
     # k-th largest = ascending rank m - k + 1 among the m non-null spends
-    kth = values_at_ranks(P, "total_spent", _CID, {"v": lambda m: m - k + 1}, rows_per_bucket=rows_per_bucket)
+    kth = values_at_ranks(P, "total_spent", {"v": lambda m: m - k + 1})
     v_star = scalar_fields(kth.select("v"), ["v"])["v"]
     x = F.col("total_spent")
     above = P.agg(F.sum(F.when(x > v_star, x)).alias("s"), F.count_if(x > v_star).alias("c"),

@@ -10,14 +10,13 @@ is what the tutorial reads back from CSV).
 
 from __future__ import annotations
 
-from .oracle import B, DAYS
+from .oracle import B, DAYS, M
 
 PROFILE_CTES = f"""
 raw AS (
   SELECT c.customer_id, c.customer_name, c.signup_date, c.country, c.customer_segment, c.acquisition_channel,
          COUNT(DISTINCT t.transaction_id) AS total_transactions,
          fsum(t.amount) AS total_spent,
-         SUM(CAST(t.amount AS DECIMAL(38,10))) AS total_spent_dec,
          favg(t.amount) AS avg_transaction_value,
          CAST(SUM(t.quantity) AS BIGINT) AS total_items,
          MAX(t.transaction_date) AS last_purchase_date,
@@ -34,7 +33,6 @@ m0 AS (
          coalesce(country, 'Unknown') AS country, coalesce(customer_segment, 'Unknown') AS customer_segment,
          coalesce(acquisition_channel, 'Unknown') AS acquisition_channel,
          total_transactions, coalesce(total_spent, 0) AS total_spent,
-         coalesce(total_spent_dec, 0) AS total_spent_dec,
          coalesce(avg_transaction_value, 0) AS avg_transaction_value, coalesce(total_items, 0) AS total_items,
          last_purchase_date, engagement_days, coalesce(avg_page_views, 0) AS avg_page_views,
          coalesce(total_cart_adds, 0) AS total_cart_adds, days_with_purchase,
@@ -100,7 +98,15 @@ LEFT JOIN (SELECT customer_id, COUNT(DISTINCT engagement_date) AS days, AVG(page
            FROM engagement GROUP BY customer_id) e ON e.customer_id = c.customer_id""",
     ["total_spent", "avg_transaction_value", "avg_page_views"])
 
-F["p12_process_metrics"] = ("SELECT * EXCLUDE (total_spent_dec) FROM profile", PROFILE_DOUBLES)
+F["p01_extract_profile_uncut"] = F["p01_extract_profile"]
+
+F["l05_export"] = ("SELECT * FROM export", [
+    "total_spent", "purchase_frequency", "engagement_score", "clv_estimate", "conversion_rate", "tenure_months"])
+
+F["l06_export_short"] = ("SELECT * EXCLUDE (days_since_last_purchase, conversion_rate, tenure_months) FROM export", [
+    "total_spent", "purchase_frequency", "engagement_score", "clv_estimate"])
+
+F["p12_process_metrics"] = ("SELECT * FROM profile", PROFILE_DOUBLES)
 
 F["p13_churn_risk"] = ("""
 SELECT customer_id, days_since_last_purchase, purchase_frequency, churn_risk FROM profile""",
@@ -209,7 +215,7 @@ WHERE total_spent > 100000 ORDER BY customer_id""", ["total_spent"])
 F["a05_segment_summary"] = (f"""
 SELECT customer_segment, COUNT(customer_id) AS customer_id_count,
        {B("fsum(total_spent)")} AS total_spent_sum, {B("favg(total_spent)")} AS total_spent_mean,
-       {B("quantile_cont(total_spent_dec, 0.5)")} AS total_spent_median
+       {M("quantile_cont(total_spent, 0.5)", half_even=True)} AS total_spent_median
 FROM profile GROUP BY customer_segment""", ["total_spent_sum", "total_spent_mean", "total_spent_median"])
 
 F["a06_segment_by_churn_pivot"] = ("""
@@ -243,27 +249,17 @@ SELECT 'BUILDING' AS segment_a, 'AUTOMOBILE' AS segment_b,
 FROM export""", ["mean_a", "mean_b", "difference"])
 
 F["a11_rfm_quintiles"] = ("""
-SELECT e.customer_name,
-       CAST(6 - (1 + CAST(r[1] < days_since_last_purchase AS INT) + CAST(r[2] < days_since_last_purchase AS INT)
-                   + CAST(r[3] < days_since_last_purchase AS INT) + CAST(r[4] < days_since_last_purchase AS INT))
-            AS INT) AS R_score,
-       CAST(CASE WHEN fr.f_rank IS NULL THEN NULL WHEN n <= 1 THEN 1
-                 ELSE GREATEST(1, ceil((fr.f_rank - 1) * 5 / (n - 1))) END AS INT) AS F_score,
-       CAST(1 + CAST(m[1] < total_spent AS INT) + CAST(m[2] < total_spent AS INT)
-              + CAST(m[3] < total_spent AS INT) + CAST(m[4] < total_spent AS INT) AS INT) AS M_score,
-       CAST(6 - (1 + CAST(r[1] < days_since_last_purchase AS INT) + CAST(r[2] < days_since_last_purchase AS INT)
-                   + CAST(r[3] < days_since_last_purchase AS INT) + CAST(r[4] < days_since_last_purchase AS INT))
-            AS VARCHAR)
-       || CAST(CAST(CASE WHEN fr.f_rank IS NULL THEN NULL WHEN n <= 1 THEN 1
-                 ELSE GREATEST(1, ceil((fr.f_rank - 1) * 5 / (n - 1))) END AS INT) AS VARCHAR)
-       || CAST(1 + CAST(m[1] < total_spent AS INT) + CAST(m[2] < total_spent AS INT)
-              + CAST(m[3] < total_spent AS INT) + CAST(m[4] < total_spent AS INT) AS VARCHAR) AS RFM_Score
-FROM export e
-CROSS JOIN (SELECT quantile_cont(days_since_last_purchase, [0.2, 0.4, 0.6, 0.8]) AS r,
-                   quantile_cont(total_spent, [0.2, 0.4, 0.6, 0.8]) AS m,
-                   COUNT(purchase_frequency) AS n FROM export) q
-LEFT JOIN (SELECT customer_id, row_number() OVER (ORDER BY purchase_frequency, customer_id) AS f_rank
-           FROM export WHERE purchase_frequency IS NOT NULL) fr ON fr.customer_id = e.customer_id""", [])
+SELECT customer_name, R_score, F_score, M_score,
+       CAST(R_score AS VARCHAR) || CAST(F_score AS VARCHAR) || CAST(M_score AS VARCHAR) AS RFM_Score
+FROM (SELECT customer_name,
+             CAST(5 - len(list_filter(r, lambda x: x < days_since_last_purchase)) AS INT) AS R_score,
+             CAST(1 + len(list_filter(f, lambda x: x < place)) AS INT) AS F_score,
+             CAST(1 + len(list_filter(m, lambda x: x < total_spent)) AS INT) AS M_score
+      FROM (SELECT *, row_number() OVER (ORDER BY purchase_frequency, customer_id) AS place FROM export)
+      CROSS JOIN (SELECT quantile_cont(days_since_last_purchase, [0.2, 0.4, 0.6, 0.8]) AS r,
+                         quantile_cont(total_spent, [0.2, 0.4, 0.6, 0.8]) AS m,
+                         quantile_cont(place, [0.2, 0.4, 0.6, 0.8]) AS f
+                  FROM (SELECT *, row_number() OVER (ORDER BY purchase_frequency, customer_id) AS place FROM export)))""", [])
 
 _HEALTH = ("((engagement_score / 100 * 0.3) + (1 - (days_since_last_purchase / "
            "NULLIF((SELECT MAX(days_since_last_purchase) FROM export), 0)) * 0.4) + "
@@ -283,10 +279,11 @@ WHERE days_since_last_purchase > 60 AND engagement_score < 50 AND purchase_frequ
 ORDER BY customer_id""", ["total_spent", "engagement_score"])
 
 F["a14_pareto"] = ("""
-SELECT * EXCLUDE (spend_rank),
-       100.0::DOUBLE * (cumulative_revenue / NULLIF((SELECT fsum(total_spent) FROM export), 0)) AS cumulative_pct
+SELECT * EXCLUDE (spend_rank, running),
+       round(running, 2) AS cumulative_revenue,
+       round(100.0::DOUBLE * (running / NULLIF((SELECT fsum(total_spent) FROM export), 0)), 6) AS cumulative_pct
 FROM (SELECT *, row_number() OVER w AS spend_rank,
-             fsum(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue
+             fsum(total_spent) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
       FROM export WINDOW w AS (ORDER BY total_spent DESC NULLS LAST, customer_id))
 ORDER BY spend_rank""", ["total_spent", "purchase_frequency", "engagement_score", "clv_estimate",
                          "conversion_rate", "tenure_months", "cumulative_revenue", "cumulative_pct"])
@@ -332,22 +329,19 @@ def _counts(col: str, src: str = "profile") -> str:
 
 
 def _hist(col: str, bins: int, where: str = "TRUE") -> str:
+    """Counts between stated edges; the last bin holds its upper edge."""
     return f"""
-SELECT CAST(g.bin AS INTEGER) AS bin, lo + g.bin * ((hi - lo) / {bins}) AS bin_start,
-       lo + (g.bin + 1) * ((hi - lo) / {bins}) AS bin_end, coalesce(cnt.c, 0) AS count
-FROM (SELECT range AS bin FROM range(0, {bins})) g
-CROSS JOIN (SELECT CASE WHEN MIN(x) = MAX(x) THEN MIN(x) - 0.5 ELSE MIN(x) END AS lo,
-                   CASE WHEN MIN(x) = MAX(x) THEN MAX(x) + 0.5 ELSE MAX(x) END AS hi
-            FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile WHERE {col} IS NOT NULL AND {where})) b
-LEFT JOIN (SELECT CAST(LEAST(floor((x - lo) * {bins} / (hi - lo)), {bins - 1}) AS BIGINT) AS bin, COUNT(*) AS c
-           FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile WHERE {col} IS NOT NULL AND {where})
-           CROSS JOIN (SELECT CASE WHEN MIN(x) = MAX(x) THEN MIN(x) - 0.5 ELSE MIN(x) END AS lo,
-                              CASE WHEN MIN(x) = MAX(x) THEN MAX(x) + 0.5 ELSE MAX(x) END AS hi
-                       FROM (SELECT CAST({col} AS DOUBLE) AS x FROM profile
-                             WHERE {col} IS NOT NULL AND {where})) b2
-           GROUP BY 1) cnt ON cnt.bin = g.bin
-WHERE b.lo IS NOT NULL
-ORDER BY bin"""
+SELECT e.bin, e.bin_start, e.bin_end, COUNT(x) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin, lo + range * ((hi - lo) / {bins}) AS bin_start,
+             lo + (range + 1) * ((hi - lo) / {bins}) AS bin_end
+      FROM range(0, {bins}) CROSS JOIN (
+        SELECT MIN(v) - CASE WHEN MIN(v) = MAX(v) THEN 0.5 ELSE 0 END AS lo,
+               MAX(v) + CASE WHEN MIN(v) = MAX(v) THEN 0.5 ELSE 0 END AS hi
+        FROM (SELECT CAST({col} AS DOUBLE) AS v FROM profile WHERE {where}))
+      WHERE lo IS NOT NULL) e
+LEFT JOIN (SELECT CAST({col} AS DOUBLE) AS x FROM profile WHERE {where}) d
+  ON x >= e.bin_start AND (x < e.bin_end OR e.bin = {bins - 1})
+GROUP BY ALL ORDER BY e.bin"""
 
 
 F["c01_customers_by_segment"] = (_counts("customer_segment"), [])

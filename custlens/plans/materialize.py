@@ -1,47 +1,30 @@
-"""Materialising shared intermediates.
+"""Materialising shared intermediates as Parquet tables.
 
 Every report reads the profile, and every customer-level question reads
-the per-customer summaries, so they are computed once and stored in the
-shared directory named by ``spark.checkpoint.dir`` — as Parquet tables
-where many readers want a few columns each.
-A written table cuts the lineage like a reliable checkpoint (a lost
-executor costs a re-read, never a recomputation of the aggregations) and,
-being columnar, lets each later question read only its columns and push
-its filters into the scan — a ``DataFrame.checkpoint()`` stores whole rows.
-``localCheckpoint`` is never used: it keeps blocks on executors that may
-disappear.
+the per-customer summaries, so ``CustomerAnalytics`` computes them once and writes
+them to the folder named by ``spark.checkpoint.dir``.  A written table
+cuts the lineage (a lost executor costs a re-read, never the aggregation
+again) and, being columnar, lets each later question read only its columns.
+``localCheckpoint`` is never used: it keeps blocks on executors that may disappear.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .session import ensure_checkpoint_dir
+from .session import checkpoint_dir
 
 
-def checkpoint(df: DataFrame, name: str = "table", columnar: bool = True) -> DataFrame:
-    """Materialise ``df`` under the session's checkpoint directory, cutting
-    its lineage.
+def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as a Parquet table of the shared folder, and the table's path."""
+    path = f"{checkpoint_dir(df.sparkSession)}/custlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
-    ``columnar=True`` writes a Parquet table (for intermediates that many
-    later questions read a few columns of); ``columnar=False`` takes a
-    reliable ``DataFrame.checkpoint()`` (cheaper to write, for intermediates
-    read in full once or twice)."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    if not columnar or not base:  # no client-side path (Spark Connect): server-side checkpoint
-        return df.checkpoint(eager=True)
-    path = f"{base.rstrip('/')}/custlens-{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def persist_profile(P: DataFrame, path: str | None = None) -> DataFrame:
-    """Store the profile once: as Parquet at ``path`` (a table other jobs can
-    read) or, without a path, in the checkpoint directory."""
-    if path is None:
-        return checkpoint(P, "profile")
-    P.write.mode("overwrite").parquet(path)
-    return P.sparkSession.read.parquet(path)
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table made by ``keep``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

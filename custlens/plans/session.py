@@ -21,8 +21,6 @@ operators are designed around:
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -44,18 +42,19 @@ BUILD_ONLY = {
 
 
 def build_session(app: str = "custlens", cpus: int | str = "*", shuffle_partitions: int | None = None,
-                  driver_memory: str = "16g", extra: dict | None = None) -> SparkSession:
-    """Local session for tests, tools and the benchmark."""
+                  driver_memory: str = "16g", checkpoint_dir: str | None = None, extra: dict | None = None) -> SparkSession:
+    """Local session for tests, tools and the benchmark; ``checkpoint_dir`` is where a facade keeps its tables."""
     parts = shuffle_partitions or (int(cpus) * 2 if str(cpus).isdigit() else 16)
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", driver_memory)
          .config("spark.sql.shuffle.partitions", str(parts)))
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in {**DEFAULTS, **BUILD_ONLY, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -64,28 +63,12 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Checkpoint directory from ``spark.checkpoint.dir``.  Only a local-mode
-    session without one (tests) gets a private temp dir; a cluster session
-    without one is an error, since a machine-local directory would not
-    survive the loss of that machine.  Under Spark Connect there is no
-    client-side context; the server's setting applies."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001  (Spark Connect session)
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant directory: "
-                               "checkpoints must survive the loss of any machine")
-        configured = tempfile.mkdtemp(prefix="custlens-ckpt-")  # local mode only (tests)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; there is no substitute for it in any mode."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder")
+    return found.rstrip("/")

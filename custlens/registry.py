@@ -12,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.normalize import normalize
 from .operators import queries as Q
+from .operators.summaries import tx_by_customer
 from .sources import testmap
+from .sources.tables import insert_or_ignore
 
 AS_OF = testmap.AS_OF
 
@@ -31,6 +34,15 @@ def _reg(name: str, build: Callable[..., DataFrame]) -> None:
     _REGISTRY[name] = run
 
 
+def _reg_uncut(name: str, build: Callable[..., DataFrame]) -> None:
+    """Over transactions whose amounts are not whole cents."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        C, T, E = testmap.load(spark, sf_dir)
+        return normalize(build(C, testmap.uncut(spark, sf_dir, T), E))
+    run.__name__ = name
+    _REGISTRY[name] = run
+
+
 # ----------------------------------------------------------- S: SQL catalogue
 _reg("s01_customer_list", lambda C, T, E: Q.customer_list(C))
 _reg("s02_customers_by_country", lambda C, T, E: Q.customers_by_country(C))
@@ -59,9 +71,20 @@ _reg("s24_avg_spend_by_segment", lambda C, T, E: Q.avg_spend_by_segment(C, T))
 _reg("s25_inactive_customers", lambda C, T, E: Q.inactive_customers(C, T, AS_OF, 180, 10))
 
 
+_reg("s11_rfm_rules_repeated_ids", lambda C, T, E: Q.rfm_rules(
+    C, T, AS_OF, tx=tx_by_customer(T.unionAll(T), exact_distinct=True)))
+_reg_uncut("s15_segment_performance_uncut", lambda C, T, E: Q.segment_performance(C, T, E))
+
+
+def _second_load(C, T, E):
+    """L4: a batch that repeats the loaded ids, and holds each new id twice."""
+    new = T.withColumn("transaction_id", F.col("transaction_id") + 1)
+    return insert_or_ignore(T, T.unionAll(new).unionAll(new.withColumn("amount", F.col("amount") + 5)), table="transactions")
+
+
+_reg("l04_insert_or_ignore", _second_load)
+
+
 def registry() -> dict[str, QueryFn]:
-    try:
-        from . import registry_profile  # noqa: F401  (registers P/R/A/C entries)
-    except ImportError:
-        pass
+    from . import registry_profile  # noqa: F401  (registers P/R/A/C entries)
     return dict(_REGISTRY)

@@ -7,12 +7,15 @@ loads back from its CSV export.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .operators import charts as Ch
 from .operators import profile as Pr
 from .operators import reports as Rp
 from .operators import segments as Sg
 from .registry import AS_OF, _reg
-from .sources.schemas import EXPORT_COLUMNS
+from .registry import _reg_uncut
+from .sources.schemas import CSV_OPTIONS, EXPORT_COLUMNS, EXPORT_SHORT_COLUMNS, PROFILE_CSV
 
 
 def _profile(C, T, E):
@@ -33,6 +36,18 @@ def _on_export(name, fn):
 
 _reg("p01_extract_profile", lambda C, T, E: Pr.extract_profile(C, T, E))
 _reg("p01_extract_profile_dedup", lambda C, T, E: Pr.extract_profile(C, T, E, fanout=False))
+_reg_uncut("p01_extract_profile_uncut", lambda C, T, E: Pr.extract_profile(C, T, E))
+
+
+def _through_csv(P, columns):
+    """The exported rows as the sink's CSV text and back as the source reads it."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PROFILE_CSV.fields if f.name in columns)
+    line = F.to_csv(F.struct(*columns), CSV_OPTIONS)
+    return P.select(F.from_csv(line, schema, CSV_OPTIONS).alias("r")).select("r.*")
+
+
+_reg("l05_export", lambda C, T, E: _through_csv(_profile(C, T, E), EXPORT_COLUMNS))
+_reg("l06_export_short", lambda C, T, E: _through_csv(_profile(C, T, E), EXPORT_SHORT_COLUMNS))
 _reg("p12_process_metrics", _profile)
 _on_profile("p13_churn_risk", lambda P: P.select("customer_id", "days_since_last_purchase",
                                                  "purchase_frequency", "churn_risk"))
@@ -65,7 +80,9 @@ _on_export("a11_rfm_quintiles", Sg.rfm_quintiles)
 _on_export("a12_health_scores", Sg.health_scores)
 _on_export("a12_top_health", lambda P: Sg.top_health(P, 10))
 _on_export("a13_churn_signals", Sg.churn_signals)
-_on_export("a14_pareto", Sg.pareto)
+# A running sum of 15 digits adds up rounding; its comparison is in cents and in millionths of a per cent.
+_on_export("a14_pareto", lambda P: Sg.pareto(P).withColumns({
+    "cumulative_revenue": F.round("cumulative_revenue", 2), "cumulative_pct": F.round("cumulative_pct", 6)}))
 _on_export("a15_top_share", lambda P: Sg.top_share(P, 0.2))
 _on_export("a16_channel_roi", Sg.channel_roi)
 _on_export("a17_retention_by_tenure", Sg.retention_by_tenure)

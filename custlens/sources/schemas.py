@@ -37,6 +37,9 @@ ENGAGEMENT = T.StructType([
     T.StructField("device_type", T.StringType()),
 ])
 
+# CSV dialect of sources and sinks: header, doubled quotes inside quoted fields.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+
 # Primary keys (insert-or-ignore identity, see sources.tables.insert_or_ignore).
 PRIMARY_KEYS = {
     "customers": "customer_id",

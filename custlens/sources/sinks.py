@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import reports as R
-from .schemas import EXPORT_COLUMNS, EXPORT_SHORT_COLUMNS
+from .schemas import CSV_OPTIONS, EXPORT_COLUMNS, EXPORT_SHORT_COLUMNS
 
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str) -> str:
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_OPTIONS)
     w.save(path)
     return path
 

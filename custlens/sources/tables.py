@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import DATE_COLUMNS, PRIMARY_KEYS, PROFILE_CSV, TABLE_SCHEMAS
+from .schemas import CSV_OPTIONS, DATE_COLUMNS, PRIMARY_KEYS, PROFILE_CSV, TABLE_SCHEMAS
 
 
 def _as_text_schema(schema: T.StructType, date_cols: list[str]) -> T.StructType:
@@ -26,28 +26,44 @@ def parse_dates(df: DataFrame, date_cols: list[str], fmt: str = "yyyy-MM-dd") ->
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """One table with its fixed schema (never inferred).
+    """One table of Parquet, ORC, CSV or JSON files with its fixed schema (never inferred).
 
     Parquet/ORC carry types, so the schema is applied by projection and
-    cast; CSV/JSON are read with the declared schema (dates as text, then
-    ``try_to_date``)."""
+    cast; CSV columns are found by their names in the header; JSON is read with the
+    declared schema. Dates in text go through ``try_to_date``."""
     schema, dates = TABLE_SCHEMAS[table], DATE_COLUMNS[table]
-    if fmt in ("csv", "json"):
-        reader = spark.read.schema(_as_text_schema(schema, dates))
-        if fmt == "csv":
-            reader = reader.option("header", True)
-        df = parse_dates(reader.format(fmt).load(path), dates)
+    if fmt not in ("parquet", "orc", "csv", "json"):
+        raise ValueError(f"no reader for {fmt}")
+    if fmt == "csv":
+        df = parse_dates(_csv_by_name(spark, path, _as_text_schema(schema, dates)), dates)
+    elif fmt == "json":
+        df = parse_dates(spark.read.schema(_as_text_schema(schema, dates)).json(path), dates)
     else:
         df = spark.read.format(fmt).load(path)
         df = parse_dates(df, [c for c in dates if c in df.columns])
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files with a header as ``schema``, by column name: order and further columns do not matter, a missing
+    column is an error, text that is not of its column's type is null."""
+    text = spark.read.options(**CSV_OPTIONS, enforceSchema="false").csv(path)
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return text.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                register_views: bool = True) -> dict[str, DataFrame]:
+                register_views: bool = True, unique: bool = True) -> dict[str, DataFrame]:
     """L2: ``{path}/customers``, ``/transactions``, ``/engagement`` as frames;
-    optionally registered as temp views for ``spark.sql``."""
+    optionally registered as temp views for ``spark.sql``.
+
+    ``unique`` enforces the primary keys as L4 does (the first row per key stays), which the counts of
+    distinct ids rely on; pass False for files that are known to be unique, it saves a shuffle."""
     tables = {name: read_table(spark, f"{path}/{name}", name, fmt) for name in TABLE_SCHEMAS}
+    if unique:
+        tables = {name: insert_or_ignore(None, df, table=name) for name, df in tables.items()}
     if register_views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
@@ -56,7 +72,7 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_profile_csv(spark: SparkSession, path: str) -> DataFrame:
     """L3: the exported 15-column profile CSV (with header), fixed schema."""
-    return spark.read.schema(PROFILE_CSV).option("header", True).csv(path)
+    return _csv_by_name(spark, path, PROFILE_CSV)
 
 
 def insert_or_ignore(existing: DataFrame | None, incoming: DataFrame, key: str | None = None,

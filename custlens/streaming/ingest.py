@@ -13,17 +13,17 @@ No other streaming operators exist in the reference (it is batch only).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
-from ..sources.schemas import PRIMARY_KEYS, TABLE_SCHEMAS
+from ..sources.schemas import CSV_OPTIONS, PRIMARY_KEYS, TABLE_SCHEMAS
 from ..sources.tables import insert_or_ignore
 
 
 def _existing(spark: SparkSession, target_path: str, key: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(target_path).select(key)
-    except AnalysisException:
+    """Keys of the target table; None only if there is no such folder yet. Any other failure stops the batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    return spark.read.parquet(target_path).select(key)
 
 
 def keyed_ingest(spark: SparkSession, source_path: str, table: str, target_path: str,
@@ -35,7 +35,7 @@ def keyed_ingest(spark: SparkSession, source_path: str, table: str, target_path:
     key = PRIMARY_KEYS[table]
     reader = spark.readStream.schema(TABLE_SCHEMAS[table]).format(source_format)
     if source_format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_OPTIONS, enforceSchema="false")  # a header in another order is an error
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_path)

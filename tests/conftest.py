@@ -14,7 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from custlens.plans.session import build_session
-    s = build_session("custlens-tests", cpus=4, shuffle_partitions=8, driver_memory="6g")
+    s = build_session("custlens-tests", cpus=4, shuffle_partitions=8, driver_memory="6g",
+                      checkpoint_dir=tempfile.mkdtemp(prefix="custlens-test-"))
     yield s
     s.stop()
 

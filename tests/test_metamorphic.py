@@ -61,12 +61,12 @@ def test_growth_total_equals_kpi_customers(spark):
     assert last.cumulative_customers == Q.business_kpis(C, T, AS_OF).first().total_customers
 
 
-def test_bucketed_window_partitioned_by_bucket(spark):
+def test_ranking_windows_are_partitioned_by_bucket(spark):
     C, T, E = testmap.load(spark, SF_SMALL)
     P = Pr.build_profile(C, T, E, AS_OF)
     df = ordered_rank(P.select("customer_id", "total_spent"), "total_spent", "customer_id",
-                      descending=True, running_sum="total_spent", rows_per_bucket=20)
+                      descending=True, running_sum="total_spent")
     text = explain_text(df, "simple")
-    assert "hashpartitioning(__major" in text
+    assert "hashpartitioning(__b" in text and "__t" in text
     ranks = [r.row_number for r in df.orderBy("row_number").collect()]
     assert ranks == list(range(1, len(ranks) + 1))

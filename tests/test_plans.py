@@ -114,7 +114,8 @@ def test_facade_matches_registry_for_whole_catalogue(spark):
     C, T, E = testmap.load(spark, SF_SMALL)
     ca = CustomerAnalytics(C, T, E, AS_OF)
     reg = registry()
-    pairs = {name: "_".join(name.split("_")[1:]) for name in reg if name.startswith("s")}
+    pairs = {name: "_".join(name.split("_")[1:]) for name in reg
+             if name.startswith("s") and not name.endswith(("_uncut", "_repeated_ids"))}
     for name, method in pairs.items():
         ours = normalize(getattr(ca, method)())
         ref = reg[name](spark, SF_SMALL)
