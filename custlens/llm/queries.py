@@ -52,7 +52,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+SUBSTRINGS_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run
+         FROM w, unnest(range(1, len(words) - 18)) AS u(i)),
+later AS (SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS place FROM runs) WHERE place > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM later, unnest(range(i, i + 20)) AS u(j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN words ELSE
+         [words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(js, k)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)"""
+
+EMBEDDINGS_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+low AS (SELECT x, MIN(y) AS y FROM reach GROUP BY x)
+SELECT vec_id, (SELECT COUNT(*) FROM link WHERE x = vec_id) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(y, vec_id)) AS kept
+FROM embeddings LEFT JOIN low ON x = vec_id"""
+
+
+def _licenses_sql() -> str:
+    """Exact containment in every window; what the bands retrieve, without them."""
+    rows = ", ".join("('{}', {}, {})".format(name, licenses.size_class(t), licenses._shingles(licenses._words(t)))
+                     for name, t in licenses.TEMPLATES.items())
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS x(license, size, parts)),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
+s AS (SELECT doc_id, len(words) AS n, [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] AS has
+      FROM w WHERE len(words) >= 5),
+p AS (SELECT doc_id, license, first,
+             len(list_intersect(list_distinct(has[first + 1:first + 2 * size]), parts)) / len(parts) AS share
+      FROM s, t, unnest(range(0, n - 4, size)) AS u(first))
+SELECT doc_id, license, MAX(share) AS containment, COUNT(*) AS n_windows, MIN(first) AS first_word
+FROM p WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; hashes, tokenizers and models leave out the others."""
+    return {"op3_substring_dedup": SUBSTRINGS_SQL, "op4_embedding_dedup": EMBEDDINGS_SQL, "op9_license_scan": _licenses_sql()}
