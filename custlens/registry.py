@@ -78,7 +78,7 @@ _reg_uncut("s15_segment_performance_uncut", lambda C, T, E: Q.segment_performanc
 
 def _second_load(C, T, E):
     """L4: a batch that repeats the loaded ids, and holds each new id twice."""
-    new = T.withColumn("transaction_id", F.col("transaction_id") + 1)
+    new = T.withColumn("transaction_id", F.col("transaction_id") + 1_000_000_000)
     return insert_or_ignore(T, T.unionAll(new).unionAll(new.withColumn("amount", F.col("amount") + 5)), table="transactions")
 
 

@@ -8,11 +8,13 @@ import pytest
 
 import __spark_entry__ as ent
 from custlens.functions.normalize import double_columns
+from custlens.oracle import all_oracles
 from custlens.oracle import double_columns as oracle_doubles
+from custlens.registry import registry
 
 from .conftest import SF_CHECK, SF_SMALL
 
-TABLES = ["customer", "nation", "orders", "events"]
+TABLES = ["customer", "nation", "supplier", "orders", "lineitem", "events"]
 
 
 def _canon(v):
@@ -36,11 +38,12 @@ def _duck(sf_dir):
     return con
 
 
-QUERIES = sorted(ent.queries())
+QUERIES = sorted(registry())
 
 
 def test_every_query_has_an_oracle():
-    assert set(ent.oracle_sql()) == set(ent.queries())
+    assert set(all_oracles()) == set(QUERIES)
+    assert set(QUERIES) <= set(ent.queries()) and set(QUERIES) <= set(ent.oracle_sql()) <= set(ent.queries())
 
 
 @pytest.mark.parametrize("sf_dir", [SF_SMALL, SF_CHECK], ids=["sf0.001", "sf0.01"])
@@ -48,7 +51,7 @@ def test_queries_match_oracles(spark, sf_dir):
     if not os.path.exists(sf_dir):
         pytest.skip("test tables absent")
     con = _duck(sf_dir)
-    qs, oracles = ent.queries(), ent.oracle_sql()
+    qs, oracles = registry(), all_oracles()
     failures = []
     for name in QUERIES:
         sdf = qs[name](spark, sf_dir)

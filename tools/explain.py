@@ -1,4 +1,4 @@
-"""Write the formatted physical plans of the headline operators to docs/PLANS.md.
+"""Write the physical plans of registered queries to docs/PLANS.md.
 
     python tools/explain.py [sf_dir]
 
@@ -8,64 +8,42 @@ Plans are taken after execution (``noop`` sink), i.e. the final adaptive plans.
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+#: Query and what its plan shows.
+CASES = {
+    "p01_extract_profile": "facts aggregated by customer, then 1:1 joins; no T x E join",
+    "c01_customers_by_segment": "the profile pruned to customers: no fact table is read",
+    "s15_segment_performance": "fan-out weights and dates from one aggregation of engagement",
+    "s20_recently_active": "the 30-day rule as a pushed-down scan filter",
+    "a08_spend_percentiles": "selection: (value, count) rows, counts per bucket, only wanted buckets sorted",
+    "a14_pareto": "ranks and running sums from counts per bucket and id range",
+    "c07_clv_outliers": "quartiles per segment, checked to be few, broadcast",
+    "l04_insert_or_ignore": "min_by winner per key, anti join with what is loaded",
+}
+
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    from pyspark.sql import functions as F
-
-    from custlens.functions.ranking import exact_percentiles, ordered_rank
-    from custlens.operators import profile as Pr
-    from custlens.operators import queries as Q
     from custlens.plans.session import build_session
-    from custlens.registry import AS_OF
-    from custlens.sources import testmap
-    from custlens.sources.tables import insert_or_ignore
-
-    from custlens.analytics import CustomerAnalytics
+    from custlens.registry import registry
 
     spark = build_session("custlens-explain", cpus=8)
-    C, T, E = testmap.load(spark, sf_dir)
-    P = Pr.build_profile(C, T, E, AS_OF)
-    ca = CustomerAnalytics(C, T, E, AS_OF)
-    cases = [
-        ("P01 extract_profile: facts aggregated by customer, then 1:1 joins (no T x E join)",
-         Pr.extract_profile(C, T, E)),
-        ("P12 process_metrics over the checkpointed extraction; global means as one scalar subquery", P),
-        ("S15 segment_performance: fan-out weights from pre-aggregates; distinct dates per segment",
-         Q.segment_performance(C, T, E)),
-        ("S11 via CustomerAnalytics: a projection of the checkpointed customers ⟕ summaries (no join, no fact scan)",
-         ca.rfm_rules()),
-        ("S15 via CustomerAnalytics: only the distinct engagement dates still touch raw engagement",
-         ca.segment_performance()),
-        ("S20 recently_active: the 30-day rule as a pushed-down scan filter",
-         Q.recently_active(C, T, AS_OF, 30)),
-        ("S21 business_kpis: scalar subqueries instead of cross joins", Q.business_kpis(C, T, AS_OF, 30)),
-        ("A14 Pareto running sum, bucketed path (rows_per_bucket=1000 to force it at this scale)",
-         ordered_rank(P.select("customer_id", "total_spent"), "total_spent", "customer_id", descending=True,
-                      running_sum="total_spent", rows_per_bucket=1000)),
-        ("A05-style exact median per segment by selection (rows_per_bucket=100 to force buckets): only the "
-         "buckets holding the wanted ranks are sorted",
-         exact_percentiles(P, "total_spent", "customer_id", [0.5], group_cols="customer_segment",
-                           rows_per_bucket=100)),
-        ("L4 insert_or_ignore: min_by winner per key (combinable), anti join with the target",
-         insert_or_ignore(T.limit(100), T, table="transactions")),
-    ]
-    out = ["# Physical plans of the headline operators", "",
-           f"Generated by `tools/explain.py` on `{sf_dir}` (final adaptive plans after execution).", ""]
-    for title, df in cases:
+    out = ["# Physical plans of registered queries", "",
+           f"Generated by `tools/explain.py` on `{sf_dir}`: final adaptive plans, long lines cut.", ""]
+    for name, title in CASES.items():
+        df = registry()[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
-        qe = df._jdf.queryExecution()
-        text = spark._jvm.PythonSQLUtils.explainString(qe, "formatted")
-        out += [f"## {title}", "", "```", text.strip(), "```", ""]
-    path = os.path.join(ROOT, "docs", "PLANS.md")
-    with open(path, "w") as fh:
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        lines = [re.sub(r"#\d+L?", "", x)[:180] for x in text.split("\n") if x.strip()]
+        out += [f"## {name}: {title}", "", "```", *lines, "```", ""]
+    with open(os.path.join(ROOT, "docs", "PLANS.md"), "w") as fh:
         fh.write("\n".join(out))
-    print("wrote", path)
     spark.stop()
 
 
