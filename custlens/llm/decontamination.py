@@ -1,11 +1,10 @@
-"""Operator 2: benchmark decontamination. Rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Operator 2: benchmark decontamination. N-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are lower-cased letters and digits. Test items are cut into pieces of at most
-``PIECE`` words. Every run of ``SEED`` words of a piece is a possible seed: a copy of
-six words or more of which a fifth is replaced still holds one unchanged. A first
-pass over the corpus counts the documents that hold each seed; seeds that are frequent and
-not characteristic of their piece are left out. A second pass takes the passages around the
-rare seeds; seeds join passages to pieces, and each pair is aligned.
+``PIECE`` words. Every run of ``SEED`` words of a piece is a seed, however many documents
+hold it: a copy of six words or more of which a fifth is replaced still holds one unchanged. One
+pass over the corpus takes the passages around seeds; seeds join passages to pieces. Of a
+pair, the places that share enough words with the piece for a match are aligned.
 
 Only a bitmap of seed hashes is broadcast; it has at most 2**MAP_BITS bits whatever
 the size of the benchmark, and all that passes it is decided by joins.
@@ -22,8 +21,6 @@ from custlens.llm.common import in_arrow, written
 from custlens.llm.words import MARKS, runs, word_hashes
 
 SEED, PIECE, STEP = 3, 64, 32
-#: A seed is rare if fewer than this share of documents hold it, or at most so many times those that hold its piece's rarest.
-RARE_SHARE, RARE_TIMES = 0.001, 8
 MAP_BITS = 27
 #: Share of a piece's words that the alignment must match, and its scores.
 MIN_SIMILARITY = 0.6
@@ -32,6 +29,9 @@ MATCH, MISMATCH, GAP = 1, -1, -1
 #: Common marks outside ASCII; they part words too.
 _PARTING = [c.encode() for c in "“”„‘’‚«»‹›–—…¿¡·•　 "]
 
+#: Bytes that part words, as blanks.
+_BLANK = bytes(32 if m else c for c, m in enumerate(MARKS))
+
 
 def _plain(text: str) -> Column:
     return F.encode(F.lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8")
@@ -53,6 +53,10 @@ class _Texts:
     def words(self, a: int, b: int) -> list[str]:
         return [self.raw[x:y].decode(errors="replace") for x, y in zip(self.start[a:b].tolist(), self.stop[a:b].tolist())]
 
+    def line(self, a: int, b: int) -> bytes:
+        """Words with blanks between them."""
+        return self.raw[self.start[a]:self.stop[b - 1]].translate(_BLANK)
+
     def held(self, bitmap: np.ndarray) -> np.ndarray:
         """Positions of seeds whose bit is set."""
         at = self.seed >> np.uint64(64 - (len(bitmap).bit_length() - 1) - 3)
@@ -105,7 +109,7 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def align(item: list[str], passage: list[str]) -> tuple[int, int, int, int]:
+def align(item: list, passage: list) -> tuple[int, int, int, int]:
     """Best local alignment: score, matched words, start and end in the passage."""
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(item + passage))}
     p = np.array([vocabulary[w] for w in passage])
@@ -129,6 +133,26 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int, int, int]:
     return score, matched, int(j), end
 
 
+def places(item: list[bytes], passage: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Stretches of the passage around seeds of the item, wide enough for any alignment through them.
+
+    An alignment matches no more words than a stretch has in common with the item,
+    each as often as both have it; stretches with fewer than ``least`` times the item's words are left out.
+    """
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    q, p = np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in passage])
+    grams = [np.lib.stride_tricks.sliding_window_view(x, SEED) @ (len(number) ** np.arange(SEED)) for x in (q, p)]
+    known = np.lib.stride_tricks.sliding_window_view(p, SEED).min(axis=1) >= 0
+    at = np.flatnonzero(known & np.isin(grams[1], grams[0]))
+    of, out = np.bincount(q), []
+    # no part of an alignment has more gaps than matches, so it reaches at most twice the item's words from a seed
+    for mine in np.split(at, np.flatnonzero(np.diff(at) > 4 * len(item)) + 1) if len(at) else ():
+        a, z = max(0, int(mine[0]) - 2 * len(item)), min(len(p), int(mine[-1]) + SEED + 2 * len(item))
+        if np.minimum(of, np.bincount(p[a:z][p[a:z] >= 0], minlength=len(of))).sum() / len(item) >= least:
+            out.append((a, z))
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text",
           item_key: str = "item_id", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(key, item_id, piece, similarity, score, start, end, text_hash): each piece of a test item found in a document.
@@ -145,23 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     item_pieces = written(pieces(items, item_text, item_key), "pieces")
     seeds = item_pieces.select("pid", F.explode(F.array_distinct("seeds")).alias("seed"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), _plain(text).alias("t"))
-    every = spark.sparkContext.broadcast(_bitmap(seeds.select("seed").distinct()))
-
-    def count(b: pa.RecordBatch):
-        for _, texts in _batches(b, 2):
-            t = _Texts(texts)
-            at = t.held(every.value)
-            once = np.unique(np.stack([t.text[at].astype(np.uint64), t.seed[at]]), axis=1)[1] if len(at) else t.seed[at]
-            seed, n = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
-
-    counts = in_arrow(rows, count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    found = seeds.join(counts, "seed")
-    lowest = found.groupBy("pid").agg(F.min("n").alias("low"))
-    common = int(RARE_SHARE * docs.count())
-    rare = found.join(lowest, "pid").where((F.col("n") <= common) | (F.col("n") <= RARE_TIMES * F.col("low")))
-    rare = written(rare.select("seed", "pid"), "rare-seeds")
-    bitmap = spark.sparkContext.broadcast(_bitmap(rare.select("seed").distinct()))
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds.select("seed").distinct()))
 
     def passages(b: pa.RecordBatch):
         for part, texts in _batches(b, 2):
@@ -174,25 +182,27 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
                 for mine in np.split(at, new[1:]):
                     n = int(t.text[mine[0]])
                     a, z = max(ends[n], mine[0] - PIECE), min(ends[n + 1], mine[-1] + SEED + PIECE)
-                    out.append({"id": ids[n], "text_hash": hashes[n], "first": int(a - ends[n]), "words": t.words(a, z),
+                    out.append({"id": ids[n], "text_hash": hashes[n], "first": int(a - ends[n]), "words": t.line(a, z),
                                 "seeds": np.unique(t.seed[mine]).view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(out, schema=passage)
 
     passage = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int64()),
-                         ("words", pa.list_(pa.string())), ("seeds", pa.list_(pa.int64()))])
-    place = in_arrow(rows, passages, "id long, text_hash long, first long, words array<string>, seeds array<long>")
+                         ("words", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+    place = in_arrow(rows, passages, "id long, text_hash long, first long, words binary, seeds array<long>")
     place = written(place.withColumn("place", F.monotonically_increasing_id()), "passages")
-    pairs = place.select("place", F.explode("seeds").alias("seed")).join(rare, "seed").select("place", "pid").distinct()
+    pairs = place.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").select("place", "pid").distinct()
     pairs = pairs.join(item_pieces.select("pid", "item", "piece", F.col("words").alias("of")), "pid")
     pairs = pairs.join(place.drop("seeds"), "place").select("id", "text_hash", "item", "piece", "first", "of", "words")
 
     def score(b: pa.RecordBatch):
         out = []
         for r in b.to_pylist():
-            points, matched, start, end = align(r["of"], r["words"])
-            out.append({"id": r["id"], "text_hash": r["text_hash"], "item": r["item"], "piece": r["piece"],
-                        "similarity": matched / len(r["of"]), "score": points / len(r["of"]),
-                        "start": r["first"] + start, "end": r["first"] + end})
+            of, words = [w.encode() for w in r["of"]], r["words"].split()
+            for a, z in places(of, words, min_similarity):
+                points, matched, start, end = align(of, words[a:z])
+                out.append({"id": r["id"], "text_hash": r["text_hash"], "item": r["item"], "piece": r["piece"],
+                            "similarity": matched / len(of), "score": points / len(of),
+                            "start": r["first"] + a + start, "end": r["first"] + a + end})
         yield pa.RecordBatch.from_pylist(out, schema=scored)
 
     scored = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("item", pa.int64()), ("piece", pa.int32()),

@@ -87,6 +87,31 @@ def test_a_leak_into_most_documents_stays_rare(spark):
     assert {r.doc_id for r in got.collect()} == {d for d in range(400) if d % 4}
 
 
+def test_many_equal_edited_copies_beside_one_exact_copy(spark):
+    """Seeds that an edited copy left unchanged are frequent, those over its edits are not; the copies are found all the same."""
+    item = [f"b{x}" for x in range(60)]
+    filler = lambda d, n: " ".join(f"w{(d * 31 + i * 7) % 4001}" for i in range(n))
+    sixth, quarter = (" ".join("edit" if j % k == k - 1 else w for j, w in enumerate(item)) for k in (6, 4))
+    texts = {0: " ".join(item)} | {d: sixth for d in range(1, 201)} | {d: quarter for d in range(201, 401)}
+    docs = spark.createDataFrame([(d, f"{filler(d, 20)} {texts.get(d, 'b1 b2 b3')} {filler(d + 1, 20)}") for d in range(4000)],
+                                 "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.similarity for r in got} == {0: 1} | {d: 50 / 60 for d in range(1, 201)} | {d: 45 / 60 for d in range(201, 401)}
+    assert {(r.start, r.end) for r in got if r.doc_id <= 200} == {(20, 80), (20, 79)}
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=3, max_size=9), st.lists(st.sampled_from("abcdefgh"), min_size=3, max_size=60))
+def test_places_hold_every_alignment_through_a_seed(item, passage):
+    raw = [[w.encode() for w in x] for x in (item, passage)]
+    found = [decontamination.align(raw[0], raw[1][a:z]) for a, z in decontamination.places(*raw, 0)]
+    score, matched, start, end = decontamination.align(item, passage)
+    inside = [tuple(passage[i:i + 3]) for i in range(start, end - 2)]
+    if any(g in inside for g in zip(item, item[1:], item[2:])):
+        assert max(f[0] for f in found) == score
+        assert decontamination.places(*raw, matched / len(item))
+
+
 def test_decontamination_query(spark):
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     docs = duckdb.sql(f"select doc_id, text from '{SF_CHECK}/documents.parquet'").fetchall()
