@@ -43,14 +43,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp long) of every row."""
+    """(key, text_hash, fp long) of every row; ``text_hash`` is the xxhash64 of the text."""
 
     def run(b: pa.RecordBatch):
-        fps = [fingerprint(t, words) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [key, "fp"])
+        fps = [fingerprint(t, words) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], [key, "text_hash", "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
-    return in_arrow(rows, run, f"`{key}` long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text"))
+    return in_arrow(rows, run, f"`{key}` long, text_hash long, fp long")
 
 
 def variants(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -106,6 +106,22 @@ def _links(max_bits: int):
     return run
 
 
+def _grouped(docs: DataFrame, words: int, max_bits: int, text: str, key: str) -> DataFrame:
+    """(fp, key, text_hash, component, component_id) of every row; component is a fingerprint of its group, the same for all."""
+    fps = written(fingerprints(docs, words, text, key), "fingerprints")
+    each = written(fps.groupBy("fp").agg(F.min(key).alias("low")), "distinct-fingerprints")
+    keyed = variants(each.select("fp"), max_bits).select(F.xxhash64("bit", "part").alias("variant"), "fp")
+    keyed = keyed.repartition(shuffle_partitions(docs.sparkSession), "variant").sortWithinPartitions("variant")
+    links = map_batches(keyed, _links(max_bits), "a long, b long")
+    parts = connected_components(links)
+    linked = each.join(parts, each["fp"] == parts["node"]).select("fp", "component", "low")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lowest, "component").select("fp", "component", "component_id")
+    named = each.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
+    return fps.join(written(named, "components"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``; component_id is the smallest key reachable.
@@ -115,28 +131,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, text: st
     with a null key link too but never name a component that has a key;
     repeated rows stay. Other columns are ignored.
     """
-    fps = written(fingerprints(docs, words, text, key), "fingerprints")
-    each = written(fps.groupBy("fp").agg(F.min(key).alias("low")), "distinct-fingerprints")
-    keyed = variants(each.select("fp"), max_bits).select(F.xxhash64("bit", "part").alias("variant"), "fp")
-    keyed = keyed.repartition(shuffle_partitions(docs.sparkSession), "variant").sortWithinPartitions("variant")
-    links = map_batches(keyed, _links(max_bits), "a long, b long")
-    parts = connected_components(links)
-    linked = each.join(parts, each["fp"] == parts["node"]).select("fp", "component", "low")
-    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = linked.join(lowest, "component").select("fp", "component_id")
-    named = each.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    named = written(named, "components")
-    return fps.join(named, "fp").select(
+    return _grouped(docs, words, max_bits, text, key).select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, words: int = 4, max_bits: int = 4, text: str = "text",
                       key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key names their component: one document of each group, columns unchanged.
+    """One row of each component, columns unchanged: of the rows whose key names it, one of the smallest text hash.
 
-    Of repeated rows of that key one stays for each different text; rows without a key stay
-    when their component has no key at all.
+    A row without a key stays only if its component has no key at all. Which of several rows of equal key and text
+    stays is open.
     """
-    kept = near_duplicates(docs.select(key, text), words, max_bits, text, key)
-    kept = kept.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
+    rows = _grouped(docs, words, max_bits, text, key).where(F.col(key).eqNullSafe(F.col("component_id")))
+    rows = rows.groupBy("component", "text_hash").agg(F.min(key).alias("__kept"), F.count("*").alias("n"))
+    kept = rows.groupBy("component").agg(F.min(F.struct("text_hash", "__kept", "n")).alias("m")).select("m.*")
+    kept = written(kept, "kept")
+
+    def among(some: DataFrame) -> DataFrame:
+        same = docs[key].cast("long").eqNullSafe(some["__kept"]) & (F.xxhash64(docs[text]) == some["text_hash"])
+        return docs.join(some, same, "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return among(kept)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    once = among(repeated).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), row)
+    once = once.groupBy("k", "h").agg(F.first("row").alias("row")).select("row.*")
+    return among(kept.where("n = 1")).union(once)

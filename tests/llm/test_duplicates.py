@@ -112,6 +112,21 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert {r.doc_id for r in kept.collect()} == {k for k, c in component.items() if k == c}
 
 
+def test_one_row_of_each_group(spark, odd_docs):
+    """Repeated rows, several texts under one key, and rows without a key: of each component exactly one row stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "y"), (None, a, "x"), (2, None, "x"),
+            *[(9, d, f"s{i % 3}") for i in range(50)], (None, d, "x"), (None, d + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (3, b), (None, c), (2, None), (9, d)], key=str)
+    rows = odd_docs.collect()
+    f = np.array([brute_fingerprint(r.text) for r in rows], np.uint64)
+    part = groups(len(f), ((i, int(j)) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 4)))
+    assert simhash.one_of_each_group(odd_docs).count() == len(set(part))
+
+
 @pytest.mark.parametrize("bits", [0, 1, 4, 6])
 def test_links_of_fingerprints(spark, bits):
     """Every pair within the distance ends in one part, also in a crowd around one fingerprint, and no other."""
