@@ -19,6 +19,8 @@ KINDS = BASE + ADDED
 MIN_SCORE = 0.5
 #: Characters on either side in which context words count.
 NEAR = 40
+#: Characters that a secret's value has at least.
+MIN_SECRET = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -30,7 +32,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(
     r"(?<![A-Za-z0-9])(?:(?-i:AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"
-    r"|(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{8,128}+)", re.I)
+    r"|(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{%d,}+)" % MIN_SECRET, re.I)
 _CONTEXT = {
     "iban": re.compile(r"iban|account|bank|konto|cuenta|compte", re.I),
     "ssn": re.compile(r"ssn|social|security|tax", re.I),
@@ -95,6 +97,17 @@ _FIND = {
     "secret": _matching(_SECRET, lambda s: any(c.isdigit() for c in s)),
 }
 _DIGIT = re.compile("[0-9]")
+_VALUE = re.compile(r"[=:]\x20{0,3}[\"']?")
+
+
+def _left(text: str, a: int, b: int, over: list[tuple[int, int]]) -> int:
+    """Characters of a secret's value that no span of ``over`` takes."""
+    m = _VALUE.search(text, a, b)
+    at, n = m.end() if m else a, 0
+    for x, y in sorted(over):
+        n += max(0, x - at)
+        at = max(at, y)
+    return n + max(0, b - at)
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -102,7 +115,8 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
 
     Base kinds always have score 1. An added kind starts from its own score,
     gains 0.2 for a context word and loses 0.4 for a word against it within
-    ``NEAR`` characters, and counts from ``MIN_SCORE`` on unless it overlaps a base span.
+    ``NEAR`` characters, and counts from ``MIN_SCORE`` on unless it overlaps a base span;
+    a secret does all the same if ``MIN_SECRET`` characters of its value lie outside base spans.
     """
     if "@" not in text and not _DIGIT.search(text):
         return []
@@ -110,7 +124,8 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     more = []
     for k in ADDED:
         for a, b in _FIND[k](text):
-            if any(a < y and x < b for _, x, y, _ in base):
+            over = [(x, y) for _, x, y, _ in base if a < y and x < b]
+            if over and (k != "secret" or _left(text, a, b, over) < MIN_SECRET):
                 continue
             near = text[max(0, a - NEAR):a] + " " + text[b:b + NEAR]
             score = _START[k] + 0.2 * bool(_CONTEXT[k].search(near)) - 0.4 * bool(_AGAINST[k].search(near))

@@ -201,6 +201,19 @@ def test_added_spans_need_checksum_or_context():
     assert found("password=changeme") == set()
 
 
+def test_long_secrets_go_whole(spark):
+    """Credentials of any length are one span, also where a number inside looks like a base kind."""
+    token = "eyJhbGciOi" + "aB3_-x./+Z" * 29
+    ip = token[:200] + "/10.0.0.1/" + token[200:]
+    assert len(token) == 300 and pii.find(f"token={token} end")[-1][:3] == ("secret", 0, 306)
+    assert {s[0] for s in pii.find(f"token={ip} end")} == {"ip", "secret"}
+    assert [s[0] for s in pii.find("token=10.0.0.255 end")] == ["ip"]
+    docs = spark.createDataFrame([(1, f"use token={token} now", 320), (2, f'api_key: "{ip}" now', 0), (3, f"token={token}+1 (644) 555-7859.", 0),
+                                  (4, "token=" + "a1" * 100_000, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(docs).collect()}
+    assert got == {1: ("use <secret> now", 16), 2: ('<secret>" now', 13), 3: ("<secret>.", 9), 4: ("<secret>", 8)}
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 200_000, "1." * 100_000, "+1" * 50_000, "a@" * 50_000, "+1" + " 1" * 100_000):
         pii.find(text)
