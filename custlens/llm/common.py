@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,19 +63,24 @@ def by_bytes(texts: list[str], budget: int) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of its Python workers wherever it was started."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+    return spark
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package on the workers' path, wherever the session was started.
 
     Rows hold whole texts, so batches are kept to ``BATCH_ROWS`` unless the session sets a smaller number.
     """
-    spark = df.sparkSession
+    spark = importable(df.sparkSession)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    env = spark.sparkContext.environment
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
     return df.mapInArrow(fn, schema)
 
 
@@ -102,6 +107,29 @@ def with_row(rows: DataFrame, more: str) -> StructType:
     return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
 
 
+def sorted_rows(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` sorted over all partitions, and ``at``: a number that ascends by 1 within a partition and goes on rising
+    from partition to partition. Rows equal in ``order`` are split by their place in the input, so no key is one task."""
+    keys = [*order, "__tie"]
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.drop("__tie").withColumn("at", F.monotonically_increasing_id())
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``pos``, gapless from 0 within the non-null ``group`` in ``order``, and ``n``, the group's rows.
+
+    One range exchange of the rows; the counts that give each partition's offset are a row for each partition and group.
+    """
+    rows = written(sorted_rows(rows, group, *order).withColumn("part", F.shiftright("at", 33)), name)
+    runs = rows.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(group, "part", F.sum("c").over(whole).alias("n"),
+                       (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(runs, [group, "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+
+
 class Forest:
     """Union-find over integers; ``join`` tells whether it linked two trees."""
 
