@@ -33,9 +33,12 @@ from .sources.schemas import EXPORT_COLUMNS
 
 class CustomerAnalytics:
     def __init__(self, customers: DataFrame, transactions: DataFrame, engagement: DataFrame,
-                 as_of: datetime, materialize: bool = True, exact_distinct: bool = False):
-        """``exact_distinct`` counts distinct transaction ids instead of relying on the primary key."""
+                 as_of: datetime, materialize: bool = True, exact_distinct: bool = False,
+                 tx: DataFrame | None = None, eng: DataFrame | None = None):
+        """``exact_distinct`` counts distinct transaction ids instead of relying on the primary key.
+        ``tx``/``eng``: summaries that are kept up to date elsewhere (``operators.state``), instead of aggregating the facts."""
         self.C, self.T, self.E, self.as_of = customers, transactions, engagement, as_of
+        self._given = {"tx": tx, "eng": eng}
         self._materialize, self._exact = materialize, exact_distinct
         self._paths: list[str] = []
 
@@ -61,12 +64,14 @@ class CustomerAnalytics:
     @cached_property
     def tx(self) -> DataFrame:
         """Per-customer transaction summary (checkpointed once)."""
-        return self._keep(tx_by_customer(self.T, self._exact), "tx-summary")
+        given = self._given["tx"]
+        return given if given is not None else self._keep(tx_by_customer(self.T, self._exact), "tx-summary")
 
     @cached_property
     def eng(self) -> DataFrame:
         """Per-customer engagement summary (checkpointed once)."""
-        return self._keep(eng_by_customer(self.E), "eng-summary")
+        given = self._given["eng"]
+        return given if given is not None else self._keep(eng_by_customer(self.E), "eng-summary")
 
     @cached_property
     def wide(self) -> DataFrame:

@@ -21,6 +21,8 @@ operators are designed around:
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -67,8 +69,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; there is no substitute for it in any mode."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this process, may lack the setting; it gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder")
+        found = "file://" + tempfile.mkdtemp(prefix="custlens-")
+        sc.setCheckpointDir(found)
     return found.rstrip("/")

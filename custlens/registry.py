@@ -9,15 +9,20 @@ float summation order; the oracle applies the same rounding.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.normalize import normalize
 from .operators import queries as Q
+from .operators.state import SummaryState
 from .operators.summaries import tx_by_customer
+from .plans.session import checkpoint_dir
 from .sources import testmap
+from .sources.loads import open_table
 from .sources.tables import insert_or_ignore
 
 AS_OF = testmap.AS_OF
@@ -85,6 +90,40 @@ def _second_load(C, T, E):
 _reg("l04_insert_or_ignore", _second_load)
 
 
+def _scratch(df: DataFrame, name: str) -> str:
+    return f"{checkpoint_dir(df.sparkSession)}/custlens-{name}-{uuid.uuid4().hex}"
+
+
+def _second_keyed_load(C, T, E):
+    """L4 into a loaded table: the second load of ``_second_load``, given twice; the rows it added."""
+    new = T.withColumn("transaction_id", F.col("transaction_id") + 1_000_000_000)
+    batch = T.unionAll(new).unionAll(new.withColumn("amount", F.col("amount") + 5))
+    target = open_table(T.sparkSession, _scratch(T, "keyed"), "transactions", LOAD_BUCKETS)
+    for load_id, rows in (("first", T), ("second", batch), ("second", batch)):
+        target.insert_or_ignore(rows, load_id)
+    return target.read(only=lambda load: load.id == "second")
+
+
+_reg("l04_keyed_load", _second_keyed_load)
+
+#: The two loads of the state queries: dates before this day, and the rest.
+LOAD_DAY = date(1998, 1, 1)
+ENG_LOAD_DAY = date(2024, 1, 15)
+LOAD_BUCKETS = 8
+
+
+def _state(C, T, E) -> SummaryState:
+    state = SummaryState(T.sparkSession, _scratch(T, "state"), LOAD_BUCKETS)
+    late_t, late_e = F.col("transaction_date") >= LOAD_DAY, F.col("engagement_date") >= ENG_LOAD_DAY
+    state.add("first", T.where(~late_t), E.where(~late_e))
+    state.add("second", T.where(late_t | late_t.isNull()), E.where(late_e | late_e.isNull()))
+    return state
+
+
+_reg("s04_transaction_state", lambda C, T, E: _state(C, T, E).tx())
+_reg("s08_engagement_state", lambda C, T, E: _state(C, T, E).eng())
+
+
 def registry() -> dict[str, QueryFn]:
     from . import registry_profile  # noqa: F401  (registers P/R/A/C entries)
     return dict(_REGISTRY)
