@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import safe_div, scalar_fields
 from ..functions.ranking import percentiles
+from ..functions.selection import quantiles
 from ..plans.checks import bounded
+from ..plans.materialize import local_rows, once
 from .segments import value_counts
 
 _CID = "customer_id"
@@ -49,10 +52,11 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
     Bin edges ``lo + i * (hi - lo) / bins`` come from a one-row min/max
     aggregate (scalar subqueries); a value belongs to the bin between whose edges it lies.
-    The bin grid is generated from that one row.
+    The bin grid is generated from that one row.  The column is collapsed to (value, count) and written
+    once, so the rows are computed a single time and bounds and bins read that table.
     """
-    x = F.col(col).cast("double")
-    data = df.where(F.col(col).isNotNull()).select(x.alias("x"))
+    data = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    data = once(data, "values")
     bounds = data.agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
     lim = scalar_fields(bounds.select(
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
@@ -63,7 +67,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     # the edges decide, not the division's last bit
     idx = (F.when(F.col("x") < lo_s + idx * width, idx - 1)
            .when((idx < bins - 1) & (F.col("x") >= lo_s + (idx + 1) * width), idx + 1).otherwise(idx))
-    counts = data.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = data.groupBy(idx.alias("bin")).agg(F.sum("n").alias("count"))
     grid = (bounds.where(F.col("mn").isNotNull())
             .select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
     return (grid.join(counts, "bin", "left")
@@ -91,9 +95,15 @@ def _fenced(P: DataFrame, approx: bool) -> DataFrame:
     The quartiles are one row per segment; the table is checked to be
     small and broadcast, so customers are never shuffled by their segment."""
     base = P.where(F.col("clv_estimate").isNotNull() & F.col("customer_segment").isNotNull())
-    base = base.select(_CID, "customer_segment", "clv_estimate")
-    q = percentiles(base, "clv_estimate", [0.25, 0.5, 0.75], "customer_segment", ["q1", "median", "q3"], approx)
-    return base.join(F.broadcast(bounded(q, MAX_SEGMENTS)), "customer_segment")
+    base = once(base.select(_CID, "customer_segment", "clv_estimate"), "clv")
+    probs, names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if approx:
+        q = bounded(percentiles(base, "clv_estimate", probs, "customer_segment", names, approx), MAX_SEGMENTS)
+    else:  # at most selection.MAX_GROUPS rows
+        found = quantiles(base, ["clv_estimate"], probs, "customer_segment")
+        schema = T.StructType([base.schema["customer_segment"], *(T.StructField(n, T.DoubleType()) for n in names)])
+        q = local_rows(P.sparkSession, [(*g, *v) for (g, _), v in found.items()], schema)
+    return base.join(F.broadcast(q), "customer_segment")
 
 
 def _box(fenced: DataFrame) -> DataFrame:

@@ -2,19 +2,23 @@
 
 Pure functions ``profile -> DataFrame``; the reference mutates one pandas
 frame in place, here each question returns its own frame.  Exact order
-statistics (quartiles, medians, quintile edges, ranks, running sums) use
-``functions.ranking`` so no task ever holds a whole column or group.
+statistics (quartiles, medians, quintile edges, values at ranks) descend by histograms
+(``functions.selection``) over the needed columns, which are written once; running sums go over one sorted table.
+No task ever holds a whole column or group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.exprs import first_match, money_round, pd_round, safe_div, scalar_fields, with_scalar
-from ..functions.ranking import ordered_rank, pairs_at_ranks, percentiles, quantile_bin, values_at_ranks
+from ..functions.exprs import first_match, money_round, pd_round, safe_div, scalar_fields
+from ..functions.ranking import percentiles, quantile_bin
+from ..functions.selection import quantiles, rows_at_ranks, select_values
+from ..plans.materialize import local_rows, once, sorted_once
 
 _CID = "customer_id"
 
@@ -32,25 +36,30 @@ def shape_and_columns(P: DataFrame) -> DataFrame:
     return P.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(P.columns)).cast("long").alias("columns"))
 
 
+def _row(spark, values: dict) -> DataFrame:
+    """One row of doubles that the driver knows."""
+    return spark.range(1).select(*(F.lit(v).cast("double").alias(c) for c, v in values.items()))
+
+
 def describe(P: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, 25%, 50%, 75%, max per column
     (pandas ``describe``); quartiles are exact (linear interpolation).
 
-    The columns are stacked into (column, value) rows, so one aggregation and
-    one selection serve all of them."""
-    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    stacked = P.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                                           for c in cols))).alias("x")).select("x.*")
-    moments = stacked.groupBy("column").agg(
-        F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    quarts = percentiles(stacked, "value", [0.25, 0.5, 0.75], "column", ["25%", "50%", "75%"], approx)
-    both = moments.join(quarts, "column", "left")
-    row = both.groupBy().agg(*(F.max(F.when(F.col("column") == c, F.col(f"`{s}`"))).alias(f"{c}__{s}")
-                               for c in cols for s in stats))
-    body = ", ".join(f"'{s}', " + ", ".join(f"`{c}__{s}`" for c in cols) for s in stats)
-    names = ", ".join(["statistic", *cols])
-    return row.selectExpr(f"stack({len(stats)}, {body}) AS ({names})")
+    The columns are written once; one aggregation and one descent serve all of them."""
+    probs = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    rows = once(P.select(*(F.col(c).cast("double").alias(c) for c in cols)), "describe")
+    aggs = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = rows.agg(*(f(F.col(c)).alias(f"{s} {c}") for s, f in aggs.items() for c in cols)).first()
+    stats = {s: [row[f"{s} {c}"] for c in cols] for s in aggs}
+    if approx:
+        q = rows.agg(*(F.percentile_approx(F.col(c), list(probs.values()), 10000).alias(c) for c in cols)).first()
+        found = {((), c): list(q[c] or [None] * len(probs)) for c in cols}
+    else:
+        found = quantiles(rows, cols, list(probs.values()))
+    stats |= {s: [found[(), c][i] for c in cols] for i, s in enumerate(probs)}
+    order = ["count", "mean", "std", "min", *probs, "max"]
+    schema = T.StructType([T.StructField("statistic", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in cols)])
+    return local_rows(P.sparkSession, [(s, *stats[s]) for s in order], schema)
 
 
 def value_counts(P: DataFrame, col: str) -> DataFrame:
@@ -69,12 +78,18 @@ def high_value(P: DataFrame, min_spent: float = 100000, n: int | None = None) ->
 
 def segment_summary(P: DataFrame, approx: bool = False) -> DataFrame:
     """Count, sum, mean and exact median of spend per segment."""
-    agg = P.groupBy("customer_segment").agg(
+    rows = once(P.select("customer_segment", _CID, "total_spent"), "segment-spend")
+    agg = rows.groupBy("customer_segment").agg(
         F.count(_CID).alias("customer_id_count"),
         pd_round(F.sum("total_spent"), 2).alias("total_spent_sum"),
         pd_round(F.avg("total_spent"), 2).alias("total_spent_mean"))
-    med = percentiles(P, "total_spent", [0.5], "customer_segment", ["total_spent_median"], approx)
-    med = med.select(F.col("customer_segment").alias("__s"), money_round("total_spent_median", half_even=True).alias("total_spent_median"))
+    if approx:
+        med = percentiles(rows, "total_spent", [0.5], "customer_segment", ["m"], approx)
+    else:
+        found = quantiles(rows, ["total_spent"], [0.5], "customer_segment")
+        med = local_rows(P.sparkSession, [(*g, m) for (g, _), (m,) in found.items()],
+                                             T.StructType([rows.schema["customer_segment"], T.StructField("m", T.DoubleType())]))
+    med = med.select(F.col("customer_segment").alias("__s"), money_round("m", half_even=True).alias("total_spent_median"))
     return (agg.join(med, agg["customer_segment"].eqNullSafe(med["__s"]), "left").drop("__s")
             .orderBy("customer_segment"))
 
@@ -95,7 +110,11 @@ def top_by_clv(P: DataFrame, k: int = 10) -> DataFrame:
 
 def spend_percentiles(P: DataFrame, approx: bool = False) -> DataFrame:
     """25th, 50th and 75th percentile of spend (NumPy linear rule)."""
-    return percentiles(P, "total_spent", [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], approx=approx)
+    names, probs = ["p25", "p50", "p75"], [0.25, 0.5, 0.75]
+    if approx:
+        return percentiles(P, "total_spent", probs, names=names, approx=True)
+    found = quantiles(once(P.select("total_spent"), "spend"), ["total_spent"], probs)
+    return _row(P.sparkSession, dict(zip(names, found[(), "total_spent"])))
 
 
 def spending_category_col():
@@ -129,21 +148,18 @@ def rfm_quintiles(P: DataFrame, approx: bool = False) -> DataFrame:
     gives a null score.  ``approx=True`` takes the R and M edges from ``percentile_approx``.
     """
     probs = [0.2, 0.4, 0.6, 0.8]
-    both = P.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                                        for c in ("days_since_last_purchase", "total_spent")))).alias("x")).select("x.*")
-    edges = percentiles(both, "value", probs, "column", ["e1", "e2", "e3", "e4"], approx)
-    edges = edges.groupBy().agg(*(F.max(F.when(F.col("column") == c, F.col(f"e{i}"))).alias(f"{n}{i}")
-                                  for n, c in (("r", "days_since_last_purchase"), ("m", "total_spent")) for i in range(1, 5)))
-    r_bin = quantile_bin(F.col("days_since_last_purchase"), [F.col(f"__edge.r{i}") for i in range(1, 5)])
-    m_bin = quantile_bin(F.col("total_spent"), [F.col(f"__edge.m{i}") for i in range(1, 5)])
-    freq = F.col("purchase_frequency")
-    ranks = {f"f{i}": (lambda n, i=i: F.floor((n - 1) * i / 5) + 1) for i in range(1, 5)}
-    rows = pairs_at_ranks(P.select(_CID, "purchase_frequency"), "purchase_frequency", _CID, ranks)
-    rows = rows.groupBy().agg(*(F.max(F.when(F.col("name") == f, F.struct("value", "id"))).alias(f) for f in ranks))
-    past = [(freq > F.col(f"__at.{f}.value")) | ((freq == F.col(f"__at.{f}.value")) & (F.col(_CID) > F.col(f"__at.{f}.id")))
-            for f in ranks]
-    f_bin = F.when(freq.isNull(), None).otherwise(sum((p.cast("int") for p in past), F.lit(1)))
-    scored = with_scalar(with_scalar(P, edges, "__edge"), rows, "__at").select(
+    days, spent, freq = "days_since_last_purchase", "total_spent", "purchase_frequency"
+    rows = once(P.select(_CID, "customer_name", days, spent, freq), "rfm")
+    if approx:
+        q = rows.agg(*(F.percentile_approx(F.col(c).cast("double"), probs, 10000).alias(c) for c in (days, spent))).first()
+        edges = {((), c): list(q[c] or [None] * 4) for c in (days, spent)}
+    else:
+        edges = quantiles(rows, [days, spent], probs)
+    r_bin, m_bin = (quantile_bin(F.col(c), [F.lit(e).cast("double") for e in edges[(), c]]) for c in (days, spent))
+    at = rows_at_ranks(rows, freq, _CID, lambda n: {f"f{i}": (n - 1) * i // 5 + 1 for i in range(1, 5)})
+    past = [(F.col(freq) > F.lit(v)) | ((F.col(freq) == F.lit(v)) & (F.col(_CID) > F.lit(i))) for v, i in at.values()]
+    f_bin = F.when(F.col(freq).isNull(), None).otherwise(sum((p.cast("int") for p in past), F.lit(1)))
+    scored = rows.select(
         "customer_name", (6 - r_bin).cast("int").alias("R_score"), f_bin.cast("int").alias("F_score"),
                       m_bin.cast("int").alias("M_score"))
     return scored.withColumn("RFM_Score", F.concat(F.col("R_score").cast("string"), F.col("F_score").cast("string"),
@@ -184,37 +200,51 @@ def churn_signals(P: DataFrame, n: int | None = None) -> DataFrame:
 
 def pareto(P: DataFrame) -> DataFrame:
     """Customers by spend (desc, then id) with running revenue and its
-    percentage of the total; the running sum is distributed (ranking)."""
-    total = P.select(F.sum("total_spent")).scalar()
-    ranked = ordered_rank(P, "total_spent", _CID, descending=True, running_sum="total_spent",
-                          rank_col="__spend_rank", sum_col="cumulative_revenue")
-    return (ranked.orderBy("__spend_rank")
+    percentage of the total.
+
+    A distributed prefix sum: the rows go through one range exchange (sampled borders include the id, so a heavy
+    tie is split) and are written sorted; the sum of each part, one row a part, gives the parts' offsets;
+    the running sum within a part is a window over the written table, which is bucketed by part and not shuffled."""
+    rows = sorted_once(P.withColumn("__spend", F.col("total_spent").cast("double")), "pareto", F.desc_nulls_last("__spend"), F.col(_CID))
+    ends = {r["__part"]: r["s"] for r in rows.groupBy("__part").agg(F.sum("__spend").alias("s")).collect()}  # a row a part
+    offsets, total = {}, None
+    for part in sorted(ends):
+        offsets[part] = total
+        total = ends[part] if total is None else total + (ends[part] or 0.0)
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lit(None).cast("double")
+    if known := {k: v for k, v in offsets.items() if v is not None}:
+        before = F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("__part"))
+    mine = F.sum("__spend").over(inside)
+    running = F.when(before.isNull(), mine).otherwise(before + F.coalesce(mine, F.lit(0.0)))
+    return (rows.withColumn("cumulative_revenue", running).orderBy("__at")
             .select(*P.columns, "cumulative_revenue",
-                    (F.lit(100.0) * safe_div(F.col("cumulative_revenue"), total)).alias("cumulative_pct")))
+                    (F.lit(100.0) * safe_div(F.col("cumulative_revenue"), F.lit(total).cast("double"))).alias("cumulative_pct")))
 
 
 def top_share(P: DataFrame, share: float = 0.2) -> DataFrame:
     """Percentage of revenue from the top int(share * n) customers.
 
-    The k-th largest spend v* comes from a selection (no full sort); the
+    The k-th largest spend v* comes from a descent (no sort); the
     top-k revenue is then exactly ``sum(x > v*) + (k - count(x > v*)) * v*``,
     whichever of the customers tied at v* the reference's sort kept.
     """
-    stats = scalar_fields(P.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spent").alias("t")), ["n", "t"])
-    n, total = stats["n"], stats["t"]
-    k = F.floor(n * F.lit(float(share))).cast("long")
+    rows = once(P.select(F.col("total_spent").cast("double").alias("x")), "spend")
+    n = rows.count()
+    k = int(n * share)
     # k-th largest = ascending rank m - k + 1 among the m non-null spends
-    kth = values_at_ranks(P, "total_spent", {"v": lambda m: m - k + 1})
-    v_star = scalar_fields(kth.select("v"), ["v"])["v"]
-    x = F.col("total_spent")
-    above = P.agg(F.sum(F.when(x > v_star, x)).alias("s"), F.count_if(x > v_star).alias("c"),
-                  F.sum(x).alias("all"))
-    top = (F.when(k <= 0, F.lit(0.0))
-           .when(v_star.isNull(), F.coalesce(F.col("all"), F.lit(0.0)))  # k exceeds the non-null spends
-           .otherwise(F.coalesce(F.col("s"), F.lit(0.0)) + (k - F.col("c")).cast("double") * v_star))
-    return above.select(k.alias("top_customers"), top.alias("top_revenue")) \
-        .select("top_customers", "top_revenue",
-                (F.lit(100.0) * safe_div(F.col("top_revenue"), total)).alias("top_revenue_pct"))
+    found = select_values(rows, ["x"], lambda g, c, m: {"v": m - k + 1})[(), "x"]
+    v = found.value.get("v")
+    x = F.col("x")
+    above = rows.agg(F.sum("x").alias("total"), *([F.sum(F.when(x > v, x)).alias("s"), F.count_if(x > v).alias("c")] if v is not None else []))
+    if k <= 0:
+        top = F.lit(0.0)
+    elif v is None:  # k exceeds the non-null spends
+        top = F.coalesce(F.col("total"), F.lit(0.0))
+    else:
+        top = F.coalesce(F.col("s"), F.lit(0.0)) + (F.lit(k) - F.col("c")).cast("double") * v
+    return above.select(F.lit(k).cast("long").alias("top_customers"), top.alias("top_revenue"),
+                        (F.lit(100.0) * safe_div(top, F.col("total"))).alias("top_revenue_pct"))
 
 
 def channel_roi(P: DataFrame) -> DataFrame:
