@@ -32,16 +32,27 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(
     r"(?<![A-Za-z0-9])(?:(?-i:AKIA[A-Z0-9]{16})(?![A-Za-z0-9])"
-    r"|(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{%d,}+)" % MIN_SECRET, re.I)
+    r"|(?-i:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+)"
+    r"|bearer\x20{1,3}[A-Za-z0-9_.~+/-]{16,}+=*+"
+    r"|(?:password|passwd|pwd|secret|token|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{%d,}+)"
+    # a private key goes whole; the text in it holds no dashes, so nothing is looked through twice
+    r"|(?-i:-----BEGIN [A-Z\x20]{0,30}PRIVATE KEY-----(?:[^-]|-(?!----))*+-----END [A-Z\x20]{0,30}PRIVATE KEY-----)" % MIN_SECRET, re.I)
+
+
+def _words(words: str) -> re.Pattern:
+    """Whole words only: ``part`` is not in ``department``; digits and underscores end a word too."""
+    return re.compile(rf"(?<![^\W\d_])(?:{words})(?![^\W\d_])", re.I)
+
+
 _CONTEXT = {
-    "iban": re.compile(r"iban|account|bank|konto|cuenta|compte", re.I),
-    "ssn": re.compile(r"ssn|social|security|tax", re.I),
-    "secret": re.compile(r"key|secret|token|pass|login|credential", re.I),
+    "iban": _words("ibans?|accounts?|bank|banking|kontos?|cuentas?|comptes?"),
+    "ssn": _words("ssns?|social|security|tax|taxes"),
+    "secret": _words("keys?|secrets?|tokens?|pass|passwords?|passwd|login|logins|credentials?|authorization"),
 }
 _AGAINST = {
-    "iban": re.compile(r"order|serial|part", re.I),
-    "ssn": re.compile(r"order|invoice|part|sku|isbn", re.I),
-    "secret": re.compile(r"example|sample|placeholder|dummy", re.I),
+    "iban": _words("orders?|serials?|parts?"),
+    "ssn": _words("orders?|invoices?|parts?|skus?|isbn"),
+    "secret": _words("examples?|samples?|placeholders?|dummy"),
 }
 #: Score of a confirmed span without context. A number pattern without checksum needs a context word.
 _START = {"iban": 0.8, "ssn": 0.3, "secret": 0.7}
