@@ -47,6 +47,48 @@ def spend_frequency_points(P: DataFrame) -> DataFrame:
     return P.select(_CID, "purchase_frequency", "total_spent", "engagement_score")
 
 
+def spend_frequency_grid(P: DataFrame, max_customers: int = 10_000, depth: int = 8) -> DataFrame:
+    """C4 at any size: an adaptive grid (quadtree) over frequency and spend with the customers and mean engagement of each cell.
+
+    The square between the smallest and largest values is parted into four while a cell holds more than
+    ``max_customers``, ``depth`` times at most; cells in (level, cell_x, cell_y) of that level's grid, with their borders, are the
+    leaves that hold a customer.  The customers of all cells add up to those that have both values.  The rows are read twice: for
+    the extremes and for the counts of the finest grid (4^depth cells at most); the tree is built of these counts.
+    """
+    if not 0 <= depth <= 10:
+        raise ValueError("depth is 0 to 10")
+    x, y = F.col("purchase_frequency").cast("double"), F.col("total_spent").cast("double")
+    points = once(P.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y"), F.col("engagement_score").alias("e")), "points")
+    lim = points.agg(*(f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    side = 1 << depth
+
+    def cell(c: str):
+        lo, width = F.lit(lim[f"{c}_lo"]), F.nullif(F.lit(lim[f"{c}_hi"]) - F.lit(lim[f"{c}_lo"]), F.lit(0.0))
+        share = F.coalesce((F.col(c) - lo) / width, F.lit(0.0))
+        return F.least(F.floor(share * side), F.lit(side - 1)).cast("int")
+
+    finest = points.groupBy(cell("x").alias("ix"), cell("y").alias("iy")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.count("e").alias("m"))
+    finest = once(finest, "grid").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    up = F.lit(depth) - F.col("level")
+    at = [F.call_function("shiftright", F.col(c), up).alias(k) for c, k in (("ix", "cell_x"), ("iy", "cell_y"))]
+    cells = finest.groupBy("level", *at).agg(F.sum("n").alias("customers"), (F.sum("s") / F.nullif(F.sum("m"), F.lit(0))).alias("engagement_mean"))
+    whole = cells.where(F.col("customers") > max_customers).select(
+        (F.col("level") + 1).alias("pl"), F.col("cell_x").alias("px"), F.col("cell_y").alias("py"))
+    parted = ((F.col("level") == F.col("pl")) & (F.call_function("shiftright", "cell_x", F.lit(1)) == F.col("px"))
+              & (F.call_function("shiftright", "cell_y", F.lit(1)) == F.col("py")))
+    leaves = cells.where((F.col("customers") <= max_customers) | (F.col("level") == depth))
+    leaves = leaves.where("level = 0").unionAll(leaves.join(whole, parted, "left_semi"))
+
+    def border(c: str, k: int):
+        lo, hi = F.lit(lim[f"{c}_lo"]), F.lit(lim[f"{c}_hi"])
+        return lo + (hi - lo) * ((F.col(f"cell_{c}") + k) / F.pow(F.lit(2.0), F.col("level")))
+
+    return leaves.select("level", "cell_x", "cell_y", border("x", 0).alias("frequency_from"), border("x", 1).alias("frequency_to"),
+                         border("y", 0).alias("spend_from"), border("y", 1).alias("spend_to"), "customers", "engagement_mean") \
+        .orderBy("level", "cell_x", "cell_y")
+
+
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width histogram with empty bins filled: (bin, bin_start, bin_end, count).
 

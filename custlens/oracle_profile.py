@@ -353,6 +353,30 @@ F["c03_value_segment_counts"] = (_counts("value_segment"), [])
 F["c04_spend_frequency_points"] = ("""
 SELECT customer_id, purchase_frequency, total_spent, engagement_score FROM profile""",
     ["purchase_frequency", "total_spent", "engagement_score"])
+F["c04_spend_frequency_grid"] = ("""
+SELECT * FROM (
+WITH RECURSIVE lim AS (
+  SELECT min(purchase_frequency) AS xl, max(purchase_frequency) AS xh, min(total_spent) AS yl, max(total_spent) AS yh
+  FROM profile WHERE purchase_frequency IS NOT NULL AND total_spent IS NOT NULL),
+points AS (
+  SELECT engagement_score AS e,
+         CAST(least(floor(coalesce((purchase_frequency - xl) / nullif(xh - xl, 0), 0) * 64), 63) AS INTEGER) AS ix,
+         CAST(least(floor(coalesce((total_spent - yl) / nullif(yh - yl, 0), 0) * 64), 63) AS INTEGER) AS iy
+  FROM profile, lim WHERE purchase_frequency IS NOT NULL AND total_spent IS NOT NULL),
+opened AS (
+  SELECT 0 AS level, 0 AS cx, 0 AS cy, count(*) AS n FROM points HAVING count(*) > 0
+  UNION ALL
+  SELECT level, cx, cy, n FROM (
+    SELECT o.level + 1 AS level, ix >> (5 - o.level) AS cx, iy >> (5 - o.level) AS cy, count(*) AS n
+    FROM opened o JOIN points p ON ix >> (6 - o.level) = o.cx AND iy >> (6 - o.level) = o.cy
+    WHERE o.n > 20 AND o.level < 6 GROUP BY o.level, ix >> (5 - o.level), iy >> (5 - o.level)))
+SELECT CAST(level AS INTEGER) AS level, CAST(cx AS INTEGER) AS cell_x, CAST(cy AS INTEGER) AS cell_y,
+       any_value(xl + (xh - xl) * (cx / pow(2.0, level))) AS frequency_from, any_value(xl + (xh - xl) * ((cx + 1) / pow(2.0, level))) AS frequency_to,
+       any_value(yl + (yh - yl) * (cy / pow(2.0, level))) AS spend_from, any_value(yl + (yh - yl) * ((cy + 1) / pow(2.0, level))) AS spend_to,
+       count(*) AS customers, favg(e) AS engagement_mean
+FROM opened JOIN points ON ix >> (6 - level) = cx AND iy >> (6 - level) = cy, lim
+WHERE n <= 20 OR level = 6 GROUP BY level, cx, cy)""",
+    ["frequency_from", "frequency_to", "spend_from", "spend_to", "engagement_mean"])
 F["c05_recency_histogram"] = (_hist("days_since_last_purchase", 30, "days_since_last_purchase < 365"),
                               ["bin_start", "bin_end"])
 F["c06_engagement_by_segment"] = ("""
@@ -390,6 +414,27 @@ SELECT customer_segment, fsum(total_spent) AS total_spent_sum FROM profile
 WHERE customer_segment IS NOT NULL GROUP BY customer_segment""", ["total_spent_sum"])
 
 
+def _pack(name: str, bodies: dict[str, str]) -> str:
+    """Cells of each sheet's own statement."""
+    from .registry_profile import PACKS
+    parts = []
+    for sheet, (item, metrics) in PACKS[name].items():
+        cells = [f"{{'metric': '{m}', 'text': CAST(NULL AS VARCHAR), 'value': CAST({m} AS DOUBLE)}}" for m in metrics]
+        cells = cells or ["{'metric': 'Value', 'text': \"Value\", 'value': CAST(NULL AS DOUBLE)}"]
+        parts.append(f"SELECT '{sheet}' AS sheet, CAST({item} AS VARCHAR) AS item, unnest([{', '.join(cells)}], recursive := true) "
+                     f"FROM ({bodies[sheet]})")
+    return "\nUNION ALL\n".join(parts)
+
+
+F["l07_report_pack"] = (_pack("l07_report_pack", {
+    "Customer Data": "SELECT * FROM profile", "Segment_Analysis": F["r01_segment_analysis"][0], "Churn_Risk": F["r02_churn_risk_report"][0],
+    "Value_Segment": F["r03_value_segment_report"][0], "Channel": F["r04_channel_report"][0],
+    "Executive Summary": F["r05_executive_summary"][0]}), ["value"])
+F["l08_custom_pack"] = (_pack("l08_custom_pack", {
+    "Summary": F["r06_custom_summary"][0], "Top Customers": F["r07_top_by_spend"][0], "At Risk Customers": F["r08_at_risk"][0],
+    "Segment Analysis": F["r09_segment_engagement"][0]}), ["value"])
+
+
 # name -> (SQL whose WITH clause carries the profile CTEs, DOUBLE columns)
 PROFILE_FAMILY_SQL: dict[str, tuple[str, list[str]]] = {
     name: (body, dcols) for name, (body, dcols) in F.items()

@@ -13,9 +13,11 @@ from .operators import charts as Ch
 from .operators import profile as Pr
 from .operators import reports as Rp
 from .operators import segments as Sg
-from .registry import AS_OF, _reg
+from .plans.materialize import once
+from .registry import AS_OF, _reg, _scratch
 from .registry import _reg_uncut
 from .sources.schemas import CSV_OPTIONS, EXPORT_COLUMNS, EXPORT_SHORT_COLUMNS, PROFILE_CSV
+from .sources.sinks import ReportPack, custom_sheets, report_sheets
 
 
 def _profile(C, T, E):
@@ -46,6 +48,46 @@ def _through_csv(P, columns):
     return P.select(F.from_csv(line, schema, CSV_OPTIONS).alias("r")).select("r.*")
 
 
+#: Sheets of the packs: the column that names a line, and its numeric columns that are compared (none: the text ``Value``).
+PACKS = {
+    "l07_report_pack": {
+        "Customer Data": ("customer_id", ["total_spent", "total_transactions", "purchase_frequency", "engagement_score", "clv_estimate"]),
+        "Segment_Analysis": ("customer_segment", ["customer_id_count", "total_spent_sum", "total_spent_mean", "purchase_frequency_mean", "engagement_score_mean"]),
+        "Churn_Risk": ("churn_risk", ["customer_id_count", "total_spent_mean", "engagement_score_mean"]),
+        "Value_Segment": ("value_segment", ["customer_id_count", "total_spent_sum", "total_spent_mean", "purchase_frequency_mean"]),
+        "Channel": ("acquisition_channel", ["customer_id_count", "total_spent_sum", "total_spent_mean", "engagement_score_mean"]),
+        "Executive Summary": ("Metric", [])},
+    "l08_custom_pack": {
+        "Summary": ("Metric", []), "Top Customers": ("customer_name", ["total_spent", "clv_estimate"]),
+        "At Risk Customers": ("customer_name", ["total_spent", "days_since_last_purchase", "engagement_score"]),
+        "Segment Analysis": ("customer_segment", ["customer_id_count", "total_spent_sum", "total_spent_mean", "engagement_score_mean"])},
+}
+
+
+def _pack(name, sheets):
+    """(sheet, item, metric, text, value): the cells of a pack that was committed and is read again from its files."""
+    df = next(iter(sheets.values()))
+    pack = ReportPack(df.sparkSession, _scratch(df, "pack"))
+    pack.commit(sheets)
+    out = None
+    for sheet in pack.sheets():
+        item, metrics = PACKS[name][sheet]
+        text, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+        cells = [F.struct(F.lit(m).alias("metric"), text.alias("text"), F.col(m).cast("double").alias("value")) for m in metrics]
+        cells = cells or [F.struct(F.lit("Value").alias("metric"), F.col("Value").alias("text"), none.alias("value"))]
+        rows = pack.read(sheet).select(F.lit(sheet).alias("sheet"), F.col(item).cast("string").alias("item"), F.explode(F.array(*cells)).alias("c"))
+        rows = rows.select("sheet", "item", "c.*")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _stored(P):
+    """Several sheets read the profile: it is written once."""
+    return once(P, "profile")
+
+
+_on_profile("l07_report_pack", lambda P: _pack("l07_report_pack", (lambda S: report_sheets(S, Rp.generate_reports(S)))(_stored(P))))
+_on_export("l08_custom_pack", lambda P: _pack("l08_custom_pack", custom_sheets(_stored(P))))
 _reg("l05_export", lambda C, T, E: _through_csv(_profile(C, T, E), EXPORT_COLUMNS))
 _reg("l06_export_short", lambda C, T, E: _through_csv(_profile(C, T, E), EXPORT_SHORT_COLUMNS))
 _reg("p12_process_metrics", _profile)
@@ -91,6 +133,7 @@ _on_profile("c01_customers_by_segment", Ch.customers_by_segment)
 _on_profile("c02_churn_distribution", Ch.churn_distribution)
 _on_profile("c03_value_segment_counts", Ch.value_segment_counts)
 _on_profile("c04_spend_frequency_points", Ch.spend_frequency_points)
+_on_profile("c04_spend_frequency_grid", lambda P: Ch.spend_frequency_grid(P, 20, 6))
 _on_profile("c05_recency_histogram", lambda P: Ch.recency_histogram(P, 30, 365))
 _on_profile("c06_engagement_by_segment", Ch.engagement_by_segment)
 _on_profile("c07_clv_box_stats", Ch.clv_box_stats)

@@ -19,7 +19,6 @@ Spark reads bucketed files through a catalog table; one is made per version unde
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .manifest import CommitConflict, Manifest
 from .schemas import PRIMARY_KEYS, TABLE_SCHEMAS
 from .tables import insert_or_ignore
 
@@ -45,10 +45,6 @@ class Load:
     high: str | None
 
 
-class CommitConflict(RuntimeError):
-    """Another writer committed the version that was to be committed."""
-
-
 def _ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
@@ -62,53 +58,30 @@ class LoadedTable:
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, buckets: int = 64):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         self._tables: list[str] = []
-        first = self._read(0)
+        self._manifest = Manifest(spark, path)
+        first = self._manifest.read(0)
         if first is None:
             first = {"buckets": buckets, "key": key, "schema": schema.jsonValue(), "loads": []}
             try:
-                self._create(0, first)
+                self._manifest.create(0, first)
             except CommitConflict:
-                first = self._read(0)
+                first = self._manifest.read(0)
         if first["key"] != key or StructType.fromJson(first["schema"]).simpleString() != schema.simpleString():
             raise ValueError(f"{path} is a table of another key or schema")
         self.buckets = first["buckets"]
 
     # ------------------------------------------------------------------ manifest
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _read(self, version: int) -> dict | None:
-        at = self._path("_manifest", f"{version:012d}.json")
-        if not self._fs().exists(at):
-            return None
-        return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
-
-    def _create(self, version: int, content: dict) -> None:
-        """The manifest file appears whole or not at all: written aside, then renamed to a name that must be free."""
-        fs, at = self._fs(), self._path("_manifest", f"{version:012d}.json")
-        aside = self._path("_manifest", f".{uuid.uuid4().hex}")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
-        if fs.exists(at) or not fs.rename(aside, at):
-            fs.delete(aside, False)
-            raise CommitConflict(at.toString())
-
     @property
     def version(self) -> int:
-        names = [f.getPath().getName() for f in self._fs().listStatus(self._path("_manifest"))]
-        return max(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+        return self._manifest.versions()[-1]
 
     def loads(self, version: int | None = None) -> list[Load]:
-        return [Load(**x) for x in self._read(self.version if version is None else version)["loads"]]
+        return [Load(**x) for x in self._manifest.read(self.version if version is None else version)["loads"]]
 
     def commit(self, base: int, loads: list[Load]) -> None:
         """Make ``loads`` the table, if ``base`` is still its version."""
-        first = self._read(0)
-        self._create(base + 1, {**first, "loads": [asdict(x) for x in loads]})
+        first = self._manifest.read(0)
+        self._manifest.create(base + 1, {**first, "loads": [asdict(x) for x in loads]})
 
     # --------------------------------------------------------------------- reading
     def _table(self, loads: list[Load]) -> DataFrame:
@@ -204,10 +177,9 @@ class LoadedTable:
     def vacuum(self) -> list[str]:
         """Delete the folders that the last version does not need; not while a load or a reader of an older version runs."""
         wanted = {x.folder for x in self.loads() if x.rows}
-        found = [f.getPath().getName() for f in self._fs().listStatus(self._path())]
-        gone = [n for n in found if n.startswith("load=") and n not in wanted]
+        gone = [n for n in self._manifest.folders("load=") if n not in wanted]
         for n in gone:
-            self._fs().delete(self._path(n), True)
+            self._manifest.delete(n)
         return gone
 
 
