@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .functions.normalize import normalize
 from .operators import queries as Q
+from .operators import sketches
 from .operators.state import SummaryState
 from .operators.summaries import tx_by_customer
 from .plans.session import checkpoint_dir
 from .sources import testmap
+from .sources.checked import checked, quarantine_of
 from .sources.loads import open_table
 from .sources.tables import insert_or_ignore
 
@@ -124,6 +126,23 @@ _reg("s04_transaction_state", lambda C, T, E: _state(C, T, E).tx())
 _reg("s08_engagement_state", lambda C, T, E: _state(C, T, E).eng())
 
 
+
+def _spoilt(T):
+    """Transactions as text, with dates, amounts, quantities and keys that do not parse."""
+    i = F.col("transaction_id")
+    return T.select(*(F.col(c).cast("string").alias(c) for c in T.columns if c != "transaction_id"), i).withColumns({
+        "transaction_date": F.when(i % 97 == 1, "2024-02-31").when(i % 97 == 2, "yesterday").otherwise(F.col("transaction_date")),
+        "amount": F.when(i % 89 == 3, "n/a").when(i % 89 == 4, "1e999").otherwise(F.col("amount")),
+        "quantity": F.when(i % 83 == 5, "2.5").when(i % 83 == 6, "3000000000").otherwise(F.col("quantity")),
+        "transaction_id": F.when(i % 101 == 7, F.concat(F.lit("T"), i)).otherwise(i.cast("string"))})
+
+
+_reg("l02_quarantine", lambda C, T, E: quarantine_of(checked(_spoilt(T), "transactions"), "transactions"))
+_reg("l02_checked_rows", lambda C, T, E: checked(_spoilt(T), "transactions").where("transaction_id IS NOT NULL").drop("__problems"))
+_reg("s23_buyers_kept", lambda C, T, E: sketches.buyers_kept_exact(T))
+_reg("s23_buyers_kept_theta", lambda C, T, E: sketches.buyers_kept(sketches.category_buyers(T)))  # exact up to 65,536 buyers
+
+
 def registry() -> dict[str, QueryFn]:
     from . import registry_profile  # noqa: F401  (registers P/R/A/C entries)
     return dict(_REGISTRY)
