@@ -23,32 +23,71 @@ MISS = 1e-6
 #: Templates are broadcast; more than these are an error.
 MAX_TEMPLATES = 10_000
 
-#: Notices that public licences ask for.
+#: Notices that public licences ask for, and whole texts of the short ones.
 TEMPLATES = {
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "bsd-3-names": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."),
     "bsd-redistribution": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"),
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or "
+        "neighboring rights to this work."),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "gpl-2.0": "either version 2 of the License, or (at your option) any later version",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation"),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
+        "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation"),
     "mit": "Released under the MIT License.",
     "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "no-warranty": (
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
         "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software"),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software."),
 }
 
 
@@ -144,11 +183,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
         guarded |= F.col("t").contains(g)
     rows = rows.where(guarded).select("id", "text_hash", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
     rows = rows.where(F.size("w") >= SHINGLE)
-    # windows of every class: start at each multiple of its size, until one reaches the end
-    starts = F.flatten(F.array(*map(_starts, bands)))
-    rows = rows.select("id", "text_hash", "w", F.explode(starts).alias("p")).select(
-        "id", "text_hash", "p.size", "p.at", F.slice("w", F.col("p.at") + 1, F.col("p.size") * 2 + SHINGLE - 1).alias("w"))
-    rows = rows.where((F.size("w") >= SHINGLE) & F.arrays_overlap("w", F.array(*map(F.lit, guards))))
+    # windows of every class, cut before they become rows: a row holds its window, never the whole text
+    marks = F.array(*map(F.lit, guards))
+    windows = F.filter(F.flatten(F.array(*map(_windows, bands))), lambda p: F.arrays_overlap(p["w"], marks))
+    rows = rows.select("id", "text_hash", F.explode(windows).alias("p")).select("id", "text_hash", "p.size", "p.at", "p.w")
     rows = rows.withColumn("has", F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, F.lit(SHINGLE)))))))
     rows = rows.select("id", "text_hash", "size", "at", "has", F.posexplode(
@@ -163,6 +201,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
                         F.col("first_word").cast("long").alias("first_word"))
 
 
-def _starts(size: int) -> Column:
+def _windows(size: int) -> Column:
+    """(size, at, w): windows that start at each multiple of ``size``, until one reaches the end."""
     last = F.greatest(F.lit(0), F.floor((F.size("w") - SHINGLE) / F.lit(size)).cast("int") * size)
-    return F.transform(F.sequence(F.lit(0), last, F.lit(size)), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at")))
+    return F.transform(F.sequence(F.lit(0), last, F.lit(size)), lambda i: F.struct(
+        F.lit(size).alias("size"), i.alias("at"), F.slice("w", i + 1, F.lit(2 * size + SHINGLE - 1)).alias("w")))
