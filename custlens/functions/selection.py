@@ -1,13 +1,14 @@
 """Values at ranks by descent: several columns, groups and ranks in one histogram pass a level.
 
 The rows are a projection that can be read again at little cost (``plans.materialize.once``).  The first
-pass takes count, minimum and maximum of every column and group.  Each further pass parts the interval that holds a
-wanted rank into ``BUCKETS`` parts, counts them, and goes on with the extremes of the part that holds the rank; it ends where
-smallest and largest are equal.  The first pass over doubles parts a logarithmic scale, the next ones a linear one, so a level
-divides the range by ``BUCKETS``; a part never holds both ends of its interval, so the descent ends on any data, however
+pass takes count, minimum and maximum of every column and group.  Each further pass parts every interval that holds a
+wanted rank, counts the parts, and goes on with the extremes of the part that holds the rank; it ends where
+smallest and largest are equal.  The first pass over doubles parts a logarithmic scale, the next ones a linear one; a part never
+holds both ends of its interval, so the descent ends on any data, however
 crowded.  Nothing is sorted, a tie of any size is one count, and a task holds counts only.
 
-The driver holds the wanted ranks: columns x groups x ranks, with at most ``MAX_GROUPS`` groups (more is an error).
+An interval has ``MOST_PARTS`` parts, fewer if there are many intervals: a pass brings about ``COUNTS`` counts to the driver, which
+adds them up.  Its bound is ``MAX_GROUPS`` groups (more is an error) x columns x ranks x ``LEAST_PARTS``.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.materialize import local_rows
 
-BUCKETS = 1 << 16
-MAX_GROUPS = 100_000
-
-_ASKED = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("rank", T.LongType())])
+MOST_PARTS, LEAST_PARTS, COUNTS = 1 << 12, 1 << 5, 1 << 16
+MAX_GROUPS = 4096
 
 #: (group, column, non-null rows) -> wanted 1-based ascending ranks by name.
 RanksOf = Callable[[tuple, str, int], dict[str, int]]
@@ -51,23 +50,21 @@ class _Open:
     before: int = 0
 
 
-def _spread(x):
+def _spread(x: str) -> str:
     """Monotone and logarithmic over all doubles: 0 at 0, 2 at the smallest positive one, infinity a step above the largest."""
-    size = F.abs(x)
-    scale = F.log2(F.least(size, F.lit(1.7e308))) + 1076 + F.when(size == float("inf"), 1.0).otherwise(0.0)
-    return F.coalesce(F.signum(x) * scale, F.lit(0.0))
+    return (f"coalesce(signum({x}) * (log2(least(abs({x}), 1.7e308D)) + 1076D "
+            f"+ if(abs({x}) = double('infinity'), 1D, 0D)), 0D)")
 
 
-def _part(whole: bool):
-    """Part of ``x`` between ``low`` and ``high``, 0 to BUCKETS - 1; monotone, the ends never share a part on the linear scale."""
-    x, low, high = F.col("x"), F.col("low"), F.col("high")
+def _part(whole: bool, parts: int) -> Column:
+    """Part of ``x`` between ``low`` and ``high``, 0 to ``parts`` - 1; monotone, the ends never share a part on the linear scale."""
     if whole:
-        x, low, high = (c.cast("decimal(20,0)") for c in (x, low, high))
-        share = (x - low).cast("double") / F.nullif((high - low).cast("double"), F.lit(0.0))
+        x, low, high = (f"cast({c} AS decimal(20,0))" for c in ("x", "low", "high"))
+        share = f"double({x} - {low}) / double({high} - {low})"
     else:
-        width = F.nullif(_spread(high) - _spread(low), F.lit(0.0))
-        share = F.when(F.col("log"), (_spread(x) - _spread(low)) / width).otherwise((x - low) / F.nullif(high - low, F.lit(0.0)))
-    return F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("long")
+        width = f"nullif({_spread('high')} - {_spread('low')}, 0D)"
+        share = f"if(log, ({_spread('x')} - {_spread('low')}) / {width}, (x - low) / nullif(high - low, 0D))"
+    return F.expr(f"int(coalesce(least(floor(({share}) * {parts}), {parts - 1}), 0))")
 
 
 def select_values(rows: DataFrame, columns: Sequence[str], ranks_of: RanksOf,
@@ -110,25 +107,27 @@ def select_values(rows: DataFrame, columns: Sequence[str], ranks_of: RanksOf,
         if not todo:
             return out
         index: dict[tuple, int] = {}
-        wanted = []
-        for k, t in enumerate(todo):
-            i = index.setdefault((t.group, t.column, t.low, t.high), len(index))
-            wanted.append((i, k, t.rank - t.before))
+        of = [index.setdefault((t.group, t.column, t.low, t.high), len(index)) for t in todo]
         lines = [(*g, columns.index(c), low, high, level == 0 or not math.isfinite(float(high) - float(low)), i)
                  for (g, c, low, high), i in index.items()]
         here = local_rows(spark, lines, T.StructType(types))
-        on = F.lit(True) & (stacked["c"] == here["c"]) & stacked["x"].between(here["low"], here["high"])
+        on = (stacked["c"] == here["c"]) & stacked["x"].between(here["low"], here["high"])
         for k in keys:
             on &= stacked[k].eqNullSafe(here[k])
-        near = stacked.join(F.broadcast(here), on).select("i", "x", here["low"], here["high"], "log")  # a row a wanted rank
-        counts = near.groupBy("i", _part(whole).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        upto = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = counts.withColumn("upto", F.sum("n").over(upto))
-        asked = F.broadcast(local_rows(spark, wanted, _ASKED))
-        hit = counts.join(asked, "i").where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-        for r in hit.select("k", "lo", "hi", (F.col("upto") - F.col("n")).alias("less")).collect():
-            t = todo[r["k"]]
-            t.low, t.high, t.before = r["lo"], r["hi"], t.before + r["less"]
+        near = stacked.join(F.broadcast(here), on)  # a row a wanted rank at most
+        parts = max(LEAST_PARTS, min(MOST_PARTS, COUNTS // len(index)))
+        counts = near.groupBy("i", _part(whole, parts).alias("part")).agg(F.expr("count(1) AS n"), F.expr("min(x) AS lo"), F.expr("max(x) AS hi"))
+        found: dict[int, list] = {}
+        for r in sorted(counts.collect()):
+            found.setdefault(r[0], []).append(r)
+        for t, i in zip(todo, of):
+            rank = t.rank - t.before
+            for _, _, n, lo, hi in found[i]:
+                if rank <= n:
+                    t.low, t.high = lo, hi
+                    break
+                rank -= n
+                t.before += n
         level += 1
 
 
