@@ -122,8 +122,8 @@ def _state(C, T, E) -> SummaryState:
     return state
 
 
-_reg("s04_transaction_state", lambda C, T, E: _state(C, T, E).tx())
-_reg("s08_engagement_state", lambda C, T, E: _state(C, T, E).eng())
+_reg("p01_transaction_state", lambda C, T, E: _state(C, T, E).tx())
+_reg("p01_engagement_state", lambda C, T, E: _state(C, T, E).eng())
 
 
 
@@ -139,8 +139,8 @@ def _spoilt(T):
 
 _reg("l02_quarantine", lambda C, T, E: quarantine_of(checked(_spoilt(T), "transactions"), "transactions"))
 _reg("l02_checked_rows", lambda C, T, E: checked(_spoilt(T), "transactions").where("transaction_id IS NOT NULL").drop("__problems"))
-_reg("s23_buyers_kept", lambda C, T, E: sketches.buyers_kept_exact(T))
-_reg("s23_buyers_kept_theta", lambda C, T, E: sketches.buyers_kept(sketches.category_buyers(T)))  # exact up to 65,536 buyers
+_reg("q23_buyers_kept", lambda C, T, E: sketches.buyers_kept_exact(T))
+_reg("q23_buyers_kept_theta", lambda C, T, E: sketches.buyers_kept(sketches.category_buyers(T)))  # exact up to 65,536 buyers
 
 
 def registry() -> dict[str, QueryFn]:
