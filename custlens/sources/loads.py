@@ -87,7 +87,7 @@ class LoadedTable:
     def _table(self, loads: list[Load]) -> DataFrame:
         name = f"custlens_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} ({_ddl(self.schema)}, `{_LOAD}` STRING) USING parquet PARTITIONED BY (`{_LOAD}`) "
-                       f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{self.path}/_none'")
+                       f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
         self._tables.append(name)
         parts = " ".join(f"PARTITION (`{_LOAD}` = '{x.folder}') LOCATION '{self.path}/{x.folder}'" for x in loads if x.rows)
         if parts:

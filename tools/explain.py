@@ -20,10 +20,11 @@ CASES = {
     "c01_customers_by_segment": "the profile pruned to customers: no fact table is read",
     "s15_segment_performance": "fan-out weights and dates from one aggregation of engagement",
     "s20_recently_active": "the 30-day rule as a pushed-down scan filter",
-    "a08_spend_percentiles": "selection: (value, count) rows, counts per bucket, only wanted buckets sorted",
-    "a14_pareto": "ranks and running sums from counts per bucket and id range",
+    "a11_rfm_quintiles": "quintile edges found before by descent; the scores are one scan of the columns written once",
+    "a14_pareto": "running sums within the parts of the sorted table, which is bucketed by part and not shuffled",
     "c07_clv_outliers": "quartiles per segment, checked to be few, broadcast",
     "l04_insert_or_ignore": "min_by winner per key, anti join with what is loaded",
+    "p01_transaction_state": "partial rows of two loads merged where they lie: bucketed by customer, no exchange",
 }
 
 
