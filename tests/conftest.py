@@ -20,6 +20,15 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached():
+    """Spark reads a cached frame wherever an equal plan stands, also in later modules that look at scans and at what is written."""
+    yield
+    from pyspark.sql import SparkSession
+    if s := SparkSession.getActiveSession():
+        s.catalog.clearCache()
+
+
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="custlens-test-")
